@@ -1 +1,3 @@
 """Imports every module that registers driver queries."""
+
+from limnos.plans import registry_relational  # noqa: F401
