@@ -89,7 +89,7 @@ def q_linear_trend(spark, sf):
 
 
 SQL_CALIB_SRC = ("(select sqrt(l_extendedprice) as sigma, abs(l_extendedprice * (1 - l_discount) - l_extendedprice) "
-                 "as abs_error from lineitem)")
+                 "/ sqrt(l_extendedprice) as abs_error from lineitem)")
 
 
 def _sql_calibration() -> str:
@@ -106,7 +106,8 @@ def q_calibration_bins(spark, sf):
     from limnos.operators.metrics import calibration_table
     li = B.table(spark, sf, "lineitem").select(
         F.sqrt("l_extendedprice").alias("sigma"),
-        F.abs(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) - F.col("l_extendedprice")).alias("abs_error"))
+        (F.abs(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) - F.col("l_extendedprice"))
+         / F.sqrt("l_extendedprice")).alias("abs_error"))
     return calibration_table(li, "sigma", "abs_error", bins=10)
 
 
