@@ -57,19 +57,24 @@ def enrich_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], val
     return out
 
 
-def value_grid(spark: SparkSession, axes: Mapping[str, Sequence[float]], max_points: int = 1_000_000) -> DataFrame:
-    """Every combination of the axis values, one row each."""
+def value_grid(spark: SparkSession, axes: Mapping[str, Sequence[float]], max_points: int = 1_000_000,
+               with_index: bool = False) -> DataFrame:
+    """Every combination of the axis values, one row each.
+
+    ``with_index`` adds ``<axis>__i`` (0-based level position) per axis.
+    """
     size = int(np.prod([len(v) for v in axes.values()]))
     if size > max_points:
         raise ValueError(f"grid of {size} points exceeds {max_points}")
     row = spark.range(1)
     for name, vals in axes.items():
-        row = row.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in vals])))
-    return row.drop("id")
+        row = row.select("*", F.posexplode(F.array(*[F.lit(float(v)) for v in vals])).alias(f"{name}__i", name))
+    row = row.drop("id")
+    return row if with_index else row.drop(*[f"{n}__i" for n in axes])
 
 
 def data_grid(df: DataFrame, levels: Mapping[str, int], fixed: Mapping[str, float] | None = None,
-              max_points: int = 1_000_000) -> DataFrame:
+              max_points: int = 1_000_000, with_index: bool = False) -> DataFrame:
     """E3 over data ranges: ``levels[c]`` evenly spaced values from min(c) to max(c)."""
     cols = list(levels)
     row = df.agg(*[F.min(F.col(q(c))).alias(f"lo{i}") for i, c in enumerate(cols)],
@@ -78,7 +83,7 @@ def data_grid(df: DataFrame, levels: Mapping[str, int], fixed: Mapping[str, floa
     for i, c in enumerate(cols):
         lo, hi, n = float(row[f"lo{i}"]), float(row[f"hi{i}"]), levels[c]
         axes[c] = [lo + (hi - lo) * j / (n - 1) for j in range(n)] if n > 1 else [lo]
-    grid = value_grid(df.sparkSession, axes, max_points)
+    grid = value_grid(df.sparkSession, axes, max_points, with_index)
     if fixed:
         grid = grid.withColumns({k: F.lit(float(v)) for k, v in fixed.items()})
     return grid

@@ -1,3 +1,4 @@
 """Imports every module that registers driver queries."""
 
+from limnos.plans import registry_models  # noqa: F401
 from limnos.plans import registry_relational  # noqa: F401
