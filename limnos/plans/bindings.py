@@ -77,3 +77,23 @@ SQL_LINEITEM_REVENUE = (
     "(select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, "
     "l_returnflag, l_linestatus, l_extendedprice * (1 - l_discount) as revenue from lineitem)"
 )
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide measurement table with natural gaps: one row per (station, day),
+    one averaged column per characteristic, key ``station_day`` (text)."""
+    from limnos.operators.reshape import pivot_wide
+    ev = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    wide = pivot_wide(ev, ["user_id", "day"], "event_type", "value", EVENT_TYPES)
+    return wide.select(F.concat_ws("|", F.col("user_id").cast("string"), F.col("day")).alias("station_day"),
+                       *EVENT_TYPES)
+
+
+SQL_EVENTS_WIDE = (
+    "(select cast(user_id as varchar) || '|' || strftime(ts, '%Y-%m-%d') as station_day, "
+    + ", ".join(f"avg(value) filter (where event_type = '{t}') as {t}" for t in EVENT_TYPES)
+    + " from events group by user_id, strftime(ts, '%Y-%m-%d'))"
+)
