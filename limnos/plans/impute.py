@@ -238,12 +238,12 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
             continue
         feats = choose_features(df, t, targets, key)
         if "rf" in methods:
-            p = dict(num_trees=200, max_depth=15, min_instances=2, **(rf_params or {}))
+            p = {"num_trees": 200, "max_depth": 15, "min_instances": 2, **(rf_params or {})}
             res = fill_model(cur, t, feats, "random_forest", "__rf", remove_outliers, outlier_threshold, **p)
             if res is not None:
                 cur, produced[t] = res, produced[t] + ["rf"]
         if "gbm" in methods:
-            p = dict(max_iter=100, step_size=0.05, max_depth=3, min_instances=5, **(gbm_params or {}))
+            p = {"max_iter": 100, "step_size": 0.05, "max_depth": 3, "min_instances": 5, **(gbm_params or {})}
             res = fill_model(cur, t, feats, "gbm", "__gbm", remove_outliers, outlier_threshold, **p)
             if res is not None:
                 cur, produced[t] = res, produced[t] + ["gbm"]
