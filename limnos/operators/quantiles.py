@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,16 +76,29 @@ def _candidate_probs(rel: float, accuracy: int) -> list[float]:
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     accuracy: int = DEFAULT_ACCURACY, small_bracket: int = SMALL_BRACKET,
-                    max_rounds: int = 16) -> dict[str, list[float | None]]:
+                    max_rounds: int = 16, persist: bool = True) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of each column at each probability.
 
     Returns ``{col: [q(p) for p in probs]}``; an all-NULL column gives NaNs.
+    With ``persist`` the projected columns are kept (memory, spilling to
+    disk) for the 3+ passes, so an expensive upstream plan runs once.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
     if not cols:
         return {}
     data = df.select(*[F.col(_q(c)) for c in cols])
+    if persist:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _select(data, cols, probs, accuracy, small_bracket, max_rounds)
+    finally:
+        if persist:
+            data.unpersist()
+
+
+def _select(data: DataFrame, cols: list[str], probs: list[float], accuracy: int, small_bracket: int,
+            max_rounds: int) -> dict[str, list[float | None]]:
 
     # pass 1: counts plus first candidates at the target probabilities
     first_probs = sorted({p2 for p in probs for p2 in _candidate_probs(p, accuracy)})
