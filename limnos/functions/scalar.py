@@ -69,3 +69,16 @@ def hash_bucket(keys: Iterable | str | Column, modulo: int = 100, salt: str | No
         text = F.concat(text, F.lit(":" + salt))
     h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
     return (h % F.lit(modulo)).cast("bigint")
+
+
+def json_field(col, path: str) -> Column:
+    """Value at a JSON path (``$.a.b``) of a JSON text column, as text."""
+    return F.get_json_object(_c(col), path)
+
+
+def normalise_text(col, strip_chars: str | None = None) -> Column:
+    """Trim and lower-case (optionally remove ``strip_chars``)."""
+    x = F.lower(F.trim(_c(col)))
+    if strip_chars:
+        x = F.translate(x, strip_chars, "")
+    return x

@@ -187,3 +187,24 @@ def scaled_with_missing(df: DataFrame, cols: Sequence[str], fit_df: DataFrame |
         new[c + suffix] = F.coalesce((x - F.lit(m)) / F.lit(s), F.lit(0.0))
         new[c + mask_suffix] = x.isNull().cast("double")
     return df.withColumns(new)
+
+
+def select_k_best(df: DataFrame, features: Sequence[str], label: str, k: int | None = None) -> list[str]:
+    """K6: keep the k features with the largest univariate F statistic
+    against a continuous label (all when ``k`` is None).
+
+    Spark ML ``UnivariateFeatureSelector`` (continuous / continuous = F-test,
+    ``numTopFeatures``) fitted on one assembled vector; the selection is a
+    distributed aggregate, only the chosen indices reach the driver.
+    """
+    from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+    feats = list(features)
+    if k is None or k >= len(feats):
+        return feats
+    data = VectorAssembler(inputCols=feats, outputCol="_fv", handleInvalid="skip").transform(
+        df.select(*[F.col(q(c)) for c in feats], F.col(q(label))).na.drop())
+    sel = UnivariateFeatureSelector(featuresCol="_fv", labelCol=label, outputCol="_sel",
+                                    selectionMode="numTopFeatures").setFeatureType("continuous") \
+        .setLabelType("continuous").setSelectionThreshold(k)
+    model = sel.fit(data)
+    return [feats[i] for i in sorted(model.selectedFeatures)]

@@ -77,3 +77,21 @@ def mask_columns(df: DataFrame, cols: Sequence[str], keys: Sequence[str] | str,
 def split_counts(df: DataFrame, col: str = "split") -> DataFrame:
     """Row count per split / fold label."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def contiguous_folds(df: DataFrame, order_col: str, k: int = 5, col: str = "fold") -> DataFrame:
+    """unshuffled K-fold over the row order (scikit-learn ``KFold``): the
+    first n mod k folds hold one extra row.
+
+    Row numbers come from the block-wise ``rank_within_groups`` (no single
+    global window partition); ``order_col`` must be an integer row id.
+    """
+    from limnos.operators.ranking import rank_within_groups
+    n = df.count()
+    base, extra = divmod(n, k)
+    big = extra * (base + 1)  # rows in the larger folds
+    ranked = rank_within_groups(df.withColumn("_all", F.lit(0)), "_all", order_col, out="_rn").drop("_all")
+    i = F.col("_rn") - 1
+    fold = F.when(i < F.lit(big), F.floor(i / F.lit(base + 1))).otherwise(
+        F.lit(extra) + F.floor((i - F.lit(big)) / F.lit(max(base, 1))))
+    return ranked.withColumn(col, fold.cast("int")).drop("_rn")

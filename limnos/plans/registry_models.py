@@ -275,3 +275,10 @@ def q_ph_scoring(spark, sf):
              "do_temp_ratio", "chla_do_ratio", "chla_squared", "temp_squared", "do_squared", "chla_log", "temp_log", "do_log"]
     tm = train(li, feats, "l_extendedprice", "ridge", alpha=1.0)
     return score(tm, li).select(*B.LINEITEM_KEY, "prediction")
+
+
+@register("loess_curve")
+def q_loess_curve(spark, sf):
+    """Local linear smooth of price on quantity at 100 grid points (span 0.75, tricube)."""
+    from limnos.operators.smooth import loess_curve
+    return loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", points=100)

@@ -517,3 +517,56 @@ def q_argbest_model(spark, sf):
     from limnos.operators.ranking import argbest_many
     return argbest_many(_board(spark, sf), "model", [("rmse", "min", "best_model", "best_rmse"),
                                                      ("r2", "max", "best_model_r2", "best_r2")])
+
+
+# ------------------------------------------------------------ selection, folds, text and JSON
+
+@register("select_k_best", f"""
+with c as (select 'l_extendedprice' as feature, abs(corr(l_extendedprice, revenue)) as a from {B.SQL_LINEITEM_REVENUE} s
+           union all select 'l_discount', abs(corr(l_discount, revenue)) from {B.SQL_LINEITEM_REVENUE} s
+           union all select 'l_quantity', abs(corr(l_quantity, revenue)) from {B.SQL_LINEITEM_REVENUE} s
+           union all select 'l_tax', abs(corr(l_tax, revenue)) from {B.SQL_LINEITEM_REVENUE} s)
+select feature, cast(row_number() over (order by a desc) as integer) as rank from c qualify rank <= 2""")
+def q_select_k_best(spark, sf):
+    """K6: the 2 measures with the largest F statistic for revenue (F is monotone in |r|)."""
+    from limnos.operators.correlation import correlation_stats
+    from limnos.operators.features import select_k_best
+    li = B.lineitem_revenue(spark, sf)
+    chosen = select_k_best(li, MEAS, "revenue", k=2)
+    stats = {s["feature"]: abs(s["r"]) for s in correlation_stats(li, ["revenue"], chosen)}
+    rows = [(f, i + 1) for i, f in enumerate(sorted(chosen, key=lambda f: -stats[f]))]
+    return spark.createDataFrame(rows, "feature string, rank int")
+
+
+@register("contiguous_folds", """
+with r as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n from orders),
+p as (select o_orderkey, i, n // 5 as base, n % 5 as extra from r)
+select o_orderkey, cast(case when i < extra * (base + 1) then i // (base + 1)
+                             else extra + (i - extra * (base + 1)) // base end as integer) as fold from p""")
+def q_contiguous_folds(spark, sf):
+    """unshuffled 5-fold over the order key (first n mod 5 folds one larger)."""
+    from limnos.operators.split import contiguous_folds
+    return contiguous_folds(B.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 5)
+
+
+@register("text_and_json", """
+select event_id, cast(json_extract_string(props, '$.k') as bigint) as prop_k, lower(trim(event_type)) as kind,
+       replace(upper(event_type), 'E', '3') as code from events""")
+def q_text_and_json(spark, sf):
+    """I11 + I13: JSON path extraction and trim / lower / replace on events."""
+    from limnos.functions.scalar import json_field, normalise_text
+    ev = B.table(spark, sf, "events")
+    return ev.select("event_id", json_field("props", "$.k").cast("bigint").alias("prop_k"),
+                     normalise_text("event_type").alias("kind"),
+                     F.replace(F.upper("event_type"), F.lit("E"), F.lit("3")).alias("code"))
+
+
+@register("split_priority", """
+select o_orderkey, cast(split_part(o_orderpriority, '-', 1) as integer) as priority_rank,
+       lower(split_part(o_orderpriority, '-', 2)) as priority_name from orders""")
+def q_split_priority(spark, sf):
+    """Split a coded text field into a number and a lower-cased name."""
+    o = B.table(spark, sf, "orders")
+    parts = F.split("o_orderpriority", "-")
+    return o.select("o_orderkey", parts.getItem(0).cast("int").alias("priority_rank"),
+                    F.lower(parts.getItem(1)).alias("priority_name"))
