@@ -11,15 +11,15 @@ Plan, all DataFrame operations:
 1. *Collapse*: identical training vectors become one group carrying at
    most k members (the k smallest keys, by a salted two-level top-k), so a
    hot value holding a third of the rows is k rows, not n/3.
-2. *Band join*: every point gets a bucket ``floor(p / w)`` of its
-   projection p on the unit diagonal, p = sum(features) / sqrt(d) (any
-   unit vector bounds the distance; the diagonal spreads points that are
-   constant in one feature, e.g. mean-filled cells).  A query explodes the bucket ids
-   ``b-m .. b+m`` and equi-joins the groups of those buckets.
-3. *Exactness check*: distance >= |projection difference|, so once the
-   k-th candidate distance is < the band's covered radius (or the band
-   covers every bucket) the answer is exact.  Unsettled queries repeat with
-   a doubled band; each round's settled rows are checkpointed.
+2. *Cell join*: the first (up to 4) features are cut into cubes whose
+   width doubles per level; the base width adapts to the densest region.
+   A query explodes the ids of the (2m+1)^D cells around it (at most 729)
+   and equi-joins the groups in them.
+3. *Exactness check*: a point outside the block differs by more than the
+   block's covered radius in some coordinate, so once the k-th candidate
+   distance is < that radius the answer is exact.  An unsettled query
+   moves to the level whose block covers its current k-th distance (a
+   bound on the true one); each round's results are checkpointed.
 
 The per-query window holds only that query's candidates.  No candidate cap
 is applied: the band grows until the result is provably exact.
@@ -46,9 +46,13 @@ def _dist(qcols: Sequence[str], tcols: Sequence[str]):
     return F.sqrt(acc)
 
 
+def _cells(prefix: str, coords: Sequence[str], width) -> list:
+    return [F.floor(F.col(c) / width).cast("bigint").alias(f"{prefix}{i}") for i, c in enumerate(coords)]
+
+
 def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence[str], label: str, k: int,
-                query_key: str | None = None, target_per_bucket: int = 8, max_rounds: int = 40,
-                checkpoint: bool = True, tie_digits: int = 12) -> DataFrame:
+                query_key: str | None = None, grid_dims: int = 4, max_cells: int = 729, max_rounds: int = 60,
+                checkpoint: bool = True, tie_digits: int = 12, cell_load: int = 4) -> DataFrame:
     """Exact distance-weighted kNN regression -> (query_key, prediction, n_neighbors, kth_distance).
 
     ``train`` has ``key``, ``features``, ``label`` (no nulls); ``query`` has
@@ -57,71 +61,116 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     that are equal in exact arithmetic but differ in the last bits of
     floating point are ties, decided by key on every engine.  Weights use
     the unrounded distance.
+
+    Cells: the first ``grid_dims`` features are cut into cubes of width
+    ``c * 2**level``; c is halved from an even-spread estimate until the
+    densest cell holds at most ``cell_load * k`` groups (one aggregate per
+    step over the collapsed groups).  A query at level L with half-width m
+    reads the (2m+1)^D cells around it ((2m+1)^D <= ``max_cells``); any
+    point outside that block is farther than the block's covered radius, so
+    a k-th distance below it is exact.  An unsettled query moves to the
+    smallest level whose block covers its current k-th distance (or two
+    levels up if it has fewer than k candidates).
     """
     qkey = query_key or key
     feats = list(features)
+    dims = min(grid_dims, len(feats))
     tr = train.select(F.col(q(key)).alias("_tk"), *[F.col(q(f)).alias(f"_t{i}") for i, f in enumerate(feats)],
                       F.col(q(label)).cast("double").alias("_y"))
     qu = query.select(F.col(q(qkey)).alias("_qk"), *[F.col(q(f)).alias(f"_q{i}") for i, f in enumerate(feats)])
     tcols = [f"_t{i}" for i in range(len(feats))]
     qcols = [f"_q{i}" for i in range(len(feats))]
-    inv = 1.0 / math.sqrt(len(feats))
-    qu = qu.withColumn("_qp", sum((F.col(c) for c in qcols[1:]), F.col(qcols[0])) * F.lit(inv))
 
     # 1. collapse duplicate vectors, keep <= k members (smallest keys) per vector
     members = topk_per_group(tr, tcols, "_tk", k, descending=False, out="_mr")
     groups = members.groupBy(*tcols).agg(F.collect_list(F.struct("_tk", "_y")).alias("_members"))
-    groups = groups.withColumn("_tp", sum((F.col(c) for c in tcols[1:]), F.col(tcols[0])) * F.lit(inv))
     if checkpoint:
         groups = cut_lineage(groups)
-
-    stats = groups.agg(F.count(F.lit(1)).alias("ng"), F.min("_tp").alias("lo"), F.max("_tp").alias("hi")).collect()[0]
+    stats = groups.agg(F.count(F.lit(1)).alias("ng"),
+                       *[F.min(c).alias(f"lo{i}") for i, c in enumerate(tcols[:dims])],
+                       *[F.max(c).alias(f"hi{i}") for i, c in enumerate(tcols[:dims])]).collect()[0]
     n_groups = int(stats["ng"])
     if n_groups == 0:
         return qu.select(F.col("_qk").alias(qkey), F.lit(None).cast("double").alias("prediction"),
                          F.lit(0).cast("bigint").alias("n_neighbors"), F.lit(None).cast("double").alias("kth_distance"))
-    lo, hi = float(stats["lo"]), float(stats["hi"])
-    span = hi - lo
-    n_buckets = max(1, n_groups // max(1, target_per_bucket))
-    w = span / n_buckets if span > 0 else 1.0
-    b_lo, b_hi = int(lo // w), int(hi // w)
-
-    gb = groups.withColumn("_b", F.floor(F.col("_tp") / F.lit(w)).cast("bigint"))
-    pending = (qu.withColumn("_qb", F.floor(F.col("_qp") / F.lit(w)).cast("bigint"))
-               .withColumn("_m", F.lit(max(1, math.ceil(2 * k / max(1, target_per_bucket)))).cast("bigint")))
-    qstate = ["_qk", "_qb", "_qp", "_m", *qcols]
+    spans = [max(float(stats[f"hi{i}"]) - float(stats[f"lo{i}"]), 1e-12) for i in range(dims)]
+    vol = math.prod(spans)
+    max_m = 1
+    while (2 * (max_m + 1) + 1) ** dims <= max_cells:
+        max_m += 1
+    # base cell width: about k groups per cell if the groups were spread evenly,
+    # then halved until the densest cell holds at most cell_load * k groups
+    base = (vol * max(k, 1) / n_groups) ** (1.0 / dims)
+    floor_width = max(spans) * 1e-9
+    for _ in range(40):
+        occ = (groups.groupBy(*_cells("_oc", tcols[:dims], F.lit(base))).count()
+               .agg(F.max("count").alias("m")).collect()[0]["m"])
+        if occ <= cell_load * k or base / 2 < floor_width:
+            break
+        base /= 2
+    top_level = max(0, math.ceil(math.log2(max(spans) / base))) + 1 if base > 0 else 0
+
+    def width(level):
+        return F.lit(base) * F.pow(F.lit(2.0), level.cast("double"))
+
+    pending = qu.withColumns({"_lvl": F.lit(0).cast("int"), "_m": F.lit(1).cast("int")})
+    qstate = ["_qk", "_lvl", "_m", *qcols]
     settled_parts = []
-    rounds = 0
     for _ in range(max_rounds):
-        rounds += 1
-        band = pending.select("*", F.explode(F.sequence(F.col("_qb") - F.col("_m"), F.col("_qb") + F.col("_m"))).alias("_b"))
-        cand = band.join(gb, on="_b", how="inner").select(
-            *qstate, _dist(qcols, tcols).alias("_d"), F.explode("_members").alias("_mem"))
+        levels = sorted(r[0] for r in pending.select("_lvl").distinct().collect())
+        gl = groups.withColumn("_lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
+        gl = gl.select("_lvl", *tcols, "_members", *_cells("_gc", tcols[:dims], width(F.col("_lvl"))))
+        qc = pending.select("*", *_cells("_qc", qcols[:dims], width(F.col("_lvl"))))
+        band = qc
+        for i in range(dims):
+            band = band.withColumn(f"_gc{i}", F.explode(F.sequence(F.col(f"_qc{i}") - F.col("_m"),
+                                                                    F.col(f"_qc{i}") + F.col("_m"))))
+        cand = band.join(gl, on=["_lvl", *[f"_gc{i}" for i in range(dims)]], how="inner").select(
+            *qstate, *[f"_qc{i}" for i in range(dims)], _dist(qcols, tcols).alias("_d"),
+            F.explode("_members").alias("_mem"))
         w_q = Window.partitionBy("_qk").orderBy(F.round("_d", tie_digits), F.col("_mem._tk"))
         ranked = cand.withColumn("_r", F.row_number().over(w_q)).where(F.col("_r") <= k)
-        per_q = ranked.groupBy(*qstate).agg(
+        per_q = ranked.groupBy(*qstate, *[f"_qc{i}" for i in range(dims)]).agg(
             F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_dk"),
             F.count_if(F.col("_d") == 0).alias("_nzero"),
             F.sum(F.when(F.col("_d") == 0, F.col("_mem._y"))).alias("_yzero"),
             F.sum(F.when(F.col("_d") > 0, F.col("_mem._y") / F.col("_d"))).alias("_yw"),
             F.sum(F.when(F.col("_d") > 0, F.lit(1.0) / F.col("_d"))).alias("_w"))
+        wl = width(F.col("_lvl"))
         m = F.col("_m")
-        radius = F.least(F.col("_qp") - (F.col("_qb") - m) * F.lit(w), (F.col("_qb") + m + 1) * F.lit(w) - F.col("_qp"))
-        covers_all = ((F.col("_qb") - m) <= F.lit(b_lo)) & ((F.col("_qb") + m) >= F.lit(b_hi))
+        per_dim = [F.least(F.col(qcols[i]) - (F.col(f"_qc{i}") - m) * wl,
+                           (F.col(f"_qc{i}") + m + 1) * wl - F.col(qcols[i])) for i in range(dims)]
+        radius = per_dim[0] if dims == 1 else F.least(*per_dim)
+        if dims < len(feats):
+            covers_all = F.lit(False)
+        else:
+            covers_all = F.lit(True)
+            for i in range(dims):
+                covers_all = covers_all & ((F.col(f"_qc{i}") - m) * wl <= F.lit(float(stats[f"lo{i}"]))) \
+                    & ((F.col(f"_qc{i}") + m + 1) * wl > F.lit(float(stats[f"hi{i}"])))
         done = covers_all | ((F.col("_n") >= F.lit(k)) & (F.col("_dk") < radius))
         pred = F.when(F.col("_nzero") > 0, F.col("_yzero") / F.col("_nzero")).otherwise(F.col("_yw") / F.col("_w"))
-        # the current k-th distance bounds the true one: a band of that radius settles the query next round
-        m_next = F.when(F.col("_n") >= F.lit(k), F.greatest(F.ceil(F.col("_dk") / F.lit(w)) + 1, m + 1)).otherwise(m * 4)
-        res = per_q.withColumns({"_done": done, "prediction": pred, "_mnext": m_next.cast("bigint")})
+        # next level: smallest whose (2 max_m + 1)^D block covers the current k-th distance
+        need = F.greatest(F.ceil(F.log2(F.col("_dk") / F.lit(base * max_m) + F.lit(1e-300))), F.lit(0)).cast("int")
+        lvl_next = F.when(F.col("_n") >= F.lit(k), F.greatest(need, F.col("_lvl")))
+        lvl_next = lvl_next.otherwise(F.col("_lvl") + 2)
+        m_next = F.when(F.col("_n") >= F.lit(k),
+                        F.least(F.floor(F.col("_dk") / (F.lit(base) * F.pow(F.lit(2.0), lvl_next.cast("double")))) + 1,
+                                F.lit(max_m))).otherwise(F.col("_m"))
+        res = per_q.withColumns({"_done": done, "prediction": pred, "_lnext": lvl_next.cast("int"),
+                                 "_mnext": m_next.cast("int")})
         if checkpoint:
             res = cut_lineage(res)
         settled_parts.append(res.where("_done").select(F.col("_qk").alias(qkey), "prediction",
                                                        F.col("_n").cast("bigint").alias("n_neighbors"),
                                                        F.col("_dk").alias("kth_distance")))
-        retry = res.where(~F.col("_done")).select("_qk", "_qb", "_qp", F.col("_mnext").alias("_m"), *qcols)
+        retry = res.where(~F.col("_done")).select("_qk", F.col("_lnext").alias("_lvl"), F.col("_mnext").alias("_m"),
+                                                  *qcols)
         no_cand = (pending.join(res.select("_qk"), on="_qk", how="left_anti")
-                   .withColumn("_m", F.col("_m") * 4).select(*qstate))
+                   .withColumn("_lvl", F.col("_lvl") + 2).select(*qstate))
         open_q = retry.unionByName(no_cand)
+        # a query whose block already spans all data at the top level is exact by construction
+        open_q = open_q.withColumn("_lvl", F.least(F.col("_lvl"), F.lit(top_level + 1)))
         if checkpoint:
             open_q = cut_lineage(open_q)
         if open_q.limit(1).count() == 0:

@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pandas as pd
 
@@ -31,7 +33,8 @@ def test_scoring_runs_on_a_stream(spark, tmp_path):
     src = tmp_path / "in"
     frame(spark, pdf[["chl", "temp"]]).write.parquet(str(src))
     stream = spark.readStream.schema("chl double, temp double").parquet(str(src))
-    q = start_scoring(score_stream(gm, stream), str(tmp_path / "out"), "t1", trigger_once=True)
+    name = f"test-{uuid.uuid4().hex}"  # a stream name owns its checkpoint; a fresh one per run
+    q = start_scoring(score_stream(gm, stream), str(tmp_path / "out"), name, trigger_once=True)
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 200 and "DO_UpperCI" in got.columns
