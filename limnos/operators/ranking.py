@@ -41,8 +41,14 @@ def rank_within_groups(df: DataFrame, groups: Sequence[str] | str, order_col: st
     offsets = counts.select(*g, "_blk", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*g, "_blk").orderBy(F.col(q(order_col)))
     ranked = with_blk.withColumn("_rn_in", F.row_number().over(w_in))
-    joined = ranked.join(offsets, on=[*g, "_blk"], how="inner")
-    return joined.withColumn(out, (F.col("_off") + F.col("_rn_in")).cast("bigint")).drop("_blk", "_off", "_rn_in")
+    # null-safe keys: a NULL group is a group of its own, as in a window
+    offs = offsets.select(*[F.col(q(c)).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_blk").alias("_b2"), "_off")
+    cond = F.col("_blk") == F.col("_b2")
+    for i, c in enumerate(g):
+        cond = cond & ranked[q(c)].eqNullSafe(F.col(f"_g{i}"))
+    joined = ranked.join(offs, on=cond, how="inner")
+    return (joined.withColumn(out, (F.col("_off") + F.col("_rn_in")).cast("bigint"))
+            .drop("_blk", "_b2", "_off", "_rn_in", *[f"_g{i}" for i in range(len(g))]))
 
 
 def topk_per_group(df: DataFrame, groups: Sequence[str] | str, order_col: str, k: int,

@@ -35,3 +35,9 @@ def test_argbest_many(spark):
     board = spark.createDataFrame([("a", 1.0, 0.5), ("b", 0.5, 0.9)], "model string, rmse double, r2 double")
     r = argbest_many(board, "model", [("rmse", "min", "m1", "v1"), ("r2", "max", "m2", "v2")]).collect()[0]
     assert (r["m1"], r["m2"]) == ("b", "b")
+
+
+def test_rank_within_groups_keeps_null_group(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "a")], "k long, g string")
+    got = {r["k"]: r["rn"] for r in rank_within_groups(df, "g", "k").collect()}
+    assert got == {1: 1, 3: 2, 2: 1, 4: 2}
