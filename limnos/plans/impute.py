@@ -38,7 +38,7 @@ from limnos.operators.profile import q
 from limnos.operators.quantiles import quantiles
 from limnos.operators.split import mask_holdout
 from limnos.plans.models import train
-from limnos.plans.score import fit_ols_closed_form
+from limnos.plans.score import fit_bayesian_ridge, fit_ols_closed_form
 from limnos.session import cut_lineage
 
 # Fixed values of the reference: default targets, blend weights by missing
@@ -158,18 +158,35 @@ def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suff
     return df.join(preds, on=key, how="left")
 
 
-def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estimator: str = "linear",
-                 suffix: str = "__iterative", tol: float = 1e-6, checkpoint: bool = True) -> DataFrame:
+def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estimator: str = "bayesian_ridge",
+                 suffix: str = "__iterative", tol: float = 1e-3, checkpoint: bool = True,
+                 ridge: float = 1e-2, clip_to_observed: bool = True) -> DataFrame:
     """Chained equations.  Start from the means; each round regresses every
     target on the other targets over its observed rows and refreshes its
-    missing cells; stop after ``rounds`` or when the largest change < tol.
-
-    ``estimator="linear"`` uses one covariance aggregate per fit (closed
-    form); ``"gbm"`` fits boosted trees (100 x 0.05, depth 3).  Each round
+    missing cells; stop after ``rounds`` or when the largest change of a
+    round is below ``tol`` times the largest absolute observed value (the
+    stopping rule of scikit-learn's IterativeImputer, tol = 1e-3).
+
+    ``estimator="bayesian_ridge"`` (IterativeImputer's default estimator)
+    and ``"linear"`` (least squares with a small relative ridge) need one
+    covariance aggregate per fit; ``"gbm"`` fits boosted trees (100 x 0.05,
+    depth 3, the reference's choice).  Imputations are clipped to each target's
+    observed [min, max] (IterativeImputer's min_value / max_value): imputed
+    regressors are linear in the target being fitted, and without shrinkage
+    and bounds plain least squares can feed back and diverge.  Each round
     ends with a reliable checkpoint so lineage stays one round deep.
     """
     targets = [t for t in targets if t in df.columns]
-    row = df.agg(*[F.avg(F.col(q(t))).alias(f"m{i}") for i, t in enumerate(targets)]).collect()[0]
+    row = df.agg(*[F.avg(F.col(q(t))).alias(f"m{i}") for i, t in enumerate(targets)],
+                 *[F.min(F.col(q(t))).alias(f"lo{i}") for i, t in enumerate(targets)],
+                 *[F.max(F.col(q(t))).alias(f"hi{i}") for i, t in enumerate(targets)],
+                 F.greatest(*[F.max(F.abs(F.col(q(t)))) for t in targets], F.lit(0.0)).alias("amax")).collect()[0]
+    norm_tol = tol * float(row["amax"] or 0.0)
+    bounds = {t: (row[f"lo{i}"], row[f"hi{i}"]) for i, t in enumerate(targets)}
+
+    def bounded(t, expr):
+        lo, hi = bounds[t]
+        return clip(expr, F.lit(lo), F.lit(hi)) if clip_to_observed and lo is not None else expr
     cur = df.withColumns({f"{t}__miss": F.col(q(t)).isNull() for t in targets})
     cur = cur.withColumns({f"{t}{suffix}": F.coalesce(F.col(q(t)), F.lit(row[f"m{i}"])) for i, t in enumerate(targets)})
     for _ in range(rounds):
@@ -179,22 +196,25 @@ def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estima
             if not others:
                 continue
             fit_rows = cur.where(~F.col(f"{t}__miss"))
-            if estimator == "linear":
-                coefs = fit_ols_closed_form(fit_rows.select(*others, F.col(q(t)).alias("_y")), others, "_y")
+            if estimator in ("linear", "bayesian_ridge"):
+                rows_t = fit_rows.select(*others, F.col(q(t)).alias("_y"))
+                coefs = (fit_bayesian_ridge(rows_t, others, "_y") if estimator == "bayesian_ridge"
+                         else fit_ols_closed_form(rows_t, others, "_y", ridge=ridge))
                 pred = F.lit(coefs["(intercept)"])
                 for o in others:
                     pred = pred + F.lit(coefs[o]) * F.col(q(o))
-                cur = cur.withColumn(f"{t}{suffix}", F.when(F.col(f"{t}__miss"), pred).otherwise(F.col(q(t))))
+                cur = cur.withColumn(f"{t}{suffix}", F.when(F.col(f"{t}__miss"), bounded(t, pred)).otherwise(F.col(q(t))))
             else:
                 tm = train(fit_rows.select(*others, F.col(q(t)).alias("_y")), others, "_y", "gbm", standardize=False,
                            max_iter=100, step_size=0.05, max_depth=3)
                 cur = tm.transform(cur, prediction="_p")
-                cur = cur.withColumn(f"{t}{suffix}", F.when(F.col(f"{t}__miss"), F.col("_p")).otherwise(F.col(q(t)))).drop("_p")
+                cur = cur.withColumn(f"{t}{suffix}", F.when(F.col(f"{t}__miss"), bounded(t, F.col("_p")))
+                                     .otherwise(F.col(q(t)))).drop("_p")
         delta = cur.agg(F.max(F.greatest(*[F.abs(F.col(f"{t}{suffix}") - F.col(f"{t}__prev")) for t in targets],
                                          F.lit(0.0))).alias("d"))
         if checkpoint:
             cur = cut_lineage(cur)
-        if (delta.collect()[0]["d"] or 0.0) < tol:
+        if (delta.collect()[0]["d"] or 0.0) < norm_tol:
             break
     out = cur.withColumns({f"{t}{suffix}": F.when(F.col(f"{t}__miss"), F.col(f"{t}{suffix}")) for t in targets})
     return out.drop(*[f"{t}__miss" for t in targets], *[f"{t}__prev" for t in targets])

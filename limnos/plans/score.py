@@ -114,11 +114,12 @@ def prediction_surface(tm, df: DataFrame, row_axis: str, col_axis: str, levels:
                        *[F.col(str(i)).alias(f"{col_axis}_{i}") for i in range(levels)])
 
 
-def fit_ols_closed_form(df: DataFrame, features: Sequence[str], label: str) -> dict[str, float]:
+def fit_ols_closed_form(df: DataFrame, features: Sequence[str], label: str, ridge: float = 0.0) -> dict[str, float]:
     """M1 via one aggregate: covariances -> normal equations (k x k) solved on the driver.
 
     Uses ``covar_pop`` (numerically stable running moments), so large
     magnitudes do not cancel.  Rows with any null are dropped first.
+    ``ridge`` > 0 solves (S + ridge * diag(S)) b = c (scale-free shrinkage).
     """
     feats = list(features)
     data = df.select(*[F.col(q(c)) for c in feats], F.col(q(label))).na.drop()
@@ -134,7 +135,9 @@ def fit_ols_closed_form(df: DataFrame, features: Sequence[str], label: str) -> d
         for j in range(i, k):
             S[i, j] = S[j, i] = row[f"c{i}_{j}"]
     c = np.array([row[f"cy{i}"] for i in range(k)])
-    b = np.linalg.solve(S, c)
+    if ridge:
+        S = S + ridge * np.diag(np.diag(S))
+    b = np.linalg.lstsq(S, c, rcond=None)[0] if np.linalg.matrix_rank(S) < k else np.linalg.solve(S, c)
     out = {f: float(v) for f, v in zip(feats, b)}
     out["(intercept)"] = float(row["my"] - sum(b[i] * row[f"m{i}"] for i in range(k)))
     return out
@@ -147,3 +150,58 @@ def apply_linear(df: DataFrame, coefs: Mapping[str, float], out: str = "predicti
         if f != "(intercept)":
             expr = expr + F.lit(b) * F.col(q(f))
     return df.withColumn(out, expr)
+
+
+def _moments(df: DataFrame, feats: Sequence[str], label: str):
+    data = df.select(*[F.col(q(c)) for c in feats], F.col(q(label))).na.drop()
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(F.col(q(label))).alias("my"), F.var_pop(F.col(q(label))).alias("vy")]
+    aggs += [F.avg(F.col(q(c))).alias(f"m{i}") for i, c in enumerate(feats)]
+    for i, a in enumerate(feats):
+        aggs.append(F.covar_pop(F.col(q(a)), F.col(q(label))).alias(f"cy{i}"))
+        for j in range(i, len(feats)):
+            aggs.append(F.covar_pop(F.col(q(a)), F.col(q(feats[j]))).alias(f"c{i}_{j}"))
+    row = data.agg(*aggs).collect()[0]
+    k = len(feats)
+    S = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            S[i, j] = S[j, i] = row[f"c{i}_{j}"] or 0.0
+    c = np.array([row[f"cy{i}"] or 0.0 for i in range(k)])
+    means = np.array([row[f"m{i}"] or 0.0 for i in range(k)])
+    return int(row["n"]), S, c, float(row["vy"] or 0.0), means, float(row["my"] or 0.0)
+
+
+def fit_bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, max_iter: int = 300, tol: float = 1e-3,
+                       alpha_1: float = 1e-6, alpha_2: float = 1e-6, lambda_1: float = 1e-6,
+                       lambda_2: float = 1e-6) -> dict[str, float]:
+    """Bayesian ridge regression (evidence maximisation of the noise and weight
+    precisions, as scikit-learn's ``BayesianRidge``) from one Spark aggregate.
+
+    Only the centred sufficient statistics are needed -- n, X'X, X'y, y'y as
+    covariances -- so the fit is one pass over the data plus a k x k
+    eigen-iteration on the driver.
+    """
+    feats = list(features)
+    n, S, c, vy, means, my = _moments(df, feats, label)
+    if n == 0:
+        return {**{f: 0.0 for f in feats}, "(intercept)": 0.0}
+    xtx, xty, yty = n * S, n * c, n * vy
+    evals, evecs = np.linalg.eigh(xtx)
+    evals = np.clip(evals, 0.0, None)
+    alpha = 1.0 / (vy + np.finfo(float).eps)
+    lam = 1.0
+    coef_old = None
+    xty_rot = evecs.T @ xty
+    for _ in range(max_iter):
+        coef = evecs @ (xty_rot / (evals + lam / alpha))
+        sse = max(yty - 2 * coef @ xty + coef @ xtx @ coef, 0.0)
+        gamma = float(np.sum(alpha * evals / (lam + alpha * evals)))
+        lam = (gamma + 2 * lambda_1) / (float(coef @ coef) + 2 * lambda_2)
+        alpha = (n - gamma + 2 * alpha_1) / (sse + 2 * alpha_2)
+        if coef_old is not None and np.sum(np.abs(coef_old - coef)) < tol:
+            break
+        coef_old = coef
+    coef = evecs @ (xty_rot / (evals + lam / alpha))
+    out = {f: float(v) for f, v in zip(feats, coef)}
+    out["(intercept)"] = float(my - coef @ means)
+    return out
