@@ -84,7 +84,8 @@ def q_impute_blend(spark, sf):
 
 @register("impute_mice_linear")
 def q_impute_mice(spark, sf):
-    """Chained equations (linear, 10 rounds, checkpoint per round) over the five characteristics."""
+    """Chained equations (Bayesian ridge from one covariance aggregate per fit, up to 10 rounds,
+    normalised stopping rule, checkpoint per round) over the five characteristics."""
     from limnos.plans.impute import fill_chained
     out = fill_chained(B.events_wide(spark, sf), T, rounds=10)
     return out.select(KEY, *[F.coalesce(F.col(t), F.col(f"{t}__iterative")).alias(t) for t in T])

@@ -105,3 +105,15 @@ def test_calibration_includes_max(spark):
     assert sum(t.values()) == 20 and max(t) == 10
     t2 = calibration_table(df, "s", "e", bins=10, include_max=False).collect()
     assert sum(r["n"] for r in t2) == 19
+
+
+def test_bayesian_ridge_shrinks_noise_not_signal(spark):
+    from limnos.plans.score import fit_bayesian_ridge
+    rng = np.random.default_rng(9)
+    n = 2000
+    X = rng.normal(size=(n, 2))
+    pdf = pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "y": 3.0 * X[:, 0] + rng.normal(size=n)})
+    c = fit_bayesian_ridge(frame(spark, pdf), ["a", "b"], "y")
+    assert abs(c["a"] - 3.0) < 0.1 and abs(c["b"]) < 0.1
+    ols = fit_ols_closed_form(frame(spark, pdf), ["a", "b"], "y")
+    assert abs(c["a"] - ols["a"]) < 0.01
