@@ -282,3 +282,12 @@ def q_loess_curve(spark, sf):
     """Local linear smooth of price on quantity at 100 grid points (span 0.75, tricube)."""
     from limnos.operators.smooth import loess_curve
     return loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", points=100)
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """MSE increase per permuted feature for a random forest (50 trees, depth 8)."""
+    from limnos.plans.models import permutation_importance, train
+    li = _li(spark, sf)
+    tm = train(li, FEATS, "revenue", "random_forest", num_trees=50, max_depth=8)
+    return permutation_importance(tm, li, B.LINEITEM_KEY)

@@ -117,3 +117,14 @@ def test_bayesian_ridge_shrinks_noise_not_signal(spark):
     assert abs(c["a"] - 3.0) < 0.1 and abs(c["b"]) < 0.1
     ols = fit_ols_closed_form(frame(spark, pdf), ["a", "b"], "y")
     assert abs(c["a"] - ols["a"]) < 0.01
+
+
+def test_permutation_is_a_permutation_and_importance_ranks_signal(data, spark):
+    from limnos.plans.models import permutation_importance, permute_column
+    _, df = data
+    perm = permute_column(df, "x1", "k").select("k", "x1").toPandas()
+    assert len(perm) == df.count() and sorted(perm.x1) == sorted(df.toPandas().x1)
+    assert (perm.sort_values("k").x1.to_numpy() != df.toPandas().sort_values("k").x1.to_numpy()).mean() > 0.9
+    tm = train(df, ["x1", "x2"], "y", "linear")
+    imp = permutation_importance(tm, df, "k").collect()
+    assert imp[0]["feature"] == "x1" and imp[0]["mse_increase"] > imp[1]["mse_increase"] > 0
