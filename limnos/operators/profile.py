@@ -83,8 +83,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
-                    digits: int | None = 6) -> DataFrame:
-    """D5 (numeric): n_missing, complete_rate, mean, sd, p0, p25, p50, p75, p100."""
+                    digits: int | None = 6, hist_bins: int = 5) -> DataFrame:
+    """D5 (numeric): n_missing, complete_rate, mean, sd, p0, p25, p50, p75, p100
+    and ``hist``: counts in ``hist_bins`` equal-width bins over [p0, p100]
+    (the maximum in the last bin) as space-separated text.  The bin counts
+    ride in the same aggregate as the moments."""
     cols = list(cols or numeric_columns(df))
     qs = quantiles(df, cols, [0.0, 0.25, 0.5, 0.75, 1.0], exact=exact)
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -92,16 +95,24 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
         x = F.col(q(c)).cast("double")
         aggs += [F.count_if(x.isNull()).alias(f"c{i}_n_missing"), F.avg(x).alias(f"c{i}_mean"),
                  F.stddev_samp(x).alias(f"c{i}_sd")]
+        lo, hi = qs[c][0], qs[c][-1]
+        if lo == lo and hi == hi:
+            width = (hi - lo) if hi > lo else 1.0
+            b = F.least(F.floor((x - F.lit(lo)) / F.lit(width) * F.lit(hist_bins)), F.lit(hist_bins - 1))
+            aggs.append(F.concat_ws(" ", *[F.count_if(b == j).cast("string") for j in range(hist_bins)])
+                        .alias(f"c{i}_hist"))
+        else:
+            aggs.append(F.lit("").alias(f"c{i}_hist"))
     wide = df.agg(*aggs)
     for i, c in enumerate(cols):
         wide = wide.withColumn(f"c{i}_complete_rate",
                                F.try_divide(F.col("n") - F.col(f"c{i}_n_missing"), F.col("n")))
         for name, v in zip(("p0", "p25", "p50", "p75", "p100"), qs[c]):
             wide = wide.withColumn(f"c{i}_{name}", F.lit(v).cast("double") if v == v else F.lit(None).cast("double"))
-    fields = ["n_missing", "complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"]
+    fields = ["n_missing", "complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100", "hist"]
     out = _stack_long(wide, cols, fields)
     if digits is not None:
-        out = out.select("column", "n_missing", *[F.round(f, digits).alias(f) for f in fields[1:]])
+        out = out.select("column", "n_missing", *[F.round(f, digits).alias(f) for f in fields[1:-1]], "hist")
     return out
 
 

@@ -75,9 +75,13 @@ def _sql_profile_numeric(src: str, cols: list[str]) -> str:
         nm = f"count(*) filter (where {c} is null)"
         qs = ", ".join(f"{R(f'quantile_cont({c}, {p})')} as {n}" for p, n in
                        [(0.0, "p0"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (1.0, "p100")])
+        b = (f"least(floor(({c} - q.lo) / (case when q.hi > q.lo then q.hi - q.lo else 1.0 end) * 5), 4)")
+        hist = " || ' ' || ".join(f"cast(count(*) filter (where {b} = {j}) as varchar)" for j in range(5))
         parts.append(f"select '{c}' as \"column\", {nm} as n_missing, "
                      f"{R(f'cast(count(*) - {nm} as double) / count(*)')} as complete_rate, "
-                     f"{R(f'avg({c})')} as mean, {R(f'stddev_samp({c})')} as sd, {qs} from {src} s")
+                     f"{R(f'avg({c})')} as mean, {R(f'stddev_samp({c})')} as sd, {qs}, {hist} as hist "
+                     f"from {src} s, (select quantile_cont({c}, 0.0) as lo, quantile_cont({c}, 1.0) as hi "
+                     f"from {src} s2) q group by q.lo, q.hi")
     return "\nunion all\n".join(parts)
 
 
