@@ -71,3 +71,19 @@ def test_oracle_agreement_sf0001(spark, name):
                 for r in df[cols].itertuples(index=False, name=None)]
         return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
     assert norm(s) == norm(o)
+
+
+def test_strict_nonnegative_raises(spark):
+    df = spark.createDataFrame([(1.0,), (-2.0,)], "c double")
+    with pytest.raises(Exception):
+        validate_nonnegative(df, ["c"], strict=True).collect()
+    assert validate_nonnegative(df.where("c > 0"), ["c"], strict=True).count() == 1
+
+
+def test_renamed_csv_with_explicit_schema(spark, tmp_path):
+    p = tmp_path / "raw.csv"
+    p.write_text("Sample _ID,CTDOXY_mg/L,pH_TS_20C\n1,-999,8.01\n2,6.5,NA\n")
+    schema = "sample_id int, do double, ph double"
+    df = read_measurements(spark, str(p), schema=schema, numeric_sentinels=[-999])
+    rows = {r["sample_id"]: r for r in df.collect()}
+    assert rows[1]["do"] is None and rows[1]["ph"] == 8.01 and rows[2]["ph"] is None
