@@ -116,8 +116,8 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     pending = qu.withColumns({"_lvl": F.lit(0).cast("int"), "_m": F.lit(1).cast("int")})
     qstate = ["_qk", "_lvl", "_m", *qcols]
     settled_parts = []
+    levels = [0]
     for _ in range(max_rounds):
-        levels = sorted(r[0] for r in pending.select("_lvl").distinct().collect())
         gl = groups.withColumn("_lvl", F.explode(F.array(*[F.lit(v) for v in levels])))
         gl = gl.select("_lvl", *tcols, "_members", *_cells("_gc", tcols[:dims], width(F.col("_lvl"))))
         qc = pending.select("*", *_cells("_qc", qcols[:dims], width(F.col("_lvl"))))
@@ -173,8 +173,10 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
         open_q = open_q.withColumn("_lvl", F.least(F.col("_lvl"), F.lit(top_level + 1)))
         if checkpoint:
             open_q = cut_lineage(open_q)
-        if open_q.limit(1).count() == 0:
+        left = open_q.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_lvl").alias("lv")).collect()[0]
+        if left["n"] == 0:
             break
+        levels = sorted(left["lv"])
         pending = open_q
     else:
         raise RuntimeError("knn_regress did not settle every query")
