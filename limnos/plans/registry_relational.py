@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from limnos.plans import bindings as B
-from limnos.plans.registry import R, register
+from limnos.plans.registry import R, _sql_profile_text, register
 
 MEAS = B.LINEITEM_MEASURES
 KEY = "l_orderkey, l_linenumber"
@@ -570,3 +570,13 @@ def q_split_priority(spark, sf):
     parts = F.split("o_orderpriority", "-")
     return o.select("o_orderkey", parts.getItem(0).cast("int").alias("priority_rank"),
                     F.lower(parts.getItem(1)).alias("priority_name"))
+
+
+DOC_TEXT_COLS = ["text", "lang", "source"]
+
+
+@register("profile_text_documents", _sql_profile_text("documents", DOC_TEXT_COLS))
+def q_profile_text_documents(spark, sf):
+    """D5 text skim over whole documents (length range, empties, distinct texts, whitespace-only)."""
+    from limnos.operators.profile import profile_text
+    return profile_text(B.table(spark, sf, "documents"), DOC_TEXT_COLS)
