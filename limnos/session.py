@@ -42,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder
-    (HDFS/S3/ABFS) and is used as is.  Only when it is unset (local tests)
+    (HDFS/S3/ABFS) and is used as is; if it is unset there, this raises.
+    Only for a local master with the setting unset (tests, local benches)
     a scratch folder is created and registered.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
@@ -54,6 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: iterative operators need a shared folder "
+                           "(HDFS/S3/ABFS) that every executor can read; a machine-local folder is only "
+                           "used for local masters")
     local = tempfile.mkdtemp(prefix="limnos-ckpt-", dir=os.environ.get("LIMNOS_SCRATCH", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, local)
     sc.setCheckpointDir(local)
