@@ -57,45 +57,57 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, suppo
     return out.select(F.col("idx").cast("bigint").alias("idx"), gx.alias("x"), dens.alias("density"))
 
 
-def loess_curve(df: DataFrame, x: str, y: str, points: int = 100, span: float = 0.75,
+def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0.75, degree: int = 2,
                 accuracy: int = 10000, max_points: int = 200) -> DataFrame:
-    """D20 (re-aimed R ``loess``): local linear fit of y on x at ``points``
-    evenly spaced grid values, tricube weights.
+    """D20 (re-aimed R ``loess`` as ``geom_smooth`` calls it: span 0.75,
+    local quadratic, 80 evaluation points): local polynomial fit of y on x
+    at ``points`` evenly spaced grid values, tricube weights.
 
     The bandwidth at grid value g is the ``span`` quantile of |x - g|
     (R's q = span * n nearest points), taken from a bounded sketch
     (``percentile_approx``, rank error <= n / accuracy).  Each row is paired
-    with the grid points only (``points`` <= ``max_points``, checked) and all
-    sums are partial aggregates over the grid index.  Standard errors are
-    not computed.  -> (idx, x, fit, n_local, bandwidth)
+    with the grid points only (``points`` <= ``max_points``, checked); the
+    weighted moment sums are partial aggregates over the grid index and the
+    (degree+1)^2 normal equations are solved per grid point on the driver
+    (``points`` small systems).  Standard errors are not computed.
+    -> (idx, x, fit, n_local, bandwidth)
     """
+    import numpy as np
+
     if points > max_points:
         raise ValueError(f"points must be <= {max_points}")
     X, Y = F.col(q(x)), F.col(q(y))
-    data = df.where(X.isNotNull() & Y.isNotNull()).select(X.alias("_x"), Y.alias("_y"))
+    data = df.where(X.isNotNull() & Y.isNotNull()).select(X.cast("double").alias("_x"), Y.cast("double").alias("_y"))
     row = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()[0]
+    spark = df.sparkSession
+    schema = "idx bigint, x double, fit double, n_local bigint, bandwidth double"
     if row["lo"] is None:
-        return df.sparkSession.createDataFrame([], "idx bigint, x double, fit double, n_local bigint, bandwidth double")
+        return spark.createDataFrame([], schema)
     lo, hi = float(row["lo"]), float(row["hi"])
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)] if points > 1 else [lo]
     gl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g")) for i, g in enumerate(grid)])
     paired = data.select("_x", "_y", F.explode(gl).alias("_p")).select("_x", "_y", "_p.idx", "_p.g")
-    bw = {r["idx"]: r["h"] for r in paired.groupBy("idx").agg(
+    bw = {r["idx"]: float(r["h"]) for r in paired.groupBy("idx").agg(
         F.percentile_approx(F.abs(F.col("_x") - F.col("g")), span, accuracy).alias("h")).collect()}
-    hl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g"), F.lit(float(bw[i]) or 1e-12).alias("h"))
+    hl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g"), F.lit(bw[i] or 1e-12).alias("h"))
                    for i, g in enumerate(grid)])
     local = (data.select("_x", "_y", F.explode(hl).alias("_p")).select("_x", "_y", "_p.*")
              .withColumn("_u", F.col("_x") - F.col("g")).where(F.abs("_u") < F.col("h")))
     t = F.abs("_u") / F.col("h")
     w = F.pow(F.lit(1.0) - t * t * t, 3)
-    sums = local.withColumn("_w", w).groupBy("idx").agg(
-        F.count(F.lit(1)).alias("n_local"), F.sum("_w").alias("s0"), F.sum(F.col("_w") * F.col("_u")).alias("s1"),
-        F.sum(F.col("_w") * F.col("_u") * F.col("_u")).alias("s2"), F.sum(F.col("_w") * F.col("_y")).alias("t0"),
-        F.sum(F.col("_w") * F.col("_u") * F.col("_y")).alias("t1"))
-    det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    fit = F.when(det != 0, (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det).otherwise(F.col("t0") / F.col("s0"))
-    gx = F.array(*[F.lit(g) for g in grid])
-    return sums.select(F.col("idx").cast("bigint").alias("idx"), F.element_at(gx, F.col("idx") + 1).alias("x"),
-                       fit.alias("fit"), F.col("n_local").cast("bigint").alias("n_local"),
-                       F.element_at(F.array(*[F.lit(float(bw[i])) for i in range(len(grid))]), F.col("idx") + 1)
-                       .alias("bandwidth"))
+    local = local.withColumn("_w", w)
+    moments = [F.sum(F.col("_w") * F.pow(F.col("_u"), j)).alias(f"s{j}") for j in range(2 * degree + 1)]
+    targets = [F.sum(F.col("_w") * F.pow(F.col("_u"), j) * F.col("_y")).alias(f"t{j}") for j in range(degree + 1)]
+    sums = {r["idx"]: r for r in local.groupBy("idx").agg(F.count(F.lit(1)).alias("n_local"), *moments, *targets)
+            .collect()}
+    out = []
+    for i, g in enumerate(grid):
+        r = sums.get(i)
+        if r is None:
+            out.append((i, g, None, 0, bw[i]))
+            continue
+        A = np.array([[r[f"s{a + b}"] for b in range(degree + 1)] for a in range(degree + 1)], dtype=float)
+        c = np.array([r[f"t{a}"] for a in range(degree + 1)], dtype=float)
+        beta = np.linalg.lstsq(A, c, rcond=None)[0]
+        out.append((i, g, float(beta[0]), int(r["n_local"]), bw[i]))
+    return spark.createDataFrame(out, schema)

@@ -279,9 +279,9 @@ def q_ph_scoring(spark, sf):
 
 @register("loess_curve")
 def q_loess_curve(spark, sf):
-    """Local linear smooth of price on quantity at 100 grid points (span 0.75, tricube)."""
+    """Local quadratic smooth of price on quantity at 80 grid points (span 0.75, tricube)."""
     from limnos.operators.smooth import loess_curve
-    return loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", points=100)
+    return loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
 @register("permutation_importance")

@@ -17,12 +17,14 @@ def test_kde_integrates_to_one(spark):
     assert abs(area - 1.0) < 0.01
 
 
-def test_loess_follows_a_line(spark):
+def test_loess_reproduces_low_degree_polynomials(spark):
     x = np.linspace(0, 10, 500)
-    df = frame(spark, pd.DataFrame({"x": x, "y": 2 * x + 1}))
-    out = loess_curve(df, "x", "y", points=11).orderBy("idx").toPandas()
+    df = frame(spark, pd.DataFrame({"x": x, "y": 2 * x + 1, "z": 0.5 * x * x - x + 3}))
+    out = loess_curve(df, "x", "y", points=11, degree=1).orderBy("idx").toPandas()
     assert np.allclose(out.fit, 2 * out.x + 1, atol=1e-6)
     assert (out.n_local > 0).all()
+    quad = loess_curve(df, "x", "z", points=11).orderBy("idx").toPandas()  # default degree 2
+    assert np.allclose(quad.fit, 0.5 * quad.x ** 2 - quad.x + 3, atol=1e-6)
 
 
 def test_scoring_runs_on_a_stream(spark, tmp_path):
