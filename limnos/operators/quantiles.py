@@ -214,3 +214,80 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if exact:
         return exact_quantiles(df, cols, probs, accuracy=accuracy)
     return approx_quantiles(df, cols, probs, accuracy=accuracy)
+
+
+def grouped_kth_smallest(data: DataFrame, group: str, value: str, k: int, n_groups: int,
+                         accuracy: int = DEFAULT_ACCURACY, small_bracket: int = SMALL_BRACKET,
+                         sketch_points: int = 200, max_rounds: int = 16) -> list[float | None]:
+    """Exact k-th smallest ``value`` (1-based) in every group 0..n_groups-1.
+
+    ``group`` is an integer id in [0, n_groups); ``n_groups`` is small (a
+    grid).  Same selection as ``exact_quantiles``, for all groups per pass:
+    a sketch (``percentile_approx`` at ``sketch_points`` fixed probabilities
+    inside each group's bracket) proposes candidates, exact grouped
+    ``count_if`` verifies them, and brackets proven to hold at most
+    ``small_bracket`` values are gathered and indexed.  Per-group bounds
+    travel as literal arrays indexed by the group id (no join).
+    """
+    g = F.col(_q(group))
+    gi = g.cast("int") + 1  # 1-based array position of the group
+    v = F.col(_q(value))
+    inf = float("inf")
+    lo = [-inf] * n_groups
+    hi = [inf] * n_groups
+    le_lo = [0] * n_groups
+    counts = {r[0]: int(r[1]) for r in data.groupBy(g).agg(F.count(v)).collect()}
+    lt_hi = [counts.get(i, 0) for i in range(n_groups)]
+    res: list[float | None] = [None] * n_groups
+    open_g = [i for i in range(n_groups) if counts.get(i, 0) >= k]
+
+    def arr(xs):
+        return F.array(*[F.lit(float(x)) for x in xs])
+
+    def bracket_cond():
+        return (v > F.element_at(arr(lo), gi)) & (v < F.element_at(arr(hi), gi))
+
+    probs = [i / (sketch_points - 1) for i in range(sketch_points)]
+    for _ in range(max_rounds):
+        open_g = [i for i in open_g if res[i] is None]
+        if not open_g:
+            break
+        small = [i for i in open_g if lt_hi[i] - le_lo[i] <= small_bracket]
+        large = [i for i in open_g if i not in small]
+        aggs = []
+        if small:
+            aggs.append(F.sort_array(F.collect_list(F.when(bracket_cond(), v))).alias("vals"))
+        if large:
+            aggs.append(F.percentile_approx(F.when(bracket_cond(), v), probs, accuracy).alias("sk"))
+        rows = {r[0]: r for r in data.where(g.isin(open_g)).groupBy(g).agg(*aggs).collect()}
+        cands: dict[int, list[float]] = {}
+        for i in small:
+            vals = rows[i]["vals"] if i in rows else []
+            res[i] = float(vals[k - le_lo[i] - 1])
+        for i in large:
+            sk = [float(x) for x in (rows[i]["sk"] or [])] if i in rows else []
+            size = lt_hi[i] - le_lo[i]
+            rel = (k - le_lo[i] - 0.5) / size
+            j = min(len(sk) - 1, max(0, int(rel * (len(sk) - 1))))
+            cands[i] = sorted({sk[max(0, j - 1)], sk[j], sk[min(len(sk) - 1, j + 1)]}) if sk else []
+        if not cands:
+            continue
+        width = max(len(c) for c in cands.values())
+        exprs = []
+        for j in range(width):
+            cj = [cands.get(i, [0.0])[min(j, len(cands.get(i, [0.0])) - 1)] for i in range(n_groups)]
+            cv = F.element_at(arr(cj), gi)
+            exprs += [F.count_if(v < cv).alias(f"lt{j}"), F.count_if(v <= cv).alias(f"le{j}")]
+        crows = {r[0]: r for r in data.where(g.isin(list(cands))).groupBy(g).agg(*exprs).collect()}
+        for i, cl in cands.items():
+            r = crows[i]
+            for j, cval in enumerate(cl):
+                lt, le = int(r[f"lt{j}"]), int(r[f"le{j}"])
+                if lt < k <= le:
+                    res[i] = cval
+                    break
+                if le < k and cval > lo[i]:
+                    lo[i], le_lo[i] = cval, le
+                elif lt >= k and cval < hi[i]:
+                    hi[i], lt_hi[i] = cval, lt
+    return res

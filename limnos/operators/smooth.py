@@ -58,14 +58,16 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, suppo
 
 
 def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0.75, degree: int = 2,
-                accuracy: int = 10000, max_points: int = 200) -> DataFrame:
+                accuracy: int = 10000, max_points: int = 200, exact: bool = True) -> DataFrame:
     """D20 (re-aimed R ``loess`` as ``geom_smooth`` calls it: span 0.75,
     local quadratic, 80 evaluation points): local polynomial fit of y on x
     at ``points`` evenly spaced grid values, tricube weights.
 
-    The bandwidth at grid value g is the ``span`` quantile of |x - g|
-    (R's q = span * n nearest points), taken from a bounded sketch
-    (``percentile_approx``, rank error <= n / accuracy).  Each row is paired
+    The bandwidth at grid value g is the distance to the q-th nearest x,
+    q = floor(span * n): exact by grouped selection (``exact=True``), or a
+    bounded sketch (``percentile_approx``, rank error <= n / accuracy).
+    Direct evaluation at each grid point (R interpolates a kd-tree surface
+    by default, so values differ slightly from R).  Each row is paired
     with the grid points only (``points`` <= ``max_points``, checked); the
     weighted moment sums are partial aggregates over the grid index and the
     (degree+1)^2 normal equations are solved per grid point on the driver
@@ -87,8 +89,16 @@ def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)] if points > 1 else [lo]
     gl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g")) for i, g in enumerate(grid)])
     paired = data.select("_x", "_y", F.explode(gl).alias("_p")).select("_x", "_y", "_p.idx", "_p.g")
-    bw = {r["idx"]: float(r["h"]) for r in paired.groupBy("idx").agg(
-        F.percentile_approx(F.abs(F.col("_x") - F.col("g")), span, accuracy).alias("h")).collect()}
+    if exact:
+        from limnos.operators.quantiles import grouped_kth_smallest
+        n = data.count()
+        q_near = max(1, int(math.floor(n * span)))
+        dist = paired.select("idx", F.abs(F.col("_x") - F.col("g")).alias("_d"))
+        hs = grouped_kth_smallest(dist, "idx", "_d", q_near, len(grid), accuracy=accuracy)
+        bw = {i: float(h) for i, h in enumerate(hs)}
+    else:
+        bw = {r["idx"]: float(r["h"]) for r in paired.groupBy("idx").agg(
+            F.percentile_approx(F.abs(F.col("_x") - F.col("g")), span, accuracy).alias("h")).collect()}
     hl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g"), F.lit(bw[i] or 1e-12).alias("h"))
                    for i, g in enumerate(grid)])
     local = (data.select("_x", "_y", F.explode(hl).alias("_p")).select("_x", "_y", "_p.*")

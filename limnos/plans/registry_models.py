@@ -277,11 +277,34 @@ def q_ph_scoring(spark, sf):
     return score(tm, li).select(*B.LINEITEM_KEY, "prediction")
 
 
-@register("loess_curve")
+SQL_LOESS = """
+with d as (select cast(l_quantity as double) as x, cast(l_discount as double) as y from lineitem
+           where l_quantity is not null and l_discount is not null),
+r as (select min(x) as lo, max(x) as hi, count(*) as n from d),
+g as (select range as idx, lo + (hi - lo) * range / 79 as gx, n from range(80), r),
+dist as (select g.idx, g.gx, g.n, d.x, d.y, abs(d.x - g.gx) as dd from g, d),
+rk as (select idx, dd, row_number() over (partition by idx order by dd) as rn, n from dist),
+h as (select idx, max(dd) as h from rk where rn <= cast(floor(n * 0.75) as bigint) group by idx),
+w as (select dist.idx, dist.gx, dist.x - dist.gx as u, dist.y, h.h,
+             pow(1 - (dist.dd / h.h) * (dist.dd / h.h) * (dist.dd / h.h), 3) as wt
+      from dist join h on dist.idx = h.idx where dist.dd < h.h),
+s as (select idx, gx, h, count(*) as n_local, sum(wt) as s0, sum(wt * u) as s1, sum(wt * u * u) as s2,
+             sum(wt * u * u * u) as s3, sum(wt * u * u * u * u) as s4, sum(wt * y) as t0, sum(wt * u * y) as t1,
+             sum(wt * u * u * y) as t2 from w group by idx, gx, h)
+select cast(idx as bigint) as idx, round(gx, 6) as x,
+       round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
+             / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)), 6) as fit,
+       n_local, round(h, 6) as bandwidth from s"""
+
+
+@register("loess_curve", SQL_LOESS)
 def q_loess_curve(spark, sf):
-    """Local quadratic smooth of price on quantity at 80 grid points (span 0.75, tricube)."""
+    """Local quadratic smooth of discount on quantity at 80 grid points (span 0.75, tricube,
+    exact q-th-nearest bandwidth by grouped selection)."""
     from limnos.operators.smooth import loess_curve
-    return loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    out = loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_discount")
+    return out.select("idx", F.round("x", 6).alias("x"), F.round("fit", 6).alias("fit"), "n_local",
+                      F.round("bandwidth", 6).alias("bandwidth"))
 
 
 @register("permutation_importance")

@@ -34,3 +34,16 @@ def test_approx_is_close(spark):
     df = spark.range(10000).selectExpr("cast(id as double) as v")
     got = approx_quantiles(df, ["v"], [0.5])["v"][0]
     assert abs(got - 4999.5) <= 2
+
+
+def test_grouped_kth_smallest_exact(spark):
+    from limnos.operators.quantiles import grouped_kth_smallest
+    rng = np.random.default_rng(8)
+    n, groups = 6000, 5
+    pdf = pd.DataFrame({"g": rng.integers(0, groups, n), "v": np.round(rng.normal(size=n), 2)})
+    pdf.loc[:2000, "v"] = 0.5  # hot value
+    df = frame(spark, pdf)
+    for k in (1, 50, 600):
+        got = grouped_kth_smallest(df, "g", "v", k, groups, small_bracket=20, accuracy=100, sketch_points=10)
+        exp = [np.sort(pdf[pdf.g == i].v.to_numpy())[k - 1] for i in range(groups)]
+        assert np.allclose(got, exp)
