@@ -128,3 +128,15 @@ def test_permutation_is_a_permutation_and_importance_ranks_signal(data, spark):
     tm = train(df, ["x1", "x2"], "y", "linear")
     imp = permutation_importance(tm, df, "k").collect()
     assert imp[0]["feature"] == "x1" and imp[0]["mse_increase"] > imp[1]["mse_increase"] > 0
+
+
+def test_enrich_rounds_float_keys_and_dedupes(spark):
+    from limnos.operators.joins import enrich_left_join
+    sites = spark.createDataFrame([(1, 45.123, -63.456, "d1"), (2, 10.0, 10.0, "d1")],
+                                  "site int, lat double, lon double, day string")
+    temps = spark.createDataFrame([(45.1201, -63.4599, "d1", 10.0), (45.1249, -63.4551, "d1", 14.0)],
+                                  "lat double, lon double, day string, ts_celsius double")
+    out = {r["site"]: r for r in enrich_left_join(sites, temps, ["lat", "lon", "day"], ["ts_celsius"],
+                                                   round_keys={"lat": 2, "lon": 2}).collect()}
+    assert len(out) == 2 and out[1]["ts_celsius"] == 12.0 and out[2]["ts_celsius"] is None
+    assert out[1]["lat"] == 45.123  # the left row keeps its own coordinates
