@@ -57,22 +57,39 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, suppo
     return out.select(F.col("idx").cast("bigint").alias("idx"), gx.alias("x"), dens.alias("density"))
 
 
+def _kth_nearest_from_counts(xs, ns, grid, q_near):
+    """q-th nearest distance (1-based q) to each grid value from (distinct x, count) pairs:
+    the first distinct x, by distance, at which the running count reaches q."""
+    import numpy as np
+    xs, ns = np.asarray(xs, dtype=float), np.asarray(ns, dtype=np.int64)
+    out = []
+    for g in grid:
+        d = np.abs(xs - g)
+        order = np.argsort(d, kind="stable")
+        cum = np.cumsum(ns[order])
+        out.append(float(d[order][np.searchsorted(cum, q_near)]))
+    return out
+
+
 def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0.75, degree: int = 2,
-                accuracy: int = 10000, max_points: int = 200, exact: bool = True) -> DataFrame:
+                accuracy: int = 10000, max_points: int = 200, exact: bool = True,
+                small_distinct: int = 200_000) -> DataFrame:
     """D20 (re-aimed R ``loess`` as ``geom_smooth`` calls it: span 0.75,
     local quadratic, 80 evaluation points): local polynomial fit of y on x
     at ``points`` evenly spaced grid values, tricube weights.
 
-    The bandwidth at grid value g is the distance to the q-th nearest x,
-    q = floor(span * n): exact by grouped selection (``exact=True``), or a
-    bounded sketch (``percentile_approx``, rank error <= n / accuracy).
-    Direct evaluation at each grid point (R interpolates a kd-tree surface
-    by default, so values differ slightly from R).  Each row is paired
-    with the grid points only (``points`` <= ``max_points``, checked); the
-    weighted moment sums are partial aggregates over the grid index and the
-    (degree+1)^2 normal equations are solved per grid point on the driver
-    (``points`` small systems).  Standard errors are not computed.
-    -> (idx, x, fit, n_local, bandwidth)
+    The rows are first aggregated per distinct x (count, sum of y): weights
+    depend on x only, so every weighted moment is exact on that table, and
+    measurement precision bounds its size.  The bandwidth at grid value g
+    is the distance to the q-th nearest x, q = floor(span * n): computed on
+    the driver from the distinct-x table when it is proven small
+    (<= ``small_distinct`` rows), else by grouped exact selection over the
+    grid (``exact=True``) or a bounded sketch (``exact=False``).  Direct
+    evaluation at each grid point (R interpolates a kd-tree surface by
+    default, so values differ slightly from R).  The weighted sums are
+    partial aggregates over the grid index; the (degree+1)^2 normal
+    equations are solved per grid point on the driver.  Standard errors are
+    not computed.  -> (idx, x, fit, n_local, bandwidth)
     """
     import numpy as np
 
@@ -80,44 +97,48 @@ def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0
         raise ValueError(f"points must be <= {max_points}")
     X, Y = F.col(q(x)), F.col(q(y))
     data = df.where(X.isNotNull() & Y.isNotNull()).select(X.cast("double").alias("_x"), Y.cast("double").alias("_y"))
-    row = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()[0]
+    per_x = data.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy"))
+    row = per_x.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.sum("_n").alias("n"),
+                    F.count(F.lit(1)).alias("nd")).collect()[0]
     spark = df.sparkSession
     schema = "idx bigint, x double, fit double, n_local bigint, bandwidth double"
     if row["lo"] is None:
         return spark.createDataFrame([], schema)
-    lo, hi = float(row["lo"]), float(row["hi"])
+    lo, hi, n, n_distinct = float(row["lo"]), float(row["hi"]), int(row["n"]), int(row["nd"])
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)] if points > 1 else [lo]
-    gl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g")) for i, g in enumerate(grid)])
-    paired = data.select("_x", "_y", F.explode(gl).alias("_p")).select("_x", "_y", "_p.idx", "_p.g")
-    if exact:
-        from limnos.operators.quantiles import grouped_kth_smallest
-        n = data.count()
-        q_near = max(1, int(math.floor(n * span)))
-        dist = paired.select("idx", F.abs(F.col("_x") - F.col("g")).alias("_d"))
-        hs = grouped_kth_smallest(dist, "idx", "_d", q_near, len(grid), accuracy=accuracy)
-        bw = {i: float(h) for i, h in enumerate(hs)}
+    q_near = max(1, int(math.floor(n * span)))
+    if exact and n_distinct <= small_distinct:
+        pairs = per_x.select("_x", "_n").collect()  # size proven <= small_distinct
+        hs = _kth_nearest_from_counts([r[0] for r in pairs], [r[1] for r in pairs], grid, q_near)
+        bw = dict(enumerate(hs))
     else:
-        bw = {r["idx"]: float(r["h"]) for r in paired.groupBy("idx").agg(
-            F.percentile_approx(F.abs(F.col("_x") - F.col("g")), span, accuracy).alias("h")).collect()}
-    hl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g"), F.lit(bw[i] or 1e-12).alias("h"))
+        gl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g")) for i, g in enumerate(grid)])
+        paired = data.select("_x", F.explode(gl).alias("_p")).select("_x", "_p.idx", "_p.g")
+        if exact:
+            from limnos.operators.quantiles import grouped_kth_smallest
+            dist = paired.select("idx", F.abs(F.col("_x") - F.col("g")).alias("_d"))
+            bw = dict(enumerate(grouped_kth_smallest(dist, "idx", "_d", q_near, len(grid), accuracy=accuracy)))
+        else:
+            bw = {r["idx"]: float(r["h"]) for r in paired.groupBy("idx").agg(
+                F.percentile_approx(F.abs(F.col("_x") - F.col("g")), span, accuracy).alias("h")).collect()}
+    hl = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(g).alias("g"), F.lit(float(bw[i]) or 1e-12).alias("h"))
                    for i, g in enumerate(grid)])
-    local = (data.select("_x", "_y", F.explode(hl).alias("_p")).select("_x", "_y", "_p.*")
+    local = (per_x.select("_x", "_n", "_sy", F.explode(hl).alias("_p")).select("_x", "_n", "_sy", "_p.*")
              .withColumn("_u", F.col("_x") - F.col("g")).where(F.abs("_u") < F.col("h")))
     t = F.abs("_u") / F.col("h")
-    w = F.pow(F.lit(1.0) - t * t * t, 3)
-    local = local.withColumn("_w", w)
-    moments = [F.sum(F.col("_w") * F.pow(F.col("_u"), j)).alias(f"s{j}") for j in range(2 * degree + 1)]
-    targets = [F.sum(F.col("_w") * F.pow(F.col("_u"), j) * F.col("_y")).alias(f"t{j}") for j in range(degree + 1)]
-    sums = {r["idx"]: r for r in local.groupBy("idx").agg(F.count(F.lit(1)).alias("n_local"), *moments, *targets)
+    local = local.withColumn("_w", F.pow(F.lit(1.0) - t * t * t, 3))
+    moments = [F.sum(F.col("_w") * F.pow(F.col("_u"), j) * F.col("_n")).alias(f"s{j}") for j in range(2 * degree + 1)]
+    targets = [F.sum(F.col("_w") * F.pow(F.col("_u"), j) * F.col("_sy")).alias(f"t{j}") for j in range(degree + 1)]
+    sums = {r["idx"]: r for r in local.groupBy("idx").agg(F.sum("_n").alias("n_local"), *moments, *targets)
             .collect()}
     out = []
     for i, g in enumerate(grid):
         r = sums.get(i)
         if r is None:
-            out.append((i, g, None, 0, bw[i]))
+            out.append((i, g, None, 0, float(bw[i])))
             continue
         A = np.array([[r[f"s{a + b}"] for b in range(degree + 1)] for a in range(degree + 1)], dtype=float)
         c = np.array([r[f"t{a}"] for a in range(degree + 1)], dtype=float)
         beta = np.linalg.lstsq(A, c, rcond=None)[0]
-        out.append((i, g, float(beta[0]), int(r["n_local"]), bw[i]))
+        out.append((i, g, float(beta[0]), int(r["n_local"]), float(bw[i])))
     return spark.createDataFrame(out, schema)

@@ -40,3 +40,15 @@ def test_scoring_runs_on_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 200 and "DO_UpperCI" in got.columns
+
+
+def test_loess_bandwidth_is_qth_nearest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 10, 400)
+    x[:50] = 5.0  # ties
+    pdf = pd.DataFrame({"x": x, "y": rng.normal(size=400)})
+    q_near = int(np.floor(400 * 0.75))
+    exp = [np.sort(np.abs(x - g))[q_near - 1] for g in np.linspace(x.min(), x.max(), 9)]
+    for small in (200_000, 0):  # driver fast path and grouped selection
+        out = loess_curve(frame(spark, pdf), "x", "y", points=9, small_distinct=small).orderBy("idx").toPandas()
+        assert np.allclose(out.bandwidth, exp)
