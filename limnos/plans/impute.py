@@ -116,19 +116,32 @@ def _training_rows(df: DataFrame, target: str, remove_outliers: bool, threshold:
     return obs
 
 
-def fill_model(df: DataFrame, target: str, features: Sequence[str], kind: str, suffix: str,
-               remove_outliers: bool = True, threshold: float = 3.0, **params) -> DataFrame | None:
-    """Fit ``kind`` on observed rows (features mean-filled with the
-    training means), predict the missing rows; None if < 10 observed rows."""
+def _fit_model(df: DataFrame, target: str, features: Sequence[str], kind: str, remove_outliers: bool,
+               threshold: float, **params):
+    """Fit for N3/N6: (model, training means) or None when < 10 rows are observed."""
     obs = df.where(F.col(q(target)).isNotNull())
     if obs.limit(MIN_OBSERVED).count() < MIN_OBSERVED:
         return None
-    filled, _ = _mean_filled(df, features, obs)
+    filled, means = _mean_filled(df, features, obs)
     ffeats = [f"{f}__f" for f in features]
     train_rows = _training_rows(filled, target, remove_outliers, threshold)
-    tm = train(train_rows, ffeats, target, kind, standardize=False, **params)
+    return train(train_rows, ffeats, target, kind, standardize=False, **params), means
+
+
+def _apply_model(df: DataFrame, target: str, features: Sequence[str], fitted, suffix: str) -> DataFrame:
+    tm, means = fitted
+    filled = df.withColumns({f"{f}__f": F.coalesce(F.col(q(f)), F.lit(means[f])) for f in features})
     out = tm.transform(filled, prediction="_p")
-    return out.withColumn(f"{target}{suffix}", F.when(F.col(q(target)).isNull(), F.col("_p"))).drop("_p", *ffeats)
+    return out.withColumn(f"{target}{suffix}", F.when(F.col(q(target)).isNull(), F.col("_p"))).drop(
+        "_p", *[f"{f}__f" for f in features])
+
+
+def fill_model(df: DataFrame, target: str, features: Sequence[str], kind: str, suffix: str,
+               remove_outliers: bool = True, threshold: float = 3.0, **params) -> DataFrame | None:
+    """Fit ``kind`` on observed rows (features mean-filled with the
+    training means), predict the missing rows; None if < 10 observed rows."""
+    fitted = _fit_model(df, target, features, kind, remove_outliers, threshold, **params)
+    return None if fitted is None else _apply_model(df, target, features, fitted, suffix)
 
 
 def knn_k(n_train: int) -> int:
@@ -136,11 +149,8 @@ def knn_k(n_train: int) -> int:
     return min(20, max(3, int(n_train * 0.1)))
 
 
-def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suffix: str = "__knn",
-             remove_outliers: bool = True, threshold: float = 3.0) -> DataFrame | None:
-    """Features mean-filled and standardised over all rows (population
-    std of the filled column), exact distance-weighted kNN from the observed
-    rows (z-score filtered when n > 20) to the missing rows."""
+def _knn_predictions(df: DataFrame, key: str, target: str, features: Sequence[str], suffix: str,
+                     remove_outliers: bool, threshold: float) -> DataFrame | None:
     obs_n = df.where(F.col(q(target)).isNotNull()).limit(MIN_OBSERVED).count()
     if obs_n < MIN_OBSERVED:
         return None
@@ -154,8 +164,16 @@ def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suff
     k = knn_k(n_train)
     queries = scaled.where(F.col(q(target)).isNull())
     preds = knn_regress(train_rows, queries, key, zf, target, k)
-    preds = preds.select(F.col(q(key)), F.col("prediction").alias(f"{target}{suffix}"))
-    return df.join(preds, on=key, how="left")
+    return preds.select(F.col(q(key)), F.col("prediction").alias(f"{target}{suffix}"))
+
+
+def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suffix: str = "__knn",
+             remove_outliers: bool = True, threshold: float = 3.0) -> DataFrame | None:
+    """Features mean-filled and standardised over all rows (population
+    std of the filled column), exact distance-weighted kNN from the observed
+    rows (z-score filtered when n > 20) to the missing rows."""
+    preds = _knn_predictions(df, key, target, features, suffix, remove_outliers, threshold)
+    return None if preds is None else df.join(preds, on=key, how="left")
 
 
 def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estimator: str = "bayesian_ridge",
@@ -237,41 +255,62 @@ def blend(df: DataFrame, target: str, methods: Sequence[str], ratio: float, boun
 def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
            methods: Sequence[str] = ("knn", "iterative", "rf"), remove_outliers: bool = True,
            outlier_threshold: float = 3.0, keep_method_columns: bool = False,
-           rf_params: dict | None = None, gbm_params: dict | None = None, mice_rounds: int = 10) -> DataFrame:
+           rf_params: dict | None = None, gbm_params: dict | None = None, mice_rounds: int = 10,
+           parallelism: int = 4) -> DataFrame:
     """Fill the missing cells of ``targets`` (default: the five reference
     parameters present in ``df``; warn on partial absence, fail if none).
 
-    Returns ``df`` with the targets filled; with ``keep_method_columns`` the
-    per-method predictions ``<t>__<method>`` stay for comparison (N10).
+    The per-target fits (forest, boosting, kNN) and the chained equations
+    are independent, so they run as concurrent Spark jobs (``parallelism``
+    driver threads; each fit is itself distributed).  The filled columns are
+    then assembled lazily: tree predictions are narrow transforms, kNN
+    predictions one key join per target.  Returns ``df`` with the targets
+    filled; with ``keep_method_columns`` the per-method predictions
+    ``<t>__<method>`` stay for comparison (N10).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from limnos.operators.schema import require_columns
     targets = require_columns(df, list(targets or DEFAULT_TARGETS), mode="any")
-    cur = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ratios = missing_ratios(cur, targets)
-    produced: dict[str, list[str]] = {t: [] for t in targets}
+    base = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ratios = missing_ratios(base, targets)
+    rf_p = {"num_trees": 200, "max_depth": 15, "min_instances": 2, **(rf_params or {})}
+    gbm_p = {"max_iter": 100, "step_size": 0.05, "max_depth": 3, "min_instances": 5, **(gbm_params or {})}
+    jobs = {}
     if "iterative" in methods:
-        cur = fill_chained(cur, targets, rounds=mice_rounds)
-        for t in targets:
-            produced[t].append("iterative")
-    for t in targets:
-        if ratios[t] == 0:
-            continue
-        feats = choose_features(df, t, targets, key)
+        jobs[("iterative", None)] = lambda: fill_chained(base, targets, rounds=mice_rounds)
+    feats = {t: choose_features(df, t, targets, key) for t in targets if ratios[t] > 0}
+    kfeats = {t: choose_features(df, t, targets, key, top=KNN_TOP_FEATURES) for t in feats} if "knn" in methods else {}
+    for t in feats:
         if "rf" in methods:
-            p = {"num_trees": 200, "max_depth": 15, "min_instances": 2, **(rf_params or {})}
-            res = fill_model(cur, t, feats, "random_forest", "__rf", remove_outliers, outlier_threshold, **p)
-            if res is not None:
-                cur, produced[t] = res, produced[t] + ["rf"]
+            jobs[("rf", t)] = (lambda t=t: _fit_model(base, t, feats[t], "random_forest", remove_outliers,
+                                                      outlier_threshold, **rf_p))
         if "gbm" in methods:
-            p = {"max_iter": 100, "step_size": 0.05, "max_depth": 3, "min_instances": 5, **(gbm_params or {})}
-            res = fill_model(cur, t, feats, "gbm", "__gbm", remove_outliers, outlier_threshold, **p)
-            if res is not None:
-                cur, produced[t] = res, produced[t] + ["gbm"]
+            jobs[("gbm", t)] = (lambda t=t: _fit_model(base, t, feats[t], "gbm", remove_outliers,
+                                                       outlier_threshold, **gbm_p))
         if "knn" in methods:
-            kfeats = choose_features(df, t, targets, key, top=KNN_TOP_FEATURES)
-            res = fill_knn(cur, key, t, kfeats, "__knn", remove_outliers, outlier_threshold)
-            if res is not None:
-                cur, produced[t] = res, produced[t] + ["knn"]
+            jobs[("knn", t)] = (lambda t=t: _knn_predictions(base, key, t, kfeats[t], "__knn", remove_outliers,
+                                                             outlier_threshold))
+    if parallelism > 1 and len(jobs) > 1:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            futures = {k: pool.submit(fn) for k, fn in jobs.items()}
+            results = {k: f.result() for k, f in futures.items()}
+    else:
+        results = {k: fn() for k, fn in jobs.items()}
+
+    cur = results[("iterative", None)] if ("iterative", None) in results else base
+    produced: dict[str, list[str]] = {t: [] for t in targets}
+    if ("iterative", None) in results:
+        for t in targets:
+            produced[t].append("iterative")
+    for t in feats:
+        for m in ("rf", "gbm"):
+            fitted = results.get((m, t))
+            if fitted is not None:
+                cur, produced[t] = _apply_model(cur, t, feats[t], fitted, f"__{m}"), produced[t] + [m]
+        preds = results.get(("knn", t))
+        if preds is not None:
+            cur, produced[t] = cur.join(preds, on=key, how="left"), produced[t] + ["knn"]
         if "mean" in methods:
             cur, produced[t] = fill_mean(cur, [t]), produced[t] + ["mean"]
     bounds = quantiles(df, [t for t in targets if ratios[t] > 0], [0.01, 0.99]) if any(ratios.values()) else {}
