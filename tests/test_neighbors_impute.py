@@ -2,7 +2,6 @@ from conftest import frame
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from limnos.operators.neighbors import knn_regress
 from limnos.plans.impute import blend_weights, evaluate_imputation, fill_chained, impute, knn_k

@@ -2,7 +2,6 @@ import warnings
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from limnos.operators.schema import (datetime_columns, drop_empty_columns, require_columns, validate_nonnegative)
 from limnos.sources.ingest import parse_date_all_or_nothing, read_measurements, sentinels_to_null
