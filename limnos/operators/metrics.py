@@ -1,7 +1,8 @@
 """Model-quality statistics.
 
-All are single aggregates (optionally grouped by a split label), so they
-run as one pass with map-side partial aggregation.
+Each is one aggregate (optionally grouped by a split label), i.e. one pass
+with map-side partial aggregation; ``calibration_table`` first finds its
+percentile edges by exact selection (a few more passes over one column).
 """
 
 from __future__ import annotations

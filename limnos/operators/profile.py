@@ -2,8 +2,9 @@
 level counts, glimpse, histogram and combined range (D1-D6, D9, D13, D21).
 
 Every statistic over many columns is one fused ``agg`` (one pass, map-side
-partial aggregation, one row per task shuffled).  Long output is produced
-with ``stack`` on that one-row frame, so the plan stays lazy.
+partial aggregation, one row per task shuffled); percentiles come from the
+exact selection in ``quantiles`` and enter as literals.  Long output is an
+``explode`` of an array of per-column structs over that one-row frame.
 """
 
 from __future__ import annotations

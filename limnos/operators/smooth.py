@@ -1,5 +1,6 @@
-"""Kernel density on a grid.
+"""Kernel density on a grid (D14) and a local polynomial smoother.
 
+KDE:
 Scott's rule bandwidth h = stddev_samp * n^(-1/5); the grid runs from
 min - cut*h to max + cut*h (seaborn's defaults: 200 points, cut 3).
 
