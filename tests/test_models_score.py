@@ -140,3 +140,15 @@ def test_enrich_rounds_float_keys_and_dedupes(spark):
                                                    round_keys={"lat": 2, "lon": 2}).collect()}
     assert len(out) == 2 and out[1]["ts_celsius"] == 12.0 and out[2]["ts_celsius"] is None
     assert out[1]["lat"] == 45.123  # the left row keeps its own coordinates
+
+
+def test_variance_model_recovers_known_log_variance_slope(spark):
+    rng = np.random.default_rng(21)
+    n = 4000
+    x = rng.uniform(0, 4, n)
+    sd = np.exp(0.5 * (-1.0 + 0.8 * x))  # log variance = -1 + 0.8 x
+    pdf = pd.DataFrame({"x": x, "y": 2.0 + 1.5 * x + rng.normal(size=n) * sd})
+    gm = train_gaussian(frame(spark, pdf), ["x"], "y", mean_kind="linear")
+    out = gm.transform(frame(spark, pdf)).select("x", "logvar").toPandas()
+    slope = np.polyfit(out.x, out.logvar, 1)[0]
+    assert 0.6 < slope < 1.0
