@@ -113,3 +113,36 @@ def leaderboard(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def rank_by_value(df: DataFrame, order: Sequence[str], out: str = "rank", descending: bool = False,
+                  partitions: int | None = None) -> DataFrame:
+    """global 1-based position after sorting by ``order`` (value columns
+    then a key that makes the order total), e.g. the sample index of rows
+    sorted by prediction.
+
+    Range-partitioned two-pass index: ``repartitionByRange`` on the whole
+    order (ties of a hot value are split by the key, so no partition holds a
+    whole hot value), ``sortWithinPartitions``, a reliable checkpoint so both
+    passes see the same partitions, one count per partition (P rows to the
+    driver), then rank = partition offset + position inside the partition
+    (``monotonically_increasing_id`` restarts its low bits per partition).
+    No global window, no single-task sort.
+    """
+    from limnos.session import cut_lineage
+
+    cols = [F.col(q(c)) for c in order]
+    keys = [c.desc() for c in cols] if descending else [c.asc() for c in cols]
+    n_parts = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = df.repartitionByRange(int(n_parts), *keys).sortWithinPartitions(*keys)
+    ranged = ranged.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    ranged = cut_lineage(ranged)
+    counts = sorted((r[0], r[1]) for r in ranged.groupBy("_pid").count().collect())
+    offsets, run = {}, 0
+    for pid, c in counts:
+        offsets[pid] = run
+        run += c
+    off = F.element_at(F.create_map(*[x for pid in offsets for x in (F.lit(pid), F.lit(offsets[pid]))]), F.col("_pid")) \
+        if offsets else F.lit(0)
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
+    return ranged.withColumn(out, (off + pos + 1).cast("bigint")).drop("_pid", "_mid")

@@ -580,3 +580,13 @@ def q_profile_text_documents(spark, sf):
     """D5 text skim over whole documents (length range, empties, distinct texts, whitespace-only)."""
     from limnos.operators.profile import profile_text
     return profile_text(B.table(spark, sf, "documents"), DOC_TEXT_COLS)
+
+
+@register("rank_by_value", """
+select l_orderkey, l_linenumber, l_extendedprice,
+       row_number() over (order by l_extendedprice, l_orderkey, l_linenumber) as rank from lineitem""")
+def q_rank_by_value(spark, sf):
+    """position of every line after sorting by price (range-partitioned two-pass index)."""
+    from limnos.operators.ranking import rank_by_value
+    li = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rank_by_value(li, ["l_extendedprice", "l_orderkey", "l_linenumber"])

@@ -41,3 +41,18 @@ def test_rank_within_groups_keeps_null_group(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "a")], "k long, g string")
     got = {r["k"]: r["rn"] for r in rank_within_groups(df, "g", "k").collect()}
     assert got == {1: 1, 3: 2, 2: 1, 4: 2}
+
+
+def test_rank_by_value_hot_value_and_descending(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    n = 3000
+    pdf = pd.DataFrame({"k": np.arange(n), "v": np.round(rng.normal(size=n), 2)})
+    pdf.loc[:999, "v"] = 0.0  # a third of the rows tie
+    from limnos.operators.ranking import rank_by_value
+    got = rank_by_value(spark.createDataFrame(pdf), ["v", "k"], partitions=7).toPandas().sort_values("rank")
+    exp = pdf.sort_values(["v", "k"]).reset_index(drop=True)
+    assert list(got.rank) == list(range(1, n + 1)) and list(got.k) == list(exp.k)
+    desc = rank_by_value(spark.createDataFrame(pdf), ["v", "k"], descending=True).toPandas().sort_values("rank")
+    assert list(desc.k) == list(pdf.sort_values(["v", "k"], ascending=False).k)
