@@ -53,6 +53,6 @@ def test_rank_by_value_hot_value_and_descending(spark):
     from limnos.operators.ranking import rank_by_value
     got = rank_by_value(spark.createDataFrame(pdf), ["v", "k"], partitions=7).toPandas().sort_values("rank")
     exp = pdf.sort_values(["v", "k"]).reset_index(drop=True)
-    assert list(got.rank) == list(range(1, n + 1)) and list(got.k) == list(exp.k)
+    assert list(got["rank"]) == list(range(1, n + 1)) and list(got.k) == list(exp.k)
     desc = rank_by_value(spark.createDataFrame(pdf), ["v", "k"], descending=True).toPandas().sort_values("rank")
     assert list(desc.k) == list(pdf.sort_values(["v", "k"], ascending=False).k)
