@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.operators.quantiles import quantiles
+from limnos.operators.quantiles import quantiles, quantiles_with_stats
 
 
 def q(name: str) -> str:
@@ -57,25 +57,37 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return out.withColumn("pct_missing", F.round(F.try_divide(F.col("n_missing") * 100.0, F.col("n_rows")), 6))
 
 
+def _literal_row(spark, values: dict, types: dict) -> DataFrame:
+    """One-row frame of literal statistics (typed), so rounding stays in Spark."""
+    return spark.range(1).select(*[F.lit(v).cast(types[k]).alias(k) for k, v in values.items()])
+
+
 def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True,
              digits: int | None = 6) -> DataFrame:
     """D3: count, mean, sample std, min, 25/50/75 % (linear), max per column.
 
     Not ``df.summary()`` (approximate percentiles).  Percentiles come from
-    exact selection (``exact=True``) or a sketch pass.
+    exact selection (``exact=True``) or a sketch pass; the moments ride in
+    the selection's first pass (no separate scan).
     """
     cols = list(cols or numeric_columns(df))
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
-    aggs = []
+    stats = []
     for i, c in enumerate(cols):
         x = F.col(q(c)).cast("double")
-        aggs += [F.count(x).alias(f"c{i}_count"), F.avg(x).alias(f"c{i}_mean"),
-                 F.stddev_samp(x).alias(f"c{i}_std"), F.min(x).alias(f"c{i}_min"),
-                 F.max(x).alias(f"c{i}_max")]
-    wide = df.agg(*aggs)
+        stats += [F.count(x).alias(f"c{i}_count"), F.avg(x).alias(f"c{i}_mean"),
+                  F.stddev_samp(x).alias(f"c{i}_std"), F.min(x).alias(f"c{i}_min"),
+                  F.max(x).alias(f"c{i}_max")]
+    qs, row = quantiles_with_stats(df.select(*[F.col(q(c)) for c in cols]), cols, [0.25, 0.5, 0.75], stats,
+                                   exact=exact)
+    values, types = {}, {}
     for i, c in enumerate(cols):
+        for f in ("count", "mean", "std", "min", "max"):
+            values[f"c{i}_{f}"] = row[f"c{i}_{f}"]
+            types[f"c{i}_{f}"] = "bigint" if f == "count" else "double"
         for name, v in zip(("p25", "p50", "p75"), qs[c]):
-            wide = wide.withColumn(f"c{i}_{name}", F.lit(v).cast("double") if v == v else F.lit(None).cast("double"))
+            values[f"c{i}_{name}"] = v if v == v else None
+            types[f"c{i}_{name}"] = "double"
+    wide = _literal_row(df.sparkSession, values, types)
     fields = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     out = _stack_long(wide, cols, fields)
     if digits is not None:
@@ -87,29 +99,44 @@ def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
                     digits: int | None = 6, hist_bins: int = 5) -> DataFrame:
     """D5 (numeric): n_missing, complete_rate, mean, sd, p0, p25, p50, p75, p100
     and ``hist``: counts in ``hist_bins`` equal-width bins over [p0, p100]
-    (the maximum in the last bin) as space-separated text.  The bin counts
-    ride in the same aggregate as the moments."""
+    (the maximum in the last bin) as space-separated text.  Moments ride in
+    the quantile selection's first pass; the bin counts need the range, so
+    they take one more aggregate."""
     cols = list(cols or numeric_columns(df))
-    qs = quantiles(df, cols, [0.0, 0.25, 0.5, 0.75, 1.0], exact=exact)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    proj = df.select(*[F.col(q(c)) for c in cols])
+    stats = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
+        x = F.col(q(c)).cast("double")
+        stats += [F.count_if(x.isNull()).alias(f"c{i}_n_missing"), F.avg(x).alias(f"c{i}_mean"),
+                  F.stddev_samp(x).alias(f"c{i}_sd")]
+    qs, row = quantiles_with_stats(proj, cols, [0.0, 0.25, 0.5, 0.75, 1.0], stats, exact=exact)
+    hist_aggs = []
     for i, c in enumerate(cols):
         x = F.col(q(c)).cast("double")
-        aggs += [F.count_if(x.isNull()).alias(f"c{i}_n_missing"), F.avg(x).alias(f"c{i}_mean"),
-                 F.stddev_samp(x).alias(f"c{i}_sd")]
         lo, hi = qs[c][0], qs[c][-1]
         if lo == lo and hi == hi:
             width = (hi - lo) if hi > lo else 1.0
             b = F.least(F.floor((x - F.lit(lo)) / F.lit(width) * F.lit(hist_bins)), F.lit(hist_bins - 1))
-            aggs.append(F.concat_ws(" ", *[F.count_if(b == j).cast("string") for j in range(hist_bins)])
-                        .alias(f"c{i}_hist"))
+            hist_aggs.append(F.concat_ws(" ", *[F.count_if(b == j).cast("string") for j in range(hist_bins)])
+                             .alias(f"c{i}_hist"))
         else:
-            aggs.append(F.lit("").alias(f"c{i}_hist"))
-    wide = df.agg(*aggs)
+            hist_aggs.append(F.lit("").alias(f"c{i}_hist"))
+    hrow = proj.agg(*hist_aggs).collect()[0]
+    n = row["n"]
+    values, types = {}, {}
     for i, c in enumerate(cols):
+        nm = row[f"c{i}_n_missing"]
+        values.update({f"c{i}_n_missing": nm, f"c{i}_mean": row[f"c{i}_mean"], f"c{i}_sd": row[f"c{i}_sd"],
+                       f"c{i}_hist": hrow[f"c{i}_hist"]})
+        types.update({f"c{i}_n_missing": "bigint", f"c{i}_mean": "double", f"c{i}_sd": "double",
+                      f"c{i}_hist": "string"})
+        for name, v in zip(("p0", "p25", "p50", "p75", "p100"), qs[c]):
+            values[f"c{i}_{name}"] = v if v == v else None
+            types[f"c{i}_{name}"] = "double"
+    wide = _literal_row(df.sparkSession, values, types).withColumn("n", F.lit(n).cast("bigint"))
+    for i in range(len(cols)):
         wide = wide.withColumn(f"c{i}_complete_rate",
                                F.try_divide(F.col("n") - F.col(f"c{i}_n_missing"), F.col("n")))
-        for name, v in zip(("p0", "p25", "p50", "p75", "p100"), qs[c]):
-            wide = wide.withColumn(f"c{i}_{name}", F.lit(v).cast("double") if v == v else F.lit(None).cast("double"))
     fields = ["n_missing", "complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100", "hist"]
     out = _stack_long(wide, cols, fields)
     if digits is not None:
