@@ -105,7 +105,17 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
     data = df.select(*[F.col(q(c)) for c in features], F.col(q(label))).na.drop()
     stages = []
     params: dict = {}
-    stats = fit_standardizer(data, features) if standardize else {}
+    penalised = kind in ("ridge", "lasso", "elastic_net")
+    stats: dict = {}
+    if standardize or penalised:
+        # one pass: scaler statistics and, for penalised fits, n and sigma of the label
+        aggs = [F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(q(label))).alias("sy")]
+        if standardize:
+            for i, c in enumerate(features):
+                aggs += [F.avg(F.col(q(c))).alias(f"m{i}"), F.stddev_pop(F.col(q(c))).alias(f"s{i}")]
+        srow = data.agg(*aggs).collect()[0]
+        if standardize:
+            stats = {c: (srow[f"m{i}"], srow[f"s{i}"]) for i, c in enumerate(features)}
     zfeat = [c + "__z" for c in features] if standardize else list(features)
     if standardize:
         stages.append(standardizer_stage(stats))
@@ -116,9 +126,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
         stages.append(poly)
     stages.append(VectorAssembler(inputCols=vec_in, outputCol="features", handleInvalid="keep"))
 
-    if kind in ("ridge", "lasso", "elastic_net"):
-        row = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(F.col(q(label))).alias("sy")).collect()[0]
-        n, sy = int(row["n"]), float(row["sy"] or 0.0)
+    if penalised:
+        n, sy = int(srow["n"]), float(srow["sy"] or 0.0)
         params.update(n_train=n, sigma_y=sy, alpha=alpha)
     if kind in ("linear", "polynomial"):
         reg = LinearRegression(labelCol=label, regParam=0.0, solver="normal", standardization=False)
