@@ -33,3 +33,9 @@ def test_imputation_summary(spark):
     after = spark.createDataFrame([(1.0,), (2.0,), (None,), (4.0,)], "a double")
     r = imputation_summary(before, after, ["a"]).collect()[0]
     assert (r["missing_before"], r["missing_after"], r["pct_before"], r["pct_after"]) == (2, 1, 50.0, 25.0)
+
+
+def test_project_numeric_keeps_numbers_only(spark):
+    from limnos.operators.schema import project_numeric
+    df = spark.createDataFrame([(1, 2.0, "a", True)], "i int, d double, s string, b boolean")
+    assert project_numeric(df).columns == ["i", "d"]

@@ -152,3 +152,19 @@ def test_variance_model_recovers_known_log_variance_slope(spark):
     out = gm.transform(frame(spark, pdf)).select("x", "logvar").toPandas()
     slope = np.polyfit(out.x, out.logvar, 1)[0]
     assert 0.6 < slope < 1.0
+
+
+def test_additive_hinge_model_beats_linear_on_a_curve(spark):
+    from limnos.plans.models import adjusted_r2, hinge_basis
+    rng = np.random.default_rng(13)
+    n = 1500
+    x = rng.uniform(0, 6, n)
+    pdf = pd.DataFrame({"x": x, "y": np.sin(x) * 3 + rng.normal(0, 0.3, n)})
+    df = frame(spark, pdf)
+    lin = train(df, ["x"], "y", "linear")
+    r2_lin = regression_metrics(lin.transform(df), "y", "prediction").collect()[0]["r2"]
+    based, names = hinge_basis(df, ["x"], knots=5)
+    add = train(based, ["x", *names], "y", "ridge", alpha=1.0)
+    r2_add = regression_metrics(add.transform(based), "y", "prediction").collect()[0]["r2"]
+    assert len(names) == 5 and r2_add > r2_lin + 0.3
+    assert adjusted_r2(r2_add, n, 6) < r2_add
