@@ -86,6 +86,12 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     groups = members.groupBy(*tcols).agg(F.collect_list(F.struct("_tk", "_y")).alias("_members"))
     if checkpoint:
         groups = cut_lineage(groups)
+    if len(tcols) > dims:
+        # grid the most varied dimensions (distance does not depend on the order)
+        nd = groups.agg(*[F.approx_count_distinct(c).alias(c) for c in tcols]).collect()[0]
+        order = sorted(range(len(tcols)), key=lambda i: -nd[tcols[i]])
+        tcols = [tcols[i] for i in order]
+        qcols = [qcols[i] for i in order]
     stats = groups.agg(F.count(F.lit(1)).alias("ng"),
                        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(tcols[:dims])],
                        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(tcols[:dims])]).collect()[0]

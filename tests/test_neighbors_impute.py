@@ -94,3 +94,18 @@ def test_evaluate_imputation_rows(gappy):
     assert {r["method"] for r in rows} == {"blend", "knn", "iterative"}
     do_iter = [r for r in rows if r["target"] == "doxy_mg_L" and r["method"] == "iterative"][0]
     assert do_iter["r2"] > 0.5
+
+
+def test_knn_exact_in_six_dimensions_with_constant_leading_features(spark):
+    rng = np.random.default_rng(17)
+    n = 500
+    cols = ["c1", "c2", "a", "b", "c", "d"]
+    tr = pd.DataFrame({"key": np.arange(n), "c1": 0.0, "c2": np.where(rng.random(n) < 0.9, 0.0, 1.0),
+                       "a": rng.normal(size=n), "b": rng.normal(size=n), "c": np.round(rng.normal(size=n), 1),
+                       "d": rng.normal(size=n), "y": rng.normal(size=n)})
+    qu = pd.DataFrame({"qkey": np.arange(60) + 10000, "c1": 0.0, "c2": 0.0, "a": rng.normal(size=60),
+                       "b": rng.normal(size=60), "c": rng.normal(size=60), "d": rng.normal(size=60)})
+    got = knn_regress(spark.createDataFrame(tr), spark.createDataFrame(qu), "key", cols, "y", 5,
+                      query_key="qkey").toPandas()
+    exp = _brute(tr, qu, cols, 5)
+    assert len(got) == 60 and max(abs(r.prediction - exp[r.qkey]) for r in got.itertuples()) < 1e-9
