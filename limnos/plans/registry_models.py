@@ -314,3 +314,28 @@ def q_permutation_importance(spark, sf):
     li = _li(spark, sf)
     tm = train(li, FEATS, "revenue", "random_forest", num_trees=50, max_depth=8)
     return permutation_importance(tm, li, B.LINEITEM_KEY)
+
+
+def _sql_cv_ols() -> str:
+    fold = B.sql_bucket(B.LI_KEY_SQL, 5)
+    e = "(y - pred)"
+    return f"""
+with d as (select l_extendedprice / 10000 as x, l_extendedprice * (1 - l_discount) / 10000 as y,
+                  cast({fold} as integer) as fold from lineitem),
+c as (select f.range as fold, regr_slope(d.y, d.x) as b, regr_intercept(d.y, d.x) as a
+      from range(5) f, d where d.fold <> f.range group by f.range),
+p as (select d.fold, d.y, c.a + c.b * d.x as pred from d join c on d.fold = c.fold)
+select cast(fold as integer) as fold, count(*) as n, round(avg({e} * {e}), 6) as mse,
+       round(sqrt(avg({e} * {e})), 6) as rmse, round(avg(abs({e})), 6) as mae,
+       round(1 - sum({e} * {e}) / (var_pop(y) * count(y)), 6) as r2 from p group by fold"""
+
+
+@register("cv_ols_folds", _sql_cv_ols())
+def q_cv_ols_folds(spark, sf):
+    """L3: 5 hash folds, OLS refitted on the other four folds (scaler refitted too), metrics on each fold
+    (revenue on price, in 10k units)."""
+    from limnos.plans.tuning import cross_val_scores
+    li = B.table(spark, sf, "lineitem").select(
+        *B.LINEITEM_KEY, (F.col("l_extendedprice") / 10000).alias("x"),
+        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) / 10000).alias("y"))
+    return cross_val_scores(li, ["x"], "y", B.LINEITEM_KEY, "linear", 5)
