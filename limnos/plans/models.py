@@ -246,15 +246,15 @@ def train_gaussian(df: DataFrame, features: Sequence[str], label: str, mean_kind
     data = df.select(*[F.col(q(c)) for c in features], F.col(q(label))).na.drop()
     scored = mean.transform(data, prediction="_mu")
     resid = scored.withColumn("_r2", F.greatest((F.col(q(label)) - F.col("_mu")) ** 2, F.lit(1e-12)))
-    stats = fit_standardizer(data, list(features))
+    stats = fit_standardizer(data, [*features, label])  # one pass: feature scaler + label moments
+    label_mean, label_std = stats.pop(label)
     var_pipe = Pipeline(stages=[
         standardizer_stage(stats, suffix="__v"),
         VectorAssembler(inputCols=[c + "__v" for c in features], outputCol="var_features", handleInvalid="keep"),
         GeneralizedLinearRegression(family="gamma", link="log", featuresCol="var_features", labelCol="_r2",
                                     predictionCol="_var", maxIter=50),
     ]).fit(resid)
-    row = data.agg(F.avg(F.col(q(label))).alias("m"), F.stddev_pop(F.col(q(label))).alias("s")).collect()[0]
-    return GaussianModel(mean, var_pipe, float(row["m"]), float(row["s"] or 1.0))
+    return GaussianModel(mean, var_pipe, float(label_mean), float(label_std or 1.0))
 
 
 def adjusted_r2(r2: float, n: int, p: int) -> float:
