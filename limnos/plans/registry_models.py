@@ -11,6 +11,8 @@ intercepts of magnitude 1e4).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from limnos.plans import bindings as B
@@ -339,3 +341,34 @@ def q_cv_ols_folds(spark, sf):
         *B.LINEITEM_KEY, (F.col("l_extendedprice") / 10000).alias("x"),
         (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) / 10000).alias("y"))
     return cross_val_scores(li, ["x"], "y", B.LINEITEM_KEY, "linear", 5)
+
+
+RIDGE_GRID = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
+
+
+def _sql_ridge_grid() -> str:
+    fold = B.sql_bucket(B.LI_KEY_SQL, 5)
+    grid = ", ".join(f"('{json.dumps({'alpha': a})}', {a!r})" for a in RIDGE_GRID)
+    e = "(y - pred)"
+    return f"""
+with d as (select l_extendedprice / 10000 as x, l_extendedprice * (1 - l_discount) / 10000 as y,
+                  cast({fold} as integer) as fold from lineitem),
+g as (select * from (values {grid}) t(params, alpha)),
+st as (select f.range as fold, count(*) as n, covar_pop(d.x, d.y) as cxy, var_pop(d.x) as vx, avg(d.x) as mx,
+              avg(d.y) as my from range(5) f, d where d.fold <> f.range group by f.range),
+c as (select g.params, st.fold, st.n * st.cxy / (st.vx * (st.n + g.alpha)) as b, st.mx, st.my from g, st),
+p as (select c.params, d.fold, d.y, c.my + c.b * (d.x - c.mx) as pred from c join d on d.fold = c.fold),
+m as (select params, fold, round(avg({e} * {e}), 6) as mse,
+             round(1 - sum({e} * {e}) / (var_pop(y) * count(y)), 6) as r2 from p group by params, fold)
+select params, round(avg(mse), 6) as mean_mse, round(avg(r2), 6) as mean_r2 from m group by params"""
+
+
+@register("tune_ridge_one_feature", _sql_ridge_grid())
+def q_tune_ridge_one_feature(spark, sf):
+    """L4 + L3: ridge alpha grid over 5 hash folds (scaler and fit per fold), mean CV MSE and R^2
+    (revenue on price, in 10k units)."""
+    from limnos.plans.tuning import grid_search
+    li = B.table(spark, sf, "lineitem").select(
+        *B.LINEITEM_KEY, (F.col("l_extendedprice") / 10000).alias("x"),
+        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount")) / 10000).alias("y"))
+    return grid_search(li, ["x"], "y", B.LINEITEM_KEY, "ridge", {"alpha": RIDGE_GRID}, k=5)
