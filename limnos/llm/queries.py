@@ -46,3 +46,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (
+  SELECT rid, size, k, array_to_string(w[k:k + size - 1], ' ') AS win
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)),
+h AS (SELECT rid, k, dw.size, item FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS p FROM h) GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+@register("op8_benchmark_decontamination", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against every 10-word window of the benchmark."""
+    from limnos.llm.decontaminate import scan
+
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@register("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    from limnos.llm.pii import BASE_KINDS, find_spans, joined
+
+    found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    count = {k: F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS}
+    base = joined(F.filter("pii", lambda x: x["rank"] < len(BASE_KINDS)))
+    return found.select("doc_id", *count.values(), F.sha2(base, 256).alias("base_sha256"),
+                        joined(F.col("pii")).alias("spans"))
