@@ -92,3 +92,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = joined(F.filter("pii", lambda x: x["rank"] < len(BASE_KINDS)))
     return found.select("doc_id", *count.values(), F.sha2(base, 256).alias("base_sha256"),
                         joined(F.col("pii")).alias("spans"))
+
+
+@register("op3_shard_bytes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, copies together."""
+    from limnos.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op6_repeated_units")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated sentence of at least six words in all documents, but its earliest occurrence."""
+    from limnos.llm.substring_dedup import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents"), "sentence", 6)
