@@ -110,3 +110,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.substring_dedup import repeated_units
 
     return repeated_units(table(spark, sf_dir, "documents"), "sentence", 6)
+
+
+@register("op4_ngram_jaccard")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard 0.8 of 5-word shingles."""
+    from limnos.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
