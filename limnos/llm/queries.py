@@ -88,9 +88,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.pii import BASE_KINDS, find_spans, joined
 
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
-    count = {k: F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS}
+
+    def count(kind: str):
+        return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = joined(F.filter("pii", lambda x: x["rank"] < len(BASE_KINDS)))
-    return found.select("doc_id", *count.values(), F.sha2(base, 256).alias("base_sha256"),
+    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(base, 256).alias("base_sha256"),
                         joined(F.col("pii")).alias("spans"))
 
 
