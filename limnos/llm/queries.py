@@ -121,3 +121,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learnt from the labelled ones that are not held out."""
+    from limnos.llm.langid import predict, train
+    from limnos.llm.runtime import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.where((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull()).select(
+        "doc_id", "text", F.col("lang").alias("label"))
+    found = predict(docs, train(learn))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+                        "lang_pred", "score")
+
+
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels that are not held out."""
+    from limnos.llm.runtime import crc_mod
+    from limnos.llm.toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return score(docs, model).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
