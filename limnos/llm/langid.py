@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of 1 to 3 letters inside words; a text's weight of
-a feature is its share of the text's n-grams times ln((1 + N) / (1 + df)) + 1,
-with N and df counted over every learning row.  The weights of the labels are
+a feature is its share of the text's n-grams times ln((1 + N) / (1 + df)) + 1
+(and a constant), with N and df counted over every learning row.  The weights of the labels are
 learnt by follow-the-regularised-leader with elastic-net penalties (so most
 stay exactly zero) on a sample of at most ``max_train`` learning rows, chosen by
 a hash and evened out over the labels; a quarter of it is held back to fit one
@@ -27,6 +27,7 @@ from limnos.llm.runtime import ship, sum_parts, vector_parts
 
 BITS, ORDERS, PARTS = 16, (1, 2, 3), 16
 MAX_TRAIN, MAX_LABELS = 4000, 1000
+SCALE, STEPS = 20.0, 12_000      # of the shares; documents seen in training, at least
 
 
 def _counts(texts, n_rows: int):
@@ -83,7 +84,7 @@ class Model:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def ftrl(samples, n_labels: int, alpha=0.5, beta=1.0, l1=0.002, l2=0.01, epochs=3) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(samples, n_labels: int, alpha=0.5, beta=1.0, l1=0.002, l2=0.01) -> tuple[np.ndarray, np.ndarray]:
     """Per-coordinate FTRL-proximal for multinomial logistic loss.  samples: (features, values, label)."""
     size = (1 << BITS) + 1                       # the last feature is the bias
     z, n = np.zeros((size, n_labels)), np.zeros((size, n_labels))
@@ -95,7 +96,7 @@ def ftrl(samples, n_labels: int, alpha=0.5, beta=1.0, l1=0.002, l2=0.01, epochs=
         return w
 
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(max(3, -(-STEPS // max(len(samples), 1)))):
         for k in order.permutation(len(samples)):
             f, x, y = samples[k]
             f, x = np.append(f, size - 1), np.append(x, 1.0)
@@ -162,13 +163,13 @@ def train(learn: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     samples = []
     for r in got:
         b, c = np.frombuffer(r["b"], "<u4").astype(np.int64), np.frombuffer(r["c"], "<u4")
-        samples.append((b, idf[b] * c / c.sum(), labels.index(r["label"])))
+        samples.append((b, SCALE * idf[b] * c / c.sum(), labels.index(r["label"])))
     held = samples[::4] if len(samples) >= 40 else []
     fit = [s for k, s in enumerate(samples) if not held or k % 4]
     w, bias = ftrl(fit, len(labels))
     logits = np.array([x @ w[b] + bias for b, x, _ in held]).reshape(len(held), len(labels))
     t = fit_temperature(logits, np.array([y for _, _, y in held], int))
-    return Model(labels, w * idf[:, None], bias, t)
+    return Model(labels, SCALE * w * idf[:, None], bias, t)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

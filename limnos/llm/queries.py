@@ -147,3 +147,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, labels.where(crc_mod("doc_id", 5) != 0))
     return score(docs, model).select(
         "doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register("op5_nearest_vectors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every vector whose id is divisible by 100."""
+    from limnos.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), 10)

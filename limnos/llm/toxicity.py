@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from limnos.llm.ngrams import Chars, bucket, groups
 from limnos.llm.runtime import ship
 
-BITS, ORDERS, RUN, DIM = 17, (3, 4, 5), 32, 8
+BITS, ORDERS, RUN, DIM = 17, (3, 4, 5), 4, 8
 MAX_TRAIN = 3000
 
 
