@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from limnos.session import cut_lineage, ensure_checkpoint_dir
 
 _shipped: set[str] = set()
+#: Rows sent to Python at once, where the session has Spark's own default: texts are long.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "512"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable by Python workers (once per application)."""
+    """Make the package importable by Python workers (once per application), and keep the
+    batches sent to them small unless the session has chosen a size."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
