@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.components import connected_components
-from limnos.llm.runtime import cut_lineage, ship
+from limnos.llm.runtime import cut_lineage, ship, sum_parts, vector_parts
 from limnos.llm.textops import splitmix, window_hashes, word_slices, word_table
 
 WORDS = 5
@@ -100,13 +100,10 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if held:
                 counts += _bucket_counts(held)
             yield _profile_batch(batch.column(0), n, sid)
-        step = len(counts) // SKETCH_PARTS
         if counts.any():
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.nulls(SKETCH_PARTS, pa.int64()), "n": pa.nulls(SKETCH_PARTS, pa.int64()),
-                "sid": pa.nulls(SKETCH_PARTS, pa.int64()), "part": pa.array(range(SKETCH_PARTS), pa.int32()),
-                "counts": pa.array([counts[k * step:(k + 1) * step].astype("<i8").tobytes()
-                                    for k in range(SKETCH_PARTS)], pa.binary())})
+            none = [pa.nulls(SKETCH_PARTS, pa.int64())] * 3
+            sums = vector_parts(counts, SKETCH_PARTS)
+            yield pa.RecordBatch.from_arrays([*none, *sums.columns], names=["doc_id", "n", "sid", "part", "counts"])
 
     return docs.mapInArrow(run, PROFILE)
 
@@ -122,27 +119,6 @@ def _profile_batch(ids, n, sid) -> pa.RecordBatch:
                                        "part": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
 
 
-def sketch_sums(profiled: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up: 2**SKETCH_BITS sums, whatever the corpus."""
-
-    def run(batches):
-        sums = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, "<i8")
-                sums[part] = sums[part] + x if part in sums else x
-        if sums:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array(
-                [x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
-
-    rows = (profiled.where("part IS NOT NULL").select("part", "counts").repartition(SKETCH_PARTS, "part")
-            .mapInArrow(run, "part int, counts binary").collect())
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
-    for r in rows:
-        out[r["part"]] += np.frombuffer(r["counts"], "<i8")
-    return out.reshape(-1)
-
-
 # ------------------------------------------------------------ candidate groups
 
 POSTING = "h long, sid long, lo int, hi int, deal int, hot boolean"
@@ -487,7 +463,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow = _narrow(docs, id_col, text_col)
     profiled = cut_lineage(profile(narrow))
     rows = profiled.where("part IS NULL").select("doc_id", "n", "sid")
-    sums = sketch_sums(profiled)
+    sums = sum_parts(profiled.where("part IS NOT NULL"), SKETCH_PARTS, 1 << SKETCH_BITS)
     groups = candidate_groups(narrow, sums, int(sums.sum()) // 5 + 1, hot_list=hot_list)
 
     reps = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
@@ -518,4 +494,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` (all columns) without the documents that are not their component's smallest doc_id."""
     found = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(
         F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")

@@ -167,6 +167,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; of overlapping spans the
     one that starts first (then the earlier kind) is replaced.  NULL texts stay NULL."""
     tmp = "_pii_spans"
+    while tmp in docs.columns:
+        tmp += "_"
     marked = find_spans(docs, text_col, tmp)
     text, spans = F.col(text_col), F.col(tmp)
     whole = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))

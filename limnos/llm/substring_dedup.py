@@ -114,11 +114,11 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """``docs`` with the spans (doc_id, start, end) cut out of the text; all columns stay."""
     cuts = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
-    text = F.col(text_col)
-    ends = F.transform("_cuts", lambda x: x["end"])
-    starts = F.concat(F.transform("_cuts", lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    text, spots = docs[text_col], cuts["_cuts"]
+    ends = F.transform(spots, lambda x: x["end"])
+    starts = F.concat(F.transform(spots, lambda x: x["start"]), F.array(F.length(text).cast("long")))
     pieces = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), ends), starts, lambda a, b: F.substr(
         text, (a + 1).cast("int"), (b - a).cast("int")))
-    clean = F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(pieces, ""))
-    return (docs.join(cuts, docs[id_col].eqNullSafe(F.col("_cut_id")), "left")
-            .withColumn(text_col, clean).select(*docs.columns))
+    clean = F.when(spots.isNull(), text).otherwise(F.array_join(pieces, ""))
+    return docs.join(cuts, docs[id_col].eqNullSafe(cuts["_cut_id"]), "left").select(
+        *(clean.alias(c) if c == text_col else docs[c] for c in docs.columns))
