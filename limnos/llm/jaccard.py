@@ -19,8 +19,8 @@ when 5 * |x & y| >= 4 * |x | y| (Jaccard 0.8).
    all their pairs.
 4. A group above ``block`` shingles is cut into blocks.  Each block is searched
    alone; then one member of each component is searched in the other blocks,
-   and, if several components are left, every member outside the largest one.
-   No link is lost and no group is gathered in one task.
+   and, if several components are left, every other member outside the largest
+   one.  No link is lost and no group is gathered in one task.
 
 Defined results: NULL or empty texts have size 0, link with nothing and are
 their own component; a NULL doc_id never names a component that has another;
@@ -60,7 +60,8 @@ def shingle_sets(col, words: int = WORDS):
         at = 0
         for k, n in enumerate(counts.tolist()):
             if n >= words:
-                yield row + k, np.unique(full[at:at + n - words + 1])
+                s = np.sort(full[at:at + n - words + 1])
+                yield row + k, s[np.append(True, s[1:] != s[:-1])]
             elif n:
                 yield row + k, window_hashes(h[at:at + n], n)
             else:
@@ -444,12 +445,12 @@ def _across(queries: DataFrame, members: DataFrame, block: int) -> DataFrame:
 def join_blocks(members: DataFrame, block: int) -> DataFrame:
     """Complete the components of labels that have several blocks."""
     ship(members.sparkSession)
-    reps = members.where("sid = root")
-    members = _merge_roots(members, _across(reps, members, block))
+    members = cut_lineage(members.withColumn("asked", F.expr("sid = root")))
+    members = cut_lineage(_merge_roots(members, _across(members.where("asked"), members, block)))
     size = members.groupBy("label", "root").agg(F.count("*").alias("m"))
     main = size.groupBy("label").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("roots"))
-    rest = members.join(main.where("roots > 1"), "label").where(F.col("root") != F.col("main.root")).select(
-        *members.columns)
+    rest = members.join(main.where("roots > 1"), "label").where(
+        "root <> main.root AND NOT asked").select(*members.columns)
     return _merge_roots(members, _across(rest, members, block))
 
 
