@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.session import cut_lineage, ensure_checkpoint_dir
+from limnos.session import ensure_checkpoint_dir
 
 _shipped: set[str] = set()
 #: Rows sent to Python at once, where the session has Spark's own default: texts are long.
@@ -47,6 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to a new table in the shared folder and read back.
+
+    Later jobs, also after a lost executor, start from the files.  Unlike a
+    checkpoint, the table carries no constraints of the plan it came from; those
+    pile up over the rounds of an iteration and fill the driver's memory."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(column: str, modulo: int):
     """crc32 of the column as text, modulo ``modulo`` (NULL stays NULL)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulo
