@@ -46,11 +46,14 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[
 
 
 def gaussian_nll(df: DataFrame, label: str, mean: str, logvar: str, digits: int | None = 6) -> DataFrame:
-    """Mean of 0.5 (ln 2 pi + logvar + (y - mu)^2 / exp(logvar)), plus MSE of the mean."""
+    """Mean of 0.5 (ln 2 pi + logvar + (y - mu)^2 / exp(logvar)), plus MSE of the mean.
+
+    Both means are over the rows in which label, mean and log-variance are all present."""
     y, mu, lv = F.col(q(label)), F.col(q(mean)), F.col(q(logvar))
     nll = F.lit(0.5) * (F.lit(math.log(2 * math.pi)) + lv + (y - mu) * (y - mu) / F.exp(lv))
+    square = F.when(nll.isNotNull(), (y - mu) * (y - mu))
     return df.agg(F.count(nll).alias("n"), _r(F.avg(nll), digits).alias("nll"),
-                  _r(F.avg((y - mu) * (y - mu)), digits).alias("mean_mse"))
+                  _r(F.avg(square), digits).alias("mean_mse"))
 
 
 def residual_stats(df: DataFrame, label: str, prediction: str, by: Sequence[str] | str | None = None,

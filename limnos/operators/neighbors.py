@@ -55,6 +55,10 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
                 checkpoint: bool = True, tie_digits: int = 12, cell_load: int = 4) -> DataFrame:
     """Exact distance-weighted kNN regression -> (query_key, prediction, n_neighbors, kth_distance).
 
+    One row per query row: rows are told apart by an internal id, so null and
+    repeated keys are answered each on their own.  With fewer than ``k``
+    training rows the answer uses all of them.
+
     ``train`` has ``key``, ``features``, ``label`` (no nulls); ``query`` has
     ``query_key`` (default ``key``) and ``features``.  Neighbours are ranked
     by distance rounded to ``tie_digits`` decimals, then by key: distances
@@ -77,7 +81,7 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     dims = min(grid_dims, len(feats))
     tr = train.select(F.col(q(key)).alias("_tk"), *[F.col(q(f)).alias(f"_t{i}") for i, f in enumerate(feats)],
                       F.col(q(label)).cast("double").alias("_y"))
-    qu = query.select(F.col(q(qkey)).alias("_qk"), *[F.col(q(f)).alias(f"_q{i}") for i, f in enumerate(feats)])
+    qu = query.select(F.col(q(qkey)).alias("_key"), F.monotonically_increasing_id().alias("_qk"), *[F.col(q(f)).alias(f"_q{i}") for i, f in enumerate(feats)])
     tcols = [f"_t{i}" for i in range(len(feats))]
     qcols = [f"_q{i}" for i in range(len(feats))]
 
@@ -97,7 +101,13 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
                        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(tcols[:dims])]).collect()[0]
     n_groups = int(stats["ng"])
     if n_groups == 0:
-        return qu.select(F.col("_qk").alias(qkey), F.lit(None).cast("double").alias("prediction"),
+        return qu.select(F.col("_key").alias(qkey), F.lit(None).cast("double").alias("prediction"),
+                         F.lit(0).cast("bigint").alias("n_neighbors"), F.lit(None).cast("double").alias("kth_distance"))
+    qu = cut_lineage(qu) if checkpoint else qu      # fixes the ids
+    reach = qu.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(qcols[:dims])],
+                   *[F.max(c).alias(f"hi{i}") for i, c in enumerate(qcols[:dims])]).collect()[0]
+    if reach["lo0"] is None:
+        return qu.select(F.col("_key").alias(qkey), F.lit(None).cast("double").alias("prediction"),
                          F.lit(0).cast("bigint").alias("n_neighbors"), F.lit(None).cast("double").alias("kth_distance"))
     spans = [max(float(stats[f"hi{i}"]) - float(stats[f"lo{i}"]), 1e-12) for i in range(dims)]
     vol = math.prod(spans)
@@ -114,12 +124,16 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
         if occ <= cell_load * k or base / 2 < floor_width:
             break
         base /= 2
-    top_level = max(0, math.ceil(math.log2(max(spans) / base))) + 1 if base > 0 else 0
+    # at the top level the block around any query holds all groups
+    whole = max(max(float(stats[f"hi{i}"]), float(reach[f"hi{i}"])) - min(float(stats[f"lo{i}"]), float(reach[f"lo{i}"]))
+                for i in range(dims))
+    top_level = max(0, math.ceil(math.log2(max(whole, max(spans)) / base))) + 1 if base > 0 else 0
 
     def width(level):
         return F.lit(base) * F.pow(F.lit(2.0), level.cast("double"))
 
-    pending = qu.withColumns({"_lvl": F.lit(0).cast("int"), "_m": F.lit(1).cast("int")})
+    keys = qu.select("_qk", "_key")
+    pending = qu.drop("_key").withColumns({"_lvl": F.lit(0).cast("int"), "_m": F.lit(1).cast("int")})
     qstate = ["_qk", "_lvl", "_m", *qcols]
     settled_parts = []
     levels = [0]
@@ -147,13 +161,11 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
         per_dim = [F.least(F.col(qcols[i]) - (F.col(f"_qc{i}") - m) * wl,
                            (F.col(f"_qc{i}") + m + 1) * wl - F.col(qcols[i])) for i in range(dims)]
         radius = per_dim[0] if dims == 1 else F.least(*per_dim)
-        if dims < len(feats):
-            covers_all = F.lit(False)
-        else:
-            covers_all = F.lit(True)
-            for i in range(dims):
-                covers_all = covers_all & ((F.col(f"_qc{i}") - m) * wl <= F.lit(float(stats[f"lo{i}"]))) \
-                    & ((F.col(f"_qc{i}") + m + 1) * wl > F.lit(float(stats[f"hi{i}"])))
+        # a block over all groups on the gridded axes holds every candidate, whatever the other axes
+        covers_all = F.lit(True)
+        for i in range(dims):
+            covers_all = covers_all & ((F.col(f"_qc{i}") - m) * wl <= F.lit(float(stats[f"lo{i}"]))) \
+                & ((F.col(f"_qc{i}") + m + 1) * wl > F.lit(float(stats[f"hi{i}"])))
         done = covers_all | ((F.col("_n") >= F.lit(k)) & (F.col("_dk") < radius))
         pred = F.when(F.col("_nzero") > 0, F.col("_yzero") / F.col("_nzero")).otherwise(F.col("_yw") / F.col("_w"))
         # next level: smallest whose (2 max_m + 1)^D block covers the current k-th distance
@@ -167,9 +179,7 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
                                  "_mnext": m_next.cast("int")})
         if checkpoint:
             res = cut_lineage(res)
-        settled_parts.append(res.where("_done").select(F.col("_qk").alias(qkey), "prediction",
-                                                       F.col("_n").cast("bigint").alias("n_neighbors"),
-                                                       F.col("_dk").alias("kth_distance")))
+        settled_parts.append(res.where("_done").select("_qk", "prediction", F.col("_n").cast("bigint").alias("n_neighbors"), F.col("_dk").alias("kth_distance")))
         retry = res.where(~F.col("_done")).select("_qk", F.col("_lnext").alias("_lvl"), F.col("_mnext").alias("_m"),
                                                   *qcols)
         no_cand = (pending.join(res.select("_qk"), on="_qk", how="left_anti")
@@ -189,4 +199,4 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     out = settled_parts[0]
     for p in settled_parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.join(keys, "_qk").select(F.col("_key").alias(qkey), "prediction", "n_neighbors", "kth_distance")

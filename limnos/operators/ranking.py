@@ -27,28 +27,25 @@ def _list(x) -> list[str]:
 
 
 def rank_within_groups(df: DataFrame, groups: Sequence[str] | str, order_col: str, out: str = "rn",
-                       block_size: int = 1 << 16) -> DataFrame:
-    """1-based row number within each group, ordered by an integer key.
-
-    ``order_col`` must be integral and unique within a group (a row id);
-    ties would be numbered arbitrarily, exactly as ``row_number`` does.
+                       partitions: int | None = None) -> DataFrame:
+    """1-based row number within each group, ordered by a key.
+
+    ``order_col`` must be unique within a group (a row id); ties would be
+    numbered arbitrarily, exactly as ``row_number`` does.  Rows are numbered
+    globally by (groups, key) with the range-partitioned index of
+    ``rank_by_value``; a group's first number, one row per group from an
+    aggregate, is then subtracted.  No window, so no group is sorted in one
+    task.  A NULL group is a group of its own.
     """
     g = _list(groups)
-    blk = F.floor(F.col(q(order_col)) / F.lit(block_size)).cast("bigint")
-    with_blk = df.withColumn("_blk", blk)
-    counts = with_blk.groupBy(*g, "_blk").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_off = Window.partitionBy(*g).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*g, "_blk", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(*g, "_blk").orderBy(F.col(q(order_col)))
-    ranked = with_blk.withColumn("_rn_in", F.row_number().over(w_in))
-    # null-safe keys: a NULL group is a group of its own, as in a window
-    offs = offsets.select(*[F.col(q(c)).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_blk").alias("_b2"), "_off")
-    cond = F.col("_blk") == F.col("_b2")
+    placed = rank_by_value(df, [*g, order_col], out="_pos", partitions=partitions)
+    first = placed.groupBy(*[F.col(q(c)).alias(f"_g{i}") for i, c in enumerate(g)]).agg(F.min("_pos").alias("_first"))
+    cond = F.lit(True)
     for i, c in enumerate(g):
-        cond = cond & ranked[q(c)].eqNullSafe(F.col(f"_g{i}"))
-    joined = ranked.join(offs, on=cond, how="inner")
-    return (joined.withColumn(out, (F.col("_off") + F.col("_rn_in")).cast("bigint"))
-            .drop("_blk", "_b2", "_off", "_rn_in", *[f"_g{i}" for i in range(len(g))]))
+        cond = cond & F.col(q(c)).eqNullSafe(F.col(f"_g{i}"))
+    return (placed.join(first, on=cond, how="inner")
+            .withColumn(out, (F.col("_pos") - F.col("_first") + 1).cast("bigint"))
+            .drop("_pos", "_first", *[f"_g{i}" for i in range(len(g))]))
 
 
 def topk_per_group(df: DataFrame, groups: Sequence[str] | str, order_col: str, k: int,

@@ -23,7 +23,7 @@ def _levels(df: DataFrame, key: str, values: Sequence | None, max_levels: int) -
     levels = [r[0] for r in df.select(key).distinct().limit(max_levels + 1).collect()]
     if len(levels) > max_levels:
         raise ValueError(f"{key} has more than {max_levels} levels; pass the value list")
-    return sorted(v for v in levels if v is not None)
+    return sorted((v for v in levels if v is not None)) + [None] * (None in levels)   # NULL is a level, named "null"
 
 
 def pivot_aligned(df: DataFrame, key: str, value: str, order_col: str, values: Sequence | None = None,

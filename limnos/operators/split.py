@@ -83,14 +83,14 @@ def contiguous_folds(df: DataFrame, order_col: str, k: int = 5, col: str = "fold
     """unshuffled K-fold over the row order (scikit-learn ``KFold``): the
     first n mod k folds hold one extra row.
 
-    Row numbers come from the block-wise ``rank_within_groups`` (no single
-    global window partition); ``order_col`` must be an integer row id.
+    Row numbers come from the range-partitioned ``rank_by_value`` (no global
+    window); ``order_col`` must be a unique row id.
     """
-    from limnos.operators.ranking import rank_within_groups
+    from limnos.operators.ranking import rank_by_value
     n = df.count()
     base, extra = divmod(n, k)
     big = extra * (base + 1)  # rows in the larger folds
-    ranked = rank_within_groups(df.withColumn("_all", F.lit(0)), "_all", order_col, out="_rn").drop("_all")
+    ranked = rank_by_value(df, [order_col], out="_rn")
     i = F.col("_rn") - 1
     fold = F.when(i < F.lit(big), F.floor(i / F.lit(base + 1))).otherwise(
         F.lit(extra) + F.floor((i - F.lit(big)) / F.lit(max(base, 1))))

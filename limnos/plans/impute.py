@@ -24,7 +24,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,8 +163,16 @@ def _knn_predictions(df: DataFrame, key: str, target: str, features: Sequence[st
     n_train = train_rows.count()
     k = knn_k(n_train)
     queries = scaled.where(F.col(q(target)).isNull())
-    preds = knn_regress(train_rows, queries, key, zf, target, k)
-    return preds.select(F.col(q(key)), F.col("prediction").alias(f"{target}{suffix}"))
+    preds = knn_regress(train_rows, queries, key, zf, target, k, query_key=ROW_ID)
+    return preds.select(F.col(ROW_ID), F.col("prediction").alias(f"{target}{suffix}"))
+
+
+ROW_ID = "_row_id"
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """``df`` with a text id per row, fixed by a checkpoint: joins never rely on the caller's key."""
+    return cut_lineage(df.withColumn(ROW_ID, F.monotonically_increasing_id().cast("string")))
 
 
 def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suffix: str = "__knn",
@@ -173,27 +180,28 @@ def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suff
     """Features mean-filled and standardised over all rows (population
     std of the filled column), exact distance-weighted kNN from the observed
     rows (z-score filtered when n > 20) to the missing rows."""
-    preds = _knn_predictions(df, key, target, features, suffix, remove_outliers, threshold)
-    return None if preds is None else df.join(preds, on=key, how="left")
+    tagged = with_row_id(df)
+    preds = _knn_predictions(tagged, key, target, features, suffix, remove_outliers, threshold)
+    return None if preds is None else tagged.join(preds, on=ROW_ID, how="left").drop(ROW_ID)
 
 
-def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estimator: str = "bayesian_ridge",
+def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estimator: str = "gbm",
                  suffix: str = "__iterative", tol: float = 1e-3, checkpoint: bool = True,
-                 ridge: float = 1e-2, clip_to_observed: bool = True) -> DataFrame:
+                 ridge: float = 1e-2, clip_to_observed: bool = False) -> DataFrame:
     """Chained equations.  Start from the means; each round regresses every
     target on the other targets over its observed rows and refreshes its
     missing cells; stop after ``rounds`` or when the largest change of a
     round is below ``tol`` times the largest absolute observed value (the
     stopping rule of scikit-learn's IterativeImputer, tol = 1e-3).
 
-    ``estimator="bayesian_ridge"`` (IterativeImputer's default estimator)
-    and ``"linear"`` (least squares with a small relative ridge) need one
-    covariance aggregate per fit; ``"gbm"`` fits boosted trees (100 x 0.05,
-    depth 3, the reference's choice).  Imputations are clipped to each target's
-    observed [min, max] (IterativeImputer's min_value / max_value): imputed
-    regressors are linear in the target being fitted, and without shrinkage
-    and bounds plain least squares can feed back and diverge.  Each round
-    ends with a reliable checkpoint so lineage stays one round deep.
+    ``estimator="gbm"`` (the reference's choice) fits boosted trees (100 x
+    0.05, depth 3).  ``"bayesian_ridge"`` and ``"linear"`` (least squares with a
+    small relative ridge) need one covariance aggregate per fit; their imputed
+    regressors are linear in the target being fitted, so with many gaps they can
+    feed back and diverge.  ``clip_to_observed=True`` bounds every imputation to
+    its target's observed [min, max]; it is off by default since it changes
+    values.  Each round ends with a reliable checkpoint of the columns the chain
+    reads, so lineage stays one round deep; the others join back at the end.
     """
     targets = [t for t in targets if t in df.columns]
     row = df.agg(*[F.avg(F.col(q(t))).alias(f"m{i}") for i, t in enumerate(targets)],
@@ -206,7 +214,8 @@ def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estima
     def bounded(t, expr):
         lo, hi = bounds[t]
         return clip(expr, F.lit(lo), F.lit(hi)) if clip_to_observed and lo is not None else expr
-    cur = df.withColumns({f"{t}__miss": F.col(q(t)).isNull() for t in targets})
+    tagged = df if ROW_ID in df.columns else with_row_id(df)
+    cur = tagged.select(ROW_ID, *targets).withColumns({f"{t}__miss": F.col(q(t)).isNull() for t in targets})
     cur = cur.withColumns({f"{t}{suffix}": F.coalesce(F.col(q(t)), F.lit(row[f"m{i}"])) for i, t in enumerate(targets)})
     for _ in range(rounds):
         cur = cur.withColumns({f"{t}__prev": F.col(f"{t}{suffix}") for t in targets})
@@ -241,7 +250,8 @@ def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estima
         if (d or 0.0) < norm_tol:
             break
     out = cur.withColumns({f"{t}{suffix}": F.when(F.col(f"{t}__miss"), F.col(f"{t}{suffix}")) for t in targets})
-    return out.drop(*[f"{t}__miss" for t in targets], *[f"{t}__prev" for t in targets])
+    filled = tagged.join(out.select(ROW_ID, *[f"{t}{suffix}" for t in targets]), on=ROW_ID, how="left")
+    return filled if ROW_ID in df.columns else filled.drop(ROW_ID)
 
 
 def blend(df: DataFrame, target: str, methods: Sequence[str], ratio: float, bounds: tuple[float, float] | None,
@@ -249,9 +259,16 @@ def blend(df: DataFrame, target: str, methods: Sequence[str], ratio: float, boun
     """Weighted blend of the available methods' predictions on missing
     rows, clipped to the observed percentile bounds, rounded half-even."""
     w = blend_weights(ratio, methods)
-    expr = F.lit(0.0)
+    expr, total = F.lit(0.0), F.lit(0.0)
     for m, wt in w.items():
-        expr = expr + F.lit(wt) * F.col(f"{target}__{m}")
+        p = F.col(f"{target}__{m}")
+        expr = expr + F.when(p.isNotNull(), F.lit(wt) * p).otherwise(F.lit(0.0))
+        total = total + F.when(p.isNotNull(), F.lit(wt)).otherwise(F.lit(0.0))
+    have_all = F.lit(True)
+    for m in w:
+        have_all = have_all & F.col(f"{target}__{m}").isNotNull()
+    # weights are shared out again where a method has no prediction; none at all leaves the gap
+    expr = F.when(have_all, expr).when(total > 0, expr / total)
     if bounds is not None:
         expr = clip(expr, F.lit(bounds[0]), F.lit(bounds[1]))
     expr = F.bround(expr, digits)
@@ -262,7 +279,7 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
            methods: Sequence[str] = ("knn", "iterative", "rf"), remove_outliers: bool = True,
            outlier_threshold: float = 3.0, keep_method_columns: bool = False,
            rf_params: dict | None = None, gbm_params: dict | None = None, mice_rounds: int = 10,
-           parallelism: int = 4) -> DataFrame:
+           mice_estimator: str = "gbm", parallelism: int = 4) -> DataFrame:
     """Fill the missing cells of ``targets`` (default: the five reference
     parameters present in ``df``; warn on partial absence, fail if none).
 
@@ -278,13 +295,13 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
 
     from limnos.operators.schema import require_columns
     targets = require_columns(df, list(targets or DEFAULT_TARGETS), mode="any")
-    base = df.persist(StorageLevel.MEMORY_AND_DISK)
+    base = with_row_id(df)
     ratios = missing_ratios(base, targets)
     rf_p = {"num_trees": 200, "max_depth": 15, "min_instances": 2, **(rf_params or {})}
     gbm_p = {"max_iter": 100, "step_size": 0.05, "max_depth": 3, "min_instances": 5, **(gbm_params or {})}
     jobs = {}
     if "iterative" in methods:
-        jobs[("iterative", None)] = lambda: fill_chained(base, targets, rounds=mice_rounds)
+        jobs[("iterative", None)] = lambda: fill_chained(base, targets, rounds=mice_rounds, estimator=mice_estimator)
     feats = {t: choose_features(df, t, targets, key) for t in targets if ratios[t] > 0}
     kfeats = {t: choose_features(df, t, targets, key, top=KNN_TOP_FEATURES) for t in feats} if "knn" in methods else {}
     for t in feats:
@@ -316,7 +333,7 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
                 cur, produced[t] = _apply_model(cur, t, feats[t], fitted, f"__{m}"), produced[t] + [m]
         preds = results.get(("knn", t))
         if preds is not None:
-            cur, produced[t] = cur.join(preds, on=key, how="left"), produced[t] + ["knn"]
+            cur, produced[t] = cur.join(preds, on=ROW_ID, how="left"), produced[t] + ["knn"]
         if "mean" in methods:
             cur, produced[t] = fill_mean(cur, [t]), produced[t] + ["mean"]
     bounds = quantiles(df, [t for t in targets if ratios[t] > 0], [0.01, 0.99]) if any(ratios.values()) else {}
@@ -325,6 +342,7 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
             continue
         b = bounds.get(t)
         cur = blend(cur, t, produced[t], ratios[t], (b[0], b[1]) if b and b[0] == b[0] else None)
+    cur = cur.drop(ROW_ID)
     if not keep_method_columns:
         cur = cur.drop(*[f"{t}__{m}" for t in targets for m in ("rf", "gbm", "knn", "iterative", "mean")
                          if f"{t}__{m}" in cur.columns])
@@ -348,18 +366,19 @@ def evaluate_imputation(df: DataFrame, key: str, targets: Sequence[str], methods
             usable.append(t)
         except ValueError:
             continue
+    schema = "target string, method string, n bigint, mse double, rmse double, mae double, r2 double"
+    if not usable:
+        return df.sparkSession.createDataFrame([], schema)
     truth_cols = [f"{t}_truth" for t in usable] + [f"{t}_masked" for t in usable]
-    base = masked.drop(*truth_cols)
-    imputed = impute(base, key, usable, methods, keep_method_columns=per_method, **kwargs)
-    judged = imputed.join(masked.select(key, *truth_cols), on=key)
-    frames = []
+    masked = cut_lineage(masked.withColumn("_cell_row", F.monotonically_increasing_id().cast("string")))
+    imputed = impute(masked.drop(*truth_cols), key, usable, methods, keep_method_columns=per_method, **kwargs)
+    judged = imputed.join(masked.select("_cell_row", *truth_cols), on="_cell_row")
+    cells = []
     for t in usable:
-        hidden = judged.where(F.col(f"{t}_masked"))
         cols = [("blend", t)] + ([(m, f"{t}__{m}") for m in methods if f"{t}__{m}" in judged.columns] if per_method else [])
-        for name, col in cols:
-            frames.append(regression_metrics(hidden, f"{t}_truth", col).select(
-                F.lit(t).alias("target"), F.lit(name).alias("method"), "*"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        cells += [F.struct(F.lit(t).alias("target"), F.lit(name).alias("method"), F.col(f"{t}_masked").alias("hidden"),
+                           F.col(f"{t}_truth").alias("truth"), F.col(q(c)).cast("double").alias("prediction"))
+                  for name, c in cols]
+    # every (target, method) is a row of one stacked frame: one aggregate scores them all
+    stacked = judged.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("hidden")
+    return regression_metrics(stacked, "truth", "prediction", by=["target", "method"])

@@ -96,7 +96,7 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
       stddev_pop(y) / n (n, sigma of the training rows).
     * ``lasso`` (M4) / ``elastic_net`` (M5): mapped the same way.
     * ``random_forest`` (M6): all features per split (scikit-learn's
-      regression default), depth capped (default 12; Spark allows <= 30).
+      regression default); without ``max_depth`` trees grow to 30, the most Spark allows.
     * ``gbm`` (M7), ``boosted`` (M8 re-aimed): ``GBTRegressor``.
     """
     if kind not in MODEL_KINDS:
@@ -143,10 +143,10 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
                                solver="normal", standardization=False)
         params.update(l1_ratio=l1_ratio)
     elif kind == "random_forest":
-        reg = RandomForestRegressor(labelCol=label, numTrees=num_trees, maxDepth=max_depth or 12,
+        reg = RandomForestRegressor(labelCol=label, numTrees=num_trees, maxDepth=30 if max_depth is None else max_depth,
                                     minInstancesPerNode=min_instances, featureSubsetStrategy="all", seed=seed)
     else:  # gbm / boosted
-        reg = GBTRegressor(labelCol=label, maxIter=max_iter, stepSize=step_size, maxDepth=max_depth or 3,
+        reg = GBTRegressor(labelCol=label, maxIter=max_iter, stepSize=step_size, maxDepth=3 if max_depth is None else max_depth,
                            minInstancesPerNode=min_instances, subsamplingRate=subsampling, seed=seed)
     stages.append(reg)
     model = Pipeline(stages=stages).fit(data)
@@ -235,6 +235,21 @@ class GaussianModel:
         return out.drop("_var", "var_features", *[c for c in out.columns if c.endswith("__v")])
 
 
+def save_gaussian(gm: GaussianModel, path: str) -> None:
+    """A9 for the uncertainty model: the mean model, the variance pipeline and the label moments."""
+    save_model(gm.mean, f"{path}/mean", {"label_mean": gm.label_mean, "label_std": gm.label_std})
+    gm.variance.write().overwrite().save(f"{path}/variance")
+
+
+def load_gaussian(path: str) -> GaussianModel:
+    """Load what ``save_gaussian`` wrote; usable in another process."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    moments = json.loads(spark.read.parquet(f"{path}/mean/meta").collect()[0]["metrics"])
+    return GaussianModel(load_model(f"{path}/mean"), PipelineModel.load(f"{path}/variance"),
+                         moments["label_mean"], moments["label_std"])
+
+
 def train_gaussian(df: DataFrame, features: Sequence[str], label: str, mean_kind: str = "polynomial",
                    **kwargs) -> GaussianModel:
     """M10 (re-aimed two-headed network): mean by ``mean_kind``; variance by a
@@ -283,19 +298,20 @@ def hinge_basis(df: DataFrame, cols: Sequence[str], knots: int = 5, exact: bool
 def permute_column(df: DataFrame, col: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:
     """Replace ``col`` by a permutation of itself across rows.
 
-    Rows are numbered twice by two salted hash orders (block-wise global
-    numbering, no single-partition window); row i takes ``col`` from the row
-    whose second number equals i's first.  One shuffle join on the number.
+    Rows are numbered twice in two salted hash orders by the range-partitioned
+    global rank (its checkpoint fixes the numbers, so a repeated task cannot
+    change them); row i takes ``col`` from the row whose second number equals
+    i's first.  ``key`` must be unique.
     """
     from limnos.functions.scalar import key_string
-    from limnos.operators.ranking import rank_within_groups
+    from limnos.operators.ranking import rank_by_value
     keys = [key] if isinstance(key, str) else list(key)
     text = key_string(*keys)
     base = df.withColumns({"_h1": F.xxhash64(text, F.lit(f"a{seed}")), "_h2": F.xxhash64(text, F.lit(f"b{seed}")),
-                           "_one": F.lit(0)})
-    r1 = rank_within_groups(base.drop(col), "_one", "_h1", out="_r", block_size=1 << 40)
-    r2 = rank_within_groups(base.select("_one", "_h2", F.col(q(col))), "_one", "_h2", out="_r", block_size=1 << 40)
-    return r1.join(r2.select("_r", F.col(q(col))), on="_r").drop("_r", "_h1", "_h2", "_one")
+                           "_k": text})
+    r1 = rank_by_value(base.drop(col, "_h2"), ["_h1", "_k"], out="_r")
+    r2 = rank_by_value(base.select("_h2", "_k", F.col(q(col))), ["_h2", "_k"], out="_r")
+    return r1.join(r2.select("_r", F.col(q(col))), on="_r").drop("_r", "_h1", "_k")
 
 
 def permutation_importance(tm: TrainedModel, df: DataFrame, key: Sequence[str] | str, seed: int = 42) -> DataFrame:

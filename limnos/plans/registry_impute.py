@@ -84,25 +84,26 @@ def q_impute_blend(spark, sf):
 
 @register("impute_mice_linear")
 def q_impute_mice(spark, sf):
-    """Chained equations (Bayesian ridge from one covariance aggregate per fit, up to 10 rounds,
-    normalised stopping rule, checkpoint per round) over the five characteristics."""
+    """Chained equations (Bayesian ridge from one covariance aggregate per fit, bounded to the observed
+    range, up to 10 rounds, normalised stopping rule) over the five characteristics."""
     from limnos.plans.impute import fill_chained
-    out = fill_chained(B.events_wide(spark, sf), T, rounds=10)
+    out = fill_chained(B.events_wide(spark, sf), T, rounds=10, estimator="bayesian_ridge", clip_to_observed=True)
     return out.select(KEY, *[F.coalesce(F.col(t), F.col(f"{t}__iterative")).alias(t) for t in T])
 
 
 @register("impute_ensemble")
 def q_impute_ensemble(spark, sf):
-    """N8 + N2/N3/N4/N5/N7: kNN + chained equations + forest (50 trees, depth 10) blended per column."""
+    """N8 + N2/N3/N4/N5/N7: kNN + chained equations (Bayesian ridge) + forest (200 trees, depth 15, leaf 2)
+    blended per column."""
     from limnos.plans.impute import impute
     out = impute(B.events_wide(spark, sf), KEY, T, methods=("knn", "iterative", "rf"),
-                 rf_params={"num_trees": 50, "max_depth": 10})
+                 mice_estimator="bayesian_ridge")
     return out.select(KEY, *T)
 
 
 @register("evaluate_imputation")
 def q_evaluate_imputation(spark, sf):
-    """N9 + N10 + L5: hide 10% of observed cells, impute (kNN + chained + boosting), score each method and the blend."""
+    """N9 + N10 + L5: hide 10% of observed cells, impute (kNN + chained + forest + boosting), score each method and the blend."""
     from limnos.plans.impute import evaluate_imputation
-    return evaluate_imputation(B.events_wide(spark, sf), KEY, T, methods=("knn", "iterative", "gbm"),
-                               per_method=True, gbm_params={"max_iter": 30})
+    return evaluate_imputation(B.events_wide(spark, sf), KEY, T, methods=("knn", "iterative", "rf", "gbm"),
+                               per_method=True, mice_estimator="bayesian_ridge")

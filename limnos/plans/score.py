@@ -46,12 +46,17 @@ def score_batch(model, df: DataFrame, roles: Mapping[str, str] | None = None, pr
     ``{prefix}_Uncertainty``, ``{prefix}_LowerCI``, ``{prefix}_UpperCI``.
 
     ``model`` is a ``GaussianModel`` (mean + log-variance); ``roles`` maps the
-    model's feature names to the caller's column names (B2).
+    model's feature names to the caller's column names (B2).  A row with a
+    null feature gets nulls.
     """
     roles = dict(roles or {})
     feats = model.mean.features
     bound = df.withColumns({f: F.col(q(roles[f])) for f in feats if f in roles and roles[f] != f})
     scored = model.transform(bound, mu="_mu", logvar="_lv")
+    known = F.lit(True)
+    for f in feats:
+        known = known & F.col(q(f)).isNotNull()
+    scored = scored.withColumns({c: F.when(known, F.col(c)) for c in ("_mu", "_lv")})   # no NaN from a missing feature
     out = predict_interval(scored, "_mu", "_lv", min_rel_sigma=min_rel_sigma,
                            out_mean=f"{prefix}_Predicted", out_sigma=f"{prefix}_Uncertainty",
                            out_lower=f"{prefix}_LowerCI", out_upper=f"{prefix}_UpperCI")

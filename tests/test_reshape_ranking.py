@@ -7,7 +7,7 @@ from limnos.operators.reshape import pivot_aligned, pivot_wide, unpivot_long
 
 def test_rank_within_groups_equals_row_number(spark):
     df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("string").alias("g"))
-    got = rank_within_groups(df, "g", "k", block_size=37).select("k", "rn")
+    got = rank_within_groups(df, "g", "k", partitions=3).select("k", "rn")
     exp = df.select("k", F.row_number().over(Window.partitionBy("g").orderBy("k")).alias("rn"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
 
