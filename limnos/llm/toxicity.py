@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.ngrams import Chars, bucket, groups
-from limnos.llm.runtime import ship
+from limnos.llm.runtime import cut_lineage, ship
 
 BITS, ORDERS, RUN, DIM = 17, (3, 4, 5), 4, 8
 MAX_TRAIN = 3000
@@ -99,21 +99,22 @@ class Trainer:
 
 def _highest(evidence, flat, starts, ends):
     """Mean evidence of each bag."""
-    total = np.concatenate([[0.0], np.cumsum(evidence[flat])])
-    return (total[ends] - total[starts]) / (ends - starts)
-
-
-def fit(docs: list[tuple[list[np.ndarray], int]], prior: float, epochs: int = 8, seed: int = 11) -> Model:
-    """docs: (runs of subword buckets, label); prior: share of toxic documents among all labels."""
-    docs = [(runs, y) for runs, y in docs if runs]
-    y = np.array([y for _, y in docs], int)
+    out, lo = np.empty(len(starts)), 0
+    while lo < len(starts):           # a million subwords at once
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
+        out[lo:hi] = np.add.reduceat(evidence[flat[starts[lo]:ends[hi - 1]]], starts[lo:hi] - starts[lo])
+        lo = hi
+    return out / (ends - starts)
+
+
+def fit(flat: np.ndarray, size: np.ndarray, n_runs: np.ndarray, y: np.ndarray, prior: float, epochs: int = 8,
+        seed: int = 11) -> Model:
+    """flat: subword buckets of all runs, ``size`` of them in each run, ``n_runs`` runs in each document;
+    y: its label; prior: share of toxic documents among all labels."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), 60.0 if len(y) and y[0] else -60.0)
-    flat = np.concatenate([r for runs, _ in docs for r in runs])
-    size = np.array([len(r) for runs, _ in docs for r in runs])
     ends = np.cumsum(size)
     starts = ends - size
-    n_runs = np.array([len(runs) for runs, _ in docs])
     first = np.cumsum(n_runs) - n_runs
     last = first + n_runs
     held = np.zeros(len(y), bool)
@@ -124,7 +125,7 @@ def fit(docs: list[tuple[list[np.ndarray], int]], prior: float, epochs: int = 8,
     even = len(learn) / (2 * np.bincount(y[learn], minlength=2))
     # whole documents first
     for _ in range(2):
-        trainer.epoch(flat, starts[first], ends[last - 1], learn, y[learn], even[y[learn]])
+        trainer.epoch(flat, starts[first], ends[last - 1], learn, y[learn], even[y[learn]], batch=16)
     for _ in range(epochs):
         top = _highest(trainer.evidence(), flat, starts, ends)
         bags, labels = [], []
@@ -197,15 +198,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
                             pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
                         names=["doc_id", "y", "ids", "sizes"])
 
-    got = chosen.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary, sizes binary").collect()
-    by_doc: dict[int, tuple[list, int]] = {}
-    for r in sorted(got, key=lambda r: (r["doc_id"], len(r["ids"]), bytes(r["sizes"]))):
-        ids, sizes = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["sizes"], "<u4")
-        runs = [x for x in np.split(ids, np.cumsum(sizes)[:-1]) if len(x)]
-        by_doc.setdefault(r["doc_id"], ([], r["y"]))[0].extend(runs)
     if not n.get(0) or not n.get(1):
         return Model(np.zeros(1 << BITS), 60.0 if n.get(1) else -60.0)
-    return fit(list(by_doc.values()), n[1] / (n[0] + n[1]))
+    # written first, then read a partition at a time: the driver holds the sample once
+    found = cut_lineage(chosen.select("doc_id", "text", "y").mapInArrow(
+        run, "doc_id long, y int, ids binary, sizes binary"))
+    got = [(r["doc_id"], r["y"], bytes(r["ids"]), bytes(r["sizes"])) for r in found.toLocalIterator()]
+    got.sort(key=lambda r: (r[0], len(r[2]), r[3]))
+    doc = np.array([r[0] for r in got])
+    opens = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if got else np.zeros(0, int)
+    sizes = [np.frombuffer(r[3], "<u4") for r in got]
+    sizes = [s[s > 0] for s in sizes]
+    flat = np.frombuffer(b"".join(r[2] for r in got), "<u4")
+    y = np.array([got[k][1] for k in opens], int)
+    n_runs = np.add.reduceat([len(s) for s in sizes], opens) if got else np.zeros(0, int)
+    del got
+    return fit(flat, np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, int), n_runs, y,
+               n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
