@@ -187,7 +187,8 @@ def fill_knn(df: DataFrame, key: str, target: str, features: Sequence[str], suff
 
 def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estimator: str = "gbm",
                  suffix: str = "__iterative", tol: float = 1e-3, checkpoint: bool = True,
-                 ridge: float = 1e-2, clip_to_observed: bool = False) -> DataFrame:
+                 ridge: float = 1e-2, clip_to_observed: bool = False,
+                 gbm_params: dict | None = None) -> DataFrame:
     """Chained equations.  Start from the means; each round regresses every
     target on the other targets over its observed rows and refreshes its
     missing cells; stop after ``rounds`` or when the largest change of a
@@ -234,7 +235,7 @@ def fill_chained(df: DataFrame, targets: Sequence[str], rounds: int = 10, estima
                 cur = cur.withColumn(f"{t}{suffix}", F.when(F.col(f"{t}__miss"), bounded(t, pred)).otherwise(F.col(q(t))))
             else:
                 tm = train(fit_rows.select(*others, F.col(q(t)).alias("_y")), others, "_y", "gbm", standardize=False,
-                           max_iter=100, step_size=0.05, max_depth=3)
+                           **{"max_iter": 100, "step_size": 0.05, "max_depth": 3, **(gbm_params or {})})
                 cur = tm.transform(cur, prediction="_p")
                 cur = cur.withColumn(f"{t}{suffix}", F.when(F.col(f"{t}__miss"), bounded(t, F.col("_p")))
                                      .otherwise(F.col(q(t)))).drop("_p")

@@ -65,7 +65,8 @@ def gappy(spark):
 
 def test_impute_fills_only_gaps(gappy):
     pdf, df = gappy
-    out = impute(df, "row_id", methods=("knn", "iterative", "gbm"), gbm_params={"max_iter": 10}).toPandas()
+    out = impute(df, "row_id", methods=("knn", "iterative", "gbm"), gbm_params={"max_iter": 10},
+                 mice_estimator="bayesian_ridge").toPandas()
     out = out.set_index("row_id").loc[pdf.row_id]
     for c in ["water_temp_celcius", "doxy_mg_L", "pH"]:
         assert out[c].isna().sum() == 0
@@ -79,17 +80,23 @@ def test_impute_fills_only_gaps(gappy):
 
 def test_chained_equations_recover_relation(gappy):
     pdf, df = gappy
-    out = fill_chained(df, ["water_temp_celcius", "doxy_mg_L"], rounds=5).toPandas()
+    out = fill_chained(df, ["water_temp_celcius", "doxy_mg_L"], rounds=5, estimator="bayesian_ridge").toPandas()
     miss = out["doxy_mg_L"].isna() & out["water_temp_celcius"].notna()
     pred = out.loc[miss, "doxy_mg_L__iterative"]
     exp = 14 - 0.35 * out.loc[miss, "water_temp_celcius"]
     assert np.mean(np.abs(pred - exp)) < 0.3
 
 
+def test_chained_boosting(gappy):
+    pdf, df = gappy
+    out = fill_chained(df, ["water_temp_celcius", "doxy_mg_L"], rounds=1, gbm_params={"max_iter": 4, "step_size": 0.5}).toPandas()
+    assert len(out) == len(pdf) and out.loc[out["doxy_mg_L"].isna(), "doxy_mg_L__iterative"].notna().all()
+
+
 def test_evaluate_imputation_rows(gappy):
     _, df = gappy
     ev = evaluate_imputation(df, "row_id", ["water_temp_celcius", "doxy_mg_L"], methods=("knn", "iterative"),
-                             per_method=True)
+                             per_method=True, mice_estimator="bayesian_ridge")
     rows = ev.collect()
     assert {r["method"] for r in rows} == {"blend", "knn", "iterative"}
     do_iter = [r for r in rows if r["target"] == "doxy_mg_L" and r["method"] == "iterative"][0]
