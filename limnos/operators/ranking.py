@@ -3,10 +3,9 @@
 Skew safety: a group may hold a third of all rows, so no operator here
 puts a whole group into one window partition.
 
-* ``rank_within_groups`` numbers rows by blocks of the (integer) order key:
-  a window over ``(group, block)`` holds at most ``block_size`` keys, and a
-  prefix sum over the small per-block count table gives each block's
-  offset.  Equal to ``row_number() over (partition by g order by k)``.
+* ``rank_within_groups`` subtracts a group's first number from the global
+  number of ``rank_by_value``, a range-partitioned two-pass index over
+  (group, key).  Equal to ``row_number() over (partition by g order by k)``.
 * ``topk_per_group`` is a two-level reduction: top-k inside
   ``(group, salt)`` partitions, then top-k over the ``salts * k`` survivors
   of each group.

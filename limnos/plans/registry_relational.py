@@ -220,7 +220,7 @@ def q_pivot_aligned(spark, sf):
 @register("row_number_in_group", """
 select event_id, event_type, row_number() over (partition by event_type order by event_id) as rn from events""")
 def q_row_number(spark, sf):
-    """sequential number within each characteristic (block-wise, skew-safe)."""
+    """sequential number within each characteristic (range-partitioned index, skew-safe)."""
     from limnos.operators.ranking import rank_within_groups
     return rank_within_groups(B.table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id")
 
