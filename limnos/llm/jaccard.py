@@ -17,8 +17,11 @@ when 5 * |x & y| >= 4 * |x | y| (Jaccard 0.8).
    that occurs often enough is probed in the long ones by binary search.  A
    search needs one link into each component, so copies of copies do not cost
    all their pairs.
-4. A group above ``block`` shingles is cut into blocks.  Each block is searched
-   alone; then one member of each component is searched in the other blocks,
+4. A group above ``block`` shingles is first split by its sets' min-hashes: sets
+   stay together if one of 40 bands of two values agrees, directly or over
+   others.  A linked pair is parted with a probability below 0.36**40, 2e-18,
+   as rare as equal hashes of different shingles.  What is still above
+   ``block`` is cut into blocks.  Each block is searched alone; then one member of each component is searched in the other blocks,
    and, if several components are left, every other member outside the largest
    one.  No link is lost and no group is gathered in one task.
 
@@ -367,6 +370,43 @@ def link_group(sets: list[np.ndarray]) -> list[int]:
     return [_find(parent, x) for x in range(len(sets))]
 
 
+BANDS = 40
+_MULTIPLY = splitmix(np.arange(3001, 3001 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
+_ADD = splitmix(np.arange(5001, 5001 + 2 * BANDS, dtype=np.uint64))
+
+
+def band_values(s: np.ndarray) -> np.ndarray:
+    """One value per band of two min-hashes of a set."""
+    least = np.array([(s * a + b).min() for a, b in zip(_MULTIPLY, _ADD, strict=True)], np.uint64)
+    return splitmix(least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]).view(np.int64)
+
+
+def _band_rows(batches):
+    for batch in batches:
+        label, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rows, values = [], []
+        for row, s in shingle_sets(batch.column(2)):
+            if set_id(s) == sid[row]:
+                rows.append(row)
+                values.append(band_values(s))
+        if rows:
+            yield pa.RecordBatch.from_pydict({
+                "label": np.repeat(label[rows], BANDS), "sid": np.repeat(sid[rows], BANDS),
+                "band": np.tile(np.arange(BANDS, dtype=np.int32), len(rows)), "value": np.concatenate(values)})
+
+
+def split_groups(texts: DataFrame) -> DataFrame:
+    """(sid, part): the members of candidate groups that share min-hash bands, by their smallest set.
+    Members without a partner have no row."""
+    bands = texts.select("label", "sid", "text").mapInArrow(_band_rows, "label long, sid long, band int, value long")
+    bands = cut_lineage(bands)
+    key = ["label", "band", "value"]
+    first = bands.groupBy(*key).agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
+    edges = bands.join(first.drop("last"), key).select("a", F.col("sid").alias("b")).distinct()
+    found = connected_components(edges)
+    return found.select(F.col("node").alias("sid"), F.col("label").alias("part"))
+
+
 MEMBER = "label long, block int, sid long, root long"
 
 
@@ -469,19 +509,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     reps = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
     wanted = groups.join(reps, groups["node"] == reps["sid"]).select("label", "sid", "n", "rep")
-    size = wanted.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
-    wanted = cut_lineage(wanted.join(size, "label").withColumn(
-        "block", F.pmod(F.xxhash64("sid"), F.col("ways")).cast("int")))
-    texts = wanted.join(narrow, wanted["rep"].eqNullSafe(narrow["doc_id"])).select(
-        "label", "block", "sid", "text", "n", "ways")
-    roots = cut_lineage(texts.select("label", "block", "sid", "text").repartition("label", "block")
+    texts = cut_lineage(wanted.join(narrow, wanted["rep"].eqNullSafe(narrow["doc_id"])).select(
+        "label", "sid", "n", "text"))
+    weight = texts.groupBy("label").agg(F.sum("n").alias("weight"))
+    large = cut_lineage(weight.where(F.col("weight") > block).select("label"))
+    placed = texts.join(large, "label", "left_anti").withColumns({"ways": F.lit(1), "block": F.lit(0)})
+    if large.limit(1).count():
+        many = texts.join(large, "label", "left_semi")
+        parts = cut_lineage(many.drop("label").join(split_groups(many), "sid").withColumnRenamed("part", "label"))
+        size = parts.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
+        placed = placed.unionByName(parts.join(size, "label").withColumn(
+            "block", F.pmod(F.xxhash64("sid"), F.col("ways")).cast("int")))
+    roots = cut_lineage(placed.select("label", "block", "sid", "text").repartition("label", "block")
                         .sortWithinPartitions("label", "block").mapInArrow(search_blocks, MEMBER))
-    if wanted.where("ways > 1").limit(1).count():
-        many = texts.where("ways > 1").join(roots.select("sid", "root"), "sid").select(
+    if placed.where("ways > 1").limit(1).count():
+        many = placed.where("ways > 1").join(roots.select("sid", "root"), "sid").select(
             "label", "block", "sid", "n", "root", "text")
-        joined = join_blocks(many, block).select("sid", "root").distinct()   # a doc_id may have several rows
-        roots = roots.join(wanted.where("ways = 1").select("sid"), "sid", "left_semi").select(
-            "sid", "root").union(joined)
+        joined = join_blocks(many, block).select("sid", "root").distinct()
+        roots = roots.join(joined, "sid", "left_anti").select("sid", "root").union(joined)
     # components of sets, then of documents
     linked = reps.join(roots.select(F.col("sid").alias("member"), "root"), reps["sid"] == F.col("member"), "left")
     linked = cut_lineage(linked.select("sid", "n", "rep", F.coalesce("root", "sid").alias("root")))
