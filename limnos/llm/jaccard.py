@@ -538,6 +538,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (all columns) without the documents that are not their component's smallest doc_id."""
-    found = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")).distinct()
+    found = cut_lineage(jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(
+        F.col("doc_id").alias("_gone")).distinct())      # written, so the join's plan knows its size
     return docs.join(found, docs[id_col] == found["_gone"], "left_anti")
