@@ -1,7 +1,7 @@
 """Student-t tail probability for the small k x k correlation table.
 
 Driver-side on one-row statistics only (SciPy is not available).  Uses the
-regularised incomplete beta function by its continued fraction (Lentz).
+regularised incomplete beta function by its continued fraction.
 """
 
 from __future__ import annotations
@@ -9,30 +9,24 @@ from __future__ import annotations
 import math
 
 
-def _betacf(a: float, b: float, x: float, max_iter: int = 300, eps: float = 3e-16) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, max_iter + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
+def _coefficient(k: int, a: float, b: float, x: float) -> float:
+    """k-th partial numerator of 1 + d1/(1 + d2/(1 + ...)), the fraction of the incomplete beta function."""
+    m = k // 2
+    if k % 2:
+        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+    return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """The fraction from its end backwards, with twice the terms until the value stays."""
+    terms, before = 32, None
+    while True:
+        value = 1.0
+        for k in range(terms, 0, -1):
+            value = 1.0 + _coefficient(k, a, b, x) / value
+        if before is not None and (abs(value - before) <= 1e-15 * abs(value) or terms >= 1 << 16):
+            return value
+        before, terms = value, 2 * terms
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -45,8 +39,8 @@ def betainc_reg(a: float, b: float, x: float) -> float:
                 + a * math.log(x) + b * math.log1p(-x))
     front = math.exp(ln_front)
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+        return front / (a * _fraction(a, b, x))
+    return 1.0 - front / (b * _fraction(b, a, 1.0 - x))
 
 
 def t_two_sided_p(t: float, df: float) -> float:
