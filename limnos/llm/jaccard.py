@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.components import connected_components
+from limnos.llm.components import connected_components, local_roots
 from limnos.llm.runtime import cut_lineage, ship, sum_parts, vector_parts
 from limnos.llm.textops import splitmix, window_hashes, word_slices, word_table
 
@@ -187,23 +187,6 @@ def _runs(h, lo, hi):
     return order, h, lo, top, opens
 
 
-def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node joined to it) for the edges a-b."""
-    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = back[:len(a)], back[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        old = label.copy()
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        np.minimum.at(label, old[x], low)
-        np.minimum.at(label, old[y], low)
-        label = label[label]
-        if (label == old).all():
-            return nodes, nodes[label]
-
-
 EDGE = "a long, b long, h long, lo int, hi int"
 
 

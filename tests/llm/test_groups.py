@@ -164,11 +164,15 @@ def test_words_over_slices(monkeypatch):
     assert [(k, s.tolist()) for k, s in jaccard.shingle_sets(col.slice(3, 20))] == [(k - 3, s) for k, s in whole[3:23]]
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (200, 201), (201, 200)]
-    got = {r["node"]: r["label"] for r in components.connected_components(
-        spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {200: 200, 201: 200}
+    edges = spark.createDataFrame(chain, "a long, b long")
+    want = {i: 0 for i in range(41)} | {100: 100, 200: 200, 201: 200}
+    for task in (1_000_000, 12):           # all in one task; forests, then rounds
+        monkeypatch.setattr(components, "TASK_EDGES", task)
+        found = components.connected_components(edges).collect()
+        assert len(found) == len(want) and {r["node"]: r["label"] for r in found} == want
+    assert components.connected_components(edges.limit(0)).count() == 0
     a, b = np.array([5, 6, 9]), np.array([6, 7, 9])
-    node, root = jaccard.local_roots(a, b)
+    node, root = components.local_roots(a, b)
     assert dict(zip(node.tolist(), root.tolist())) == {5: 5, 6: 5, 7: 5, 9: 9}
