@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _tables: dict[bool, np.ndarray] = {}
 
 

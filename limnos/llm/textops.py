@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 _U = np.uint64
 
 

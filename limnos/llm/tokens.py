@@ -22,8 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from limnos.llm.textops import span_hashes, splitmix  # noqa: E402
 
-CHUNK = 1 << 20          # characters handled at once
-MAX_PIECES = 1_200_000   # distinct pieces kept per worker
+CHUNK = 1 << 18          # characters handled at once
+MAX_PIECES = 400_000   # distinct pieces kept per worker
 _TOP = 0x250
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 4, 5
 #: Fixed value: the word pattern of the word-level file (whitespace is dropped before it applies).

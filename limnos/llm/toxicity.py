@@ -16,7 +16,7 @@ labels.
 Defined results: NULL and empty texts score like a bag without evidence; rows
 without a label, with a NULL id or a NULL label are not learnt from; an id
 labelled twice counts as toxic if any label says so; if one class is missing,
-every score is 0 (no toxic label) or 1; texts above about half a million
+every score is 0 (no toxic label) or 1; texts above about a quarter million
 characters are cut at a space and their runs start anew there; repeated rows
 each get a row; other columns are carried by ``keep``.
 """
