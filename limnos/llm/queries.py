@@ -109,10 +109,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_repeated_units")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated sentence of at least six words in all documents, but its earliest occurrence."""
+    """Every repeated sentence in all documents, but its earliest occurrence; those under six words and
+    30 characters where their line or their neighbour is repeated too."""
     from limnos.llm.substring_dedup import repeated_units
 
-    return repeated_units(table(spark, sf_dir, "documents"), "sentence", 6)
+    return repeated_units(table(spark, sf_dir, "documents"), "sentence", 6, min_chars=30)
 
 
 @register("op4_ngram_jaccard")

@@ -5,8 +5,14 @@ lines) or ``sentence`` (lines cut again behind a word that ends in . ! or ?).
 A unit is normalised to its words, A-Z lower-cased, white space collapsed, and
 hashed to 128 bits.  Over the whole corpus the earliest unit of a digest, by
 (doc_id, start), is kept; every later one is marked for removal with its
-original place in code points.  Units of fewer than ``min_words`` words never
-count: such short ones recur by chance.
+original place in code points.
+
+Units of fewer than ``min_words`` words recur by chance.  Without ``min_chars``
+they never count.  With it, a unit is long if it has ``min_words`` words or
+``min_chars`` characters (a line without white space is one word), and a short
+one is marked if it stands alone on its line and did so earlier, or if it
+stood earlier next to the same unit, before or behind it.  So repeated lines and
+passages go whole, and a lone 'the.' within other text stays.
 
 Defined results: NULL and empty texts have no units; NULL doc_ids rank first;
 rows that share doc_id and text are the same units, so a repeated row is not
@@ -24,6 +30,8 @@ from limnos.llm.runtime import ship
 from limnos.llm.textops import powers, splitmix, word_slices, word_table
 
 UNITS = "doc_id long, start long, end long, words int, h1 long, h2 long"
+#: Salts of the keys of short units: alone on a line, before its neighbour, behind it.
+ALONE, AHEAD, BEHIND = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xD1342543DE82EF95, 0xF1357AEA2E62A9C5))
 
 
 def _unit_breaks(kind: str, data, s, e, first_of_row) -> np.ndarray:
@@ -54,9 +62,30 @@ def _digests(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return out[0], out[1]
 
 
+def _keyed(h: np.ndarray, salt: np.uint64, other: np.ndarray | None = None) -> np.ndarray:
+    """Key of the digests ``h`` in a surrounding, with those of a neighbour."""
+    x = splitmix(h.view(np.uint64) ^ salt)
+    return (x if other is None else splitmix(x + other.view(np.uint64))).view(np.int64)
+
+
+def _unit_keys(h1, h2, of_row, alone, long):
+    """(unit, h1, h2, marks) of every key: each unit's own one, which marks long units only, and
+    those of short units in their surroundings."""
+    n = len(h1)
+    yield np.arange(n), h1, h2, long
+    u = np.flatnonzero(~long & alone)
+    yield u, _keyed(h1[u], ALONE), _keyed(h2[u], ALONE), np.ones(len(u), bool)
+    paired = of_row[1:] == of_row[:-1]
+    for salt, u, step in ((AHEAD, np.flatnonzero(paired & ~long[:-1]), 1),
+                          (BEHIND, np.flatnonzero(paired & ~long[1:]) + 1, -1)):
+        yield u, _keyed(h1[u], salt, h1[u + step]), _keyed(h2[u], salt, h2[u + step]), np.ones(len(u), bool)
+
+
 def text_units(docs: DataFrame, kind: str = "sentence", min_words: int = 6, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """Every unit of at least ``min_words`` words: its place in code points and its digest."""
+               text_col: str = "text", min_chars: int | None = None) -> DataFrame:
+    """Every unit of at least ``min_words`` words: its place in code points and its digest.
+
+    With ``min_chars``, every unit and every key of it; ``marks`` is false for the own key of a short unit."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -76,6 +105,19 @@ def text_units(docs: DataFrame, kind: str = "sentence", min_words: int = 6, id_c
                 point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 row_byte = _row_bytes(batch.column(1), row, stop)
                 base = point[row_byte][of_row]
+                if min_chars is not None:
+                    # sizes are those of the normalised unit, so equal units are of one class
+                    letters = np.concatenate([[0], np.cumsum(point[e] - point[s])])
+                    long = (v - u >= min_words) | (letters[v] - letters[u] + v - u - 1 >= min_chars)
+                    lines = _unit_breaks("line", data, s, e, begin[counts > 0])[u]
+                    alone = lines & np.append(lines[1:], True)
+                    for k, k1, k2, marks in _unit_keys(h1, h2, of_row, alone, long):
+                        yield pa.RecordBatch.from_arrays([
+                            keys.take(pa.array(row + of_row[k])), pa.array(point[s[u[k]]] - base[k]),
+                            pa.array(point[e[v[k] - 1]] - base[k]), pa.array((v - u)[k].astype(np.int32)),
+                            pa.array(k1), pa.array(k2), pa.array(marks)],
+                            names=["doc_id", "start", "end", "words", "h1", "h2", "marks"])
+                    continue
                 keep = np.flatnonzero(v - u >= min_words)
                 yield pa.RecordBatch.from_arrays([
                     keys.take(pa.array(row + of_row[keep])), pa.array(point[s[u[keep]]] - base[keep]),
@@ -84,7 +126,7 @@ def text_units(docs: DataFrame, kind: str = "sentence", min_words: int = 6, id_c
                     names=["doc_id", "start", "end", "words", "h1", "h2"])
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(run, UNITS)
+    return narrow.mapInArrow(run, UNITS if min_chars is None else UNITS + ", marks boolean")
 
 
 def _row_bytes(col, row: int, stop: int) -> np.ndarray:
@@ -95,17 +137,22 @@ def _row_bytes(col, row: int, stop: int) -> np.ndarray:
 
 
 def repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = 6, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", min_chars: int | None = None) -> DataFrame:
     """One row per unit to remove: doc_id, start, end, words, kept_doc_id and kept_start of
     the earliest occurrence.
 
     Digests met once are dropped by an aggregate with partial sums, so the join sees only
-    repeated ones; a very common unit is one row of its right side."""
-    units = text_units(docs, kind, min_words, id_col, text_col)
+    repeated ones; a very common unit is one row of its right side.  With ``min_chars`` a unit's keys
+    meet again by place; its own key's first place is the earliest, which no key marks."""
+    units = text_units(docs, kind, min_words, id_col, text_col, min_chars)
     place = F.struct("doc_id", "start")
     first = (units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"))
-    return (units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    if min_chars is not None:
+        later = (later.groupBy("doc_id", "start", "end", "words")
+                 .agg(F.min("first").alias("first"), F.max("marks").alias("marks")).where("marks"))
+    return (later
             .select("doc_id", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"),
                     F.col("first.start").alias("kept_start")))
 
