@@ -16,7 +16,8 @@ Base kinds (each match that fails its check is dropped, and the search goes on b
 
 Added kinds:
 
-    iban    country, two check digits and 11 to 30 letters or digits, confirmed by mod 97
+    iban    country, two check digits and as many letters or digits as the country's accounts have
+            (11 to 30 for a code without a known length), confirmed by mod 97
     ssn     ddd-dd-dddd, kept only if a context word raises its score to ``THRESHOLD``
 
 Score: the kind's base value, plus ``CHECKED`` if a checksum confirmed it, plus
@@ -36,13 +37,32 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, PLAIN = "\u0001", "\u0002", "\u0003"
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE_KINDS = KINDS[:4]
+#: Characters of an account number, by country: the IBAN registry and the countries that use the form without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """A known account ends at its last character, so the words behind it are no part of the match."""
+    known = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}"
+                     for n, codes in IBAN_LENGTHS.items())
+    known = f"(?:{known})(?![A-Za-z0-9])"
+    listed = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    other = f"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\\x20(?!{known})[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})"
+
+
 #: Equal to the stated base patterns: possessive where nothing that follows could use a given-back character.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text in which this is not found has no match of the kind.

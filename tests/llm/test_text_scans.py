@@ -62,6 +62,19 @@ def test_pii_spans(spark):
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
+def test_iban_ends_at_its_country_length(spark):
+    texts = {"IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": "iban:5:32", "GB82WEST12345698765432 EUR 50": "iban:0:22",
+             "DE89370400440532013000 I will": "iban:0:22", "NO93 8601 1117 947 OK": "iban:0:18",
+             "DE89370400440532013000 GB82WEST12345698765432 A": "iban:0:22,iban:23:45",
+             "MT84MALT011000012345MTLCAST001S X": "iban:0:31", "QX12 DE89370400440532013000 A": "iban:5:27",
+             "DE89370400440532013000A": "", "DE88370400440532013000 I will": "", "DE8937040044053201300": ""}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["s"] for r in pii.find_spans(df).select("text", pii.joined(F.filter(
+        "pii", lambda x: x["kind"] == "iban")).alias("s")).collect()}
+    assert got == texts
+    assert pii.redact(df).where("text = '[IBAN] I will'").count() == 1
+
+
 def test_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, None, 2), (2, "", 2), (3, "é a@b.co1.2.3.4 x", 2), (4, "a@b.co " * 300, 2)],
                                "doc_id long, text string, _pii_spans int")
