@@ -83,17 +83,19 @@ class TrainedModel:
 
 
 def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linear", name: str | None = None,
-          standardize: bool = True, degree: int = 2, alpha: float = 1.0, l1_ratio: float = 0.5,
-          num_trees: int = 100, max_depth: int | None = None, min_instances: int = 1, step_size: float = 0.1,
+          standardize: bool = True, degree: int | None = None, alpha: float = 1.0, l1_ratio: float = 0.5,
+          k_best: int | None = None, num_trees: int = 100, max_depth: int | None = None, min_instances: int = 1, step_size: float = 0.1,
           max_iter: int = 100, subsampling: float = 1.0, seed: int = 42) -> TrainedModel:
     """Fit one regressor (M1-M8) on ``df`` (rows with a null feature/label are dropped).
 
     * ``linear`` (M1): OLS, normal-equation solver.
-    * ``polynomial`` (M2): degree-``degree`` monomials of the standardised
-      features, then OLS.
+    * ``polynomial`` (M2): degree-``degree`` monomials (2 by default) of the
+      standardised features, then OLS.
     * ``ridge`` (M3): scikit-learn ``Ridge(alpha)`` on standardised features.
       Spark penalises in label-scaled units, so regParam = alpha *
-      stddev_pop(y) / n (n, sigma of the training rows).
+      stddev_pop(y) / n (n, sigma of the training rows).  With ``degree``
+      above 1 on their monomials; with ``k_best`` on the terms of the highest
+      |correlation| with the label (the order of the F score), all if fewer.
     * ``lasso`` (M4) / ``elastic_net`` (M5): mapped the same way.
     * ``random_forest`` (M6): all features per split (scikit-learn's
       regression default); without ``max_depth`` trees grow to 30, the most Spark allows.
@@ -121,9 +123,16 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
         stages.append(standardizer_stage(stats))
         params["scaler"] = {c: [m, sd] for c, (m, sd) in stats.items()}
     vec_in = zfeat
-    if kind == "polynomial":
-        poly, vec_in = polynomial_stage(zfeat, degree)
+    if kind == "polynomial" or (kind == "ridge" and (degree or 1) > 1):
+        poly, vec_in = polynomial_stage(zfeat, degree or 2)
         stages.append(poly)
+    if kind == "ridge" and k_best is not None and k_best < len(vec_in):
+        terms = data
+        for stage in stages:
+            terms = stage.transform(terms)
+        corr = terms.agg(*[F.abs(F.corr(F.col(q(c)), F.col(q(label)))) for c in vec_in]).collect()[0]
+        score = [-1.0 if r is None or r != r else r for r in corr]
+        vec_in = [vec_in[i] for i in sorted(sorted(range(len(vec_in)), key=lambda i: -score[i])[:k_best])]
     stages.append(VectorAssembler(inputCols=vec_in, outputCol="features", handleInvalid="keep"))
 
     if penalised:

@@ -198,12 +198,22 @@ def q_train_compare(spark, sf):
     return board
 
 
+MEASURES = ["l_quantity", "l_extendedprice", "l_tax"]
+ENGINEERED = [*MEASURES, "temp_doxy_ratio", "chl_a_doxy_ratio", "chl_a_temp_ratio", "log_chl_a", "temp_squared",
+              "doxy_squared"]
+PIPELINE_GRID = {"degree": [1, 2], "k_best": [5, 10, 15, None], "alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]}
+
+
+def _engineered(spark, sf):
+    from limnos.operators.features import ratio_features
+    return ratio_features(_li(spark, sf), temp="l_quantity", do="l_extendedprice", chl="l_tax")
+
+
 @register("tune_ridge")
 def q_tune_ridge(spark, sf):
-    """L4 + L3: ridge alpha grid, 5 hash folds, mean CV MSE (best first)."""
+    """L4 + L3: degree x k-best x alpha, 48 points on nine features, 5 hash folds, mean CV MSE (best first)."""
     from limnos.plans.tuning import grid_search
-    return grid_search(_li(spark, sf), ["l_extendedprice", "l_discount"], "revenue", B.LINEITEM_KEY, "ridge",
-                       {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]}, k=5)
+    return grid_search(_engineered(spark, sf), ENGINEERED, "revenue", B.LINEITEM_KEY, "ridge", PIPELINE_GRID, k=5)
 
 
 @register("cv_scores")
@@ -249,21 +259,20 @@ def q_additive_fit(spark, sf):
 
 @register("basic_vs_enhanced")
 def q_basic_vs_enhanced(spark, sf):
-    """Ridge on (price, discount) vs polynomial pipeline on all four measures."""
+    """Ridge on the three measures vs the tuned pipeline (L4's grid) on them and the six ratio features."""
     from limnos.plans.tuning import basic_vs_enhanced
-    return basic_vs_enhanced(_li(spark, sf), ["l_extendedprice", "l_discount"], FEATS, "revenue", B.LINEITEM_KEY)
+    return basic_vs_enhanced(_engineered(spark, sf), MEASURES, ENGINEERED, "revenue", B.LINEITEM_KEY,
+                             enhanced_kind="ridge", grid=PIPELINE_GRID)
 
 
 @register("experiment_choice")
 def q_experiment_choice(spark, sf):
-    """Baseline features vs engineered ratio features; best by test RMSE."""
-    from limnos.operators.features import ratio_features
+    """Baseline features vs the six engineered ratio features, all models; best by test RMSE."""
     from limnos.plans.tuning import choose_experiment, train_and_compare
-    li = ratio_features(_li(spark, sf), temp="l_quantity", do="l_extendedprice", chl="l_tax")
-    base, _, _ = train_and_compare(li, ["l_quantity", "l_extendedprice", "l_tax"], "revenue", B.LINEITEM_KEY,
-                                   kinds=("linear", "ridge"))
-    eng_feats = ["l_quantity", "l_extendedprice", "l_tax", "temp_doxy_ratio", "log_chl_a", "temp_squared"]
-    eng, _, _ = train_and_compare(li, eng_feats, "revenue", B.LINEITEM_KEY, kinds=("linear", "ridge"))
+    li = _engineered(spark, sf)
+    kinds = ("linear", "ridge", "lasso", "elastic_net", "random_forest", "gbm")
+    base, _, _ = train_and_compare(li, MEASURES, "revenue", B.LINEITEM_KEY, kinds=kinds)
+    eng, _, _ = train_and_compare(li, ENGINEERED, "revenue", B.LINEITEM_KEY, kinds=kinds)
     return choose_experiment({"baseline": base, "engineered": eng})
 
 
