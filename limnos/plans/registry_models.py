@@ -194,7 +194,7 @@ def q_train_compare(spark, sf):
     with the mean R^2 of 5 hash folds."""
     from limnos.plans.tuning import train_and_compare
     board, _, _ = train_and_compare(_li(spark, sf), FEATS, "revenue", B.LINEITEM_KEY, cv_folds=5,
-                                    model_params={"random_forest": {"num_trees": 100, "max_depth": 8}})
+                                    model_params={"random_forest": {"num_trees": 100}})
     return board
 
 
@@ -226,9 +226,9 @@ def q_cv_scores(spark, sf):
 
 @register("importance")
 def q_importance(spark, sf):
-    """Impurity importances of a random forest (100 trees, depth 8)."""
+    """Impurity importances of a random forest (100 trees)."""
     from limnos.plans.models import importance_table, train
-    tm = train(_li(spark, sf), FEATS, "revenue", "random_forest", num_trees=100, max_depth=8)
+    tm = train(_li(spark, sf), FEATS, "revenue", "random_forest", num_trees=100)
     return importance_table(tm)
 
 
@@ -321,14 +321,14 @@ def q_loess_curve(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """MSE increase per permuted feature for a random forest (100 trees, depth 8), on orders (unique key):
+    """MSE increase per permuted feature for a random forest (100 trees), on orders (unique key):
     total price by order key, customer, date and year."""
     from limnos.plans.models import permutation_importance, train
     o = B.table(spark, sf, "orders").select(
         "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"),
         F.col("o_custkey").cast("double").alias("customer"), F.dayofyear("o_orderdate").cast("double").alias("day"),
         F.year("o_orderdate").cast("double").alias("year"))
-    tm = train(o, ["customer", "day", "year"], "o_totalprice", "random_forest", num_trees=100, max_depth=8)
+    tm = train(o, ["customer", "day", "year"], "o_totalprice", "random_forest", num_trees=100)
     return permutation_importance(tm, o, "o_orderkey")
 
 

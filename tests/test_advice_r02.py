@@ -52,3 +52,26 @@ def test_queries_pass_the_whole_lists(monkeypatch):
     assert np.prod([len(v) for v in tune[0][5].values()]) == 48
     assert len(compare[0][1]) == 3 and len(compare[0][2]) == 9 and compare[1]["grid"] is tune[0][5]
     assert len(base[0][1]) == 3 and len(eng[0][1]) == 9 and len(eng[1]["kinds"]) == 6 and base[1] == eng[1]
+
+
+def test_registered_forests_grow_without_limit(monkeypatch):
+    from limnos.plans import models
+
+    calls = []
+    monkeypatch.setattr(R, "_li", lambda spark, sf: None)
+    monkeypatch.setattr(models, "train", lambda *a, **k: calls.append(k))
+    monkeypatch.setattr(models, "importance_table", lambda tm: None)
+    monkeypatch.setattr(tuning, "train_and_compare", lambda *a, **k: calls.append(k["model_params"]["random_forest"])
+                        or (None, None, None))
+    R.q_train_compare(None, None), R.q_importance(None, None)
+    assert calls == [{"num_trees": 100}] * 2
+
+
+def test_permuted_forest_grows_without_limit(spark, monkeypatch):
+    from limnos.plans import models
+
+    calls = []
+    monkeypatch.setattr(models, "train", lambda *a, **k: calls.append(k))
+    monkeypatch.setattr(models, "permutation_importance", lambda *a: None)
+    R.q_permutation_importance(spark, "/root/testdata/sf0.001")
+    assert calls == [{"num_trees": 100}]
