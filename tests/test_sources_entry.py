@@ -1,3 +1,4 @@
+import os
 import warnings
 
 import duckdb
@@ -58,8 +59,8 @@ def _oracle_names():
 def test_oracle_agreement_sf0001(spark, name):
     import __spark_entry__ as E
     con = duckdb.connect()
-    for t in ["lineitem", "events", "orders", "documents", "customer"]:
-        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    for f in sorted(os.listdir(SF)):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{SF}/{f}')")
     s = E.queries()[name](spark, SF).toPandas()
     o = con.execute(E.oracle_sql()[name]).df()
     cols = sorted(s.columns)
