@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from limnos.llm.textops import splitmix
+
 CHUNK = 1 << 18
 _tables: dict[bool, np.ndarray] = {}
 
@@ -96,12 +98,25 @@ class Chars:
         first = np.flatnonzero(self.opens)
         if not len(first):
             return np.zeros(0, np.uint32), first
-        from limnos.llm.textops import span_hashes, splitmix
-
         end = np.flatnonzero(self.space[1:] & ~self.space[:-1]) + 1
-        h = span_hashes(splitmix(self.code.astype(np.uint64)), first, end)
+        h = _run_hashes(splitmix(self.code.astype(np.uint64)), first, end)
         return (h >> np.uint64(32)).astype(np.uint32), first
 
 
+_BASE = 0x9E6C63D0876A9A47 | 1
+
+
+def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each values[start:end]; only names feature buckets, in which words meet anyway."""
+    powers = [np.full(len(values) + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    for p in powers:
+        p[0] = 1
+    up, down = map(np.multiply.accumulate, powers)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=total[1:])
+    h = (total[ends] - total[starts]) * down[starts]
+    return splitmix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)).astype(np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.runtime import ship
-from limnos.llm.textops import powers, splitmix, word_slices, word_table
+from limnos.llm.textops import span_hashes, splitmix, word_slices, word_table
 
 UNITS = "doc_id long, start long, end long, words int, h1 long, h2 long"
 #: Salts of the keys of short units: alone on a line, before its neighbour, behind it.
@@ -52,14 +52,8 @@ def _unit_breaks(kind: str, data, s, e, first_of_row) -> np.ndarray:
 
 def _digests(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each run of word hashes."""
-    p, inv = powers(len(h) + 1)
-    out = []
-    for salt in (np.uint64(0), np.uint64(0xA24BAED4963EE407)):
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(splitmix(h ^ salt) * p[:-1], out=total[1:])
-        x = (total[ends] - total[starts]) * inv[starts]
-        out.append(splitmix(x ^ (ends - starts).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    return tuple(span_hashes(splitmix(h ^ salt), starts, ends).view(np.int64)
+                 for salt in (np.uint64(0), np.uint64(0xA24BAED4963EE407)))
 
 
 def _keyed(h: np.ndarray, salt: np.uint64, other: np.ndarray | None = None) -> np.ndarray:

@@ -1,8 +1,7 @@
 """Vectorised word and window hashing over Arrow string buffers.
 
 Words are maximal runs of bytes that a 256-entry table marks as word bytes;
-A-Z hash like a-z.  A word's hash is a polynomial in a random value per byte
-(modulo 2**64), so every word of a buffer comes from one cumulative sum.
+A-Z hash like a-z.  All words of a buffer are hashed together, 8 bytes at a time.
 Work is done in slices of at most ``SLICE`` bytes, whatever the row count or
 the length of a text.
 """
@@ -29,37 +28,70 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E6C63D0876A9A47 | 1
-_powers: dict[str, np.ndarray] = {"pow": np.ones(1, _U), "inv": np.ones(1, _U)}
+_places: dict[str, np.ndarray] = {"factor": np.zeros(0, _U)}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (cached)."""
-    if len(_powers["pow"]) < n:
-        size = max(n, SLICE + 1)
-        for name, b in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-            arr = np.full(size, b, _U)
-            arr[0] = 1
-            _powers[name] = np.multiply.accumulate(arr)
-    return _powers["pow"][:n], _powers["inv"][:n]
+def place_factors(n: int) -> np.ndarray:
+    """Random odd factors of the places 0..n-1 of a span (cached)."""
+    if len(_places["factor"]) < n:
+        size = max(n, 2 * len(_places["factor"]), 1 << 12)
+        _places["factor"] = splitmix(np.arange(size, dtype=_U) + _U(0x2545F4914F6CDD1D)) | _U(1)
+    return _places["factor"]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each values[start:end]; equal spans hash alike wherever they stand."""
-    p, inv = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * p[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * inv[starts]
-    return splitmix(h ^ ((ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)))
+    """Hash of each values[start:end] of 64-bit values; equal spans hash alike wherever they stand.
+
+    A multilinear hash: the sum of value times the random factor of its place in the span.  (A
+    polynomial modulo 2**64 is not enough: the two Thue-Morse words of 1024 letters collide in
+    every base.)  Spans are in order and do not overlap."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    sizes = (ends - starts).astype(np.int64)
+    lead = int(starts[0])
+    held = values[lead:]
+    place = np.arange(len(held)) - np.repeat(starts - lead, np.diff(np.append(starts, len(values))))
+    total = np.zeros(len(held) + 1, _U)
+    # values behind a span do not count, whatever their factor
+    np.cumsum(held * place_factors(int(sizes.max())).take(place, mode="clip"), out=total[1:])
+    return splitmix((total[ends - lead] - total[starts - lead]) ^ (sizes.astype(_U) * _U(0xD6E8FEB86659FD93)))
 
 
-def byte_values() -> np.ndarray:
-    v = splitmix(np.arange(1, 257, dtype=_U))
-    v[65:91] = v[97:123]
-    return v
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+LONG = 512      # bytes of a span above which chunks are summed instead of chained
 
 
-BYTE_VALUES = byte_values()
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:end] of bytes, read in chunks of 8 that a nonlinear mix chains.
+
+    Spans of one size up to 8 bytes never collide.  A span above ``LONG`` bytes sums its chunks
+    times random factors of their places."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+    at, left = starts, ends - starts
+    h = splitmix(left)
+    todo = np.flatnonzero(left > LONG)
+    for k in todo.tolist():
+        lo, hi = int(starts[k]), int(ends[k])
+        chunks = at_byte[lo:hi:8].copy()
+        chunks[-1] &= _MASK[(hi - lo - 1) % 8 + 1]
+        h[k] = splitmix(h[k:k + 1] ^ (chunks * place_factors(len(chunks))[:len(chunks)]).sum(dtype=_U))[0]
+    mixed = splitmix(h ^ (at_byte[at] & _MASK[np.minimum(left, 8)]))
+    mixed[todo] = h[todo]
+    more = np.flatnonzero((left > 8) & (left <= LONG))
+    k = 0
+    while len(more):
+        k += 8
+        rest = left[more] - k
+        mixed[more] = splitmix(mixed[more] ^ (at_byte[at[more] + k] & _MASK[np.minimum(rest, 8)]))
+        more = more[rest > 8]
+    return mixed
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def word_table(kind: str) -> np.ndarray:
@@ -102,7 +134,7 @@ def _words(data: np.ndarray, row_starts: np.ndarray, is_word: np.ndarray):
     last = np.ones(len(data), bool)
     last[:-1] = ~w[1:] | first[1:len(data)]
     starts, ends = np.flatnonzero(opened), np.flatnonzero(w & last) + 1
-    return starts, ends, span_hashes(BYTE_VALUES[data], starts, ends)
+    return starts, ends, byte_hashes(LOWER[data], starts, ends)
 
 
 def _cut(data: np.ndarray, lo: int, hi: int, is_word: np.ndarray) -> int:

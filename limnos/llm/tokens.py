@@ -4,9 +4,12 @@ Both public BPE files encode each pre-token (piece) on its own, and a corpus
 repeats its pieces.  Pieces are found and hashed with numpy over a slice of
 texts at a time, each distinct piece is encoded once per Python worker by the
 library and kept in a table of bounded size, and the ids of a text are
-gathered from there.  Texts with characters outside the plain ranges below,
-or with a special token's string, go through the library whole, as does
-every text when the file has another pre-tokenizer.
+gathered from there.  A slice tells its pieces apart by 64-bit hashes (up to 4
+characters without collision); a piece met again in the table is compared with
+the stored one, and a text for which that fails goes through the library whole.
+So do texts with characters outside the plain ranges below,
+or with a special token's string, and every text when the file has another
+pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from limnos.llm.textops import span_hashes, splitmix  # noqa: E402
+from limnos.llm.textops import byte_hashes  # noqa: E402
 
 CHUNK = 1 << 18          # characters handled at once
 MAX_PIECES = 400_000   # distinct pieces kept per worker
@@ -57,7 +60,6 @@ def _shown() -> dict[int, int]:
 
 
 _CLASS, _SHOWN = _classes(), _shown()
-_VALUE = splitmix(np.arange(7, _TOP + 8, dtype=np.uint64))
 
 
 def read_tokenizer(path: str) -> str:
@@ -95,6 +97,7 @@ class TextEncoder:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.piece = np.zeros(0, object)
         self.store = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -173,9 +176,13 @@ class TextEncoder:
         n = np.zeros(len(group), np.int64)
         flat = np.zeros(0, np.uint32)
         if len(pos):
-            key = span_hashes(_VALUE[cp], pos, end)
+            key = byte_hashes(cp.astype("<u2").view(np.uint8), 2 * pos, 2 * end)
             uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-            self._learn(joined, uniq, pos[first], end[first])
+            other = self._learn(joined, uniq, pos[first], end[first])
+            if len(other):
+                whole[seg[np.isin(back, other)]] = True
+                keep = ~whole[seg]
+                back, seg = back[keep], seg[keep]
             at = np.searchsorted(self.keys, uniq)[back]
             size, begin = self.size[at], self.at[at]
             n = np.bincount(seg, weights=size, minlength=len(group)).astype(np.int64)
@@ -225,17 +232,21 @@ class TextEncoder:
             tail = q + 1 + size
             start[tail[cls[tail] == LETTER]] = True
 
-    def _learn(self, joined: str, uniq, first, last) -> None:
-        """Encode pieces not seen before and merge them into the sorted table."""
+    def _learn(self, joined: str, uniq, first, last) -> np.ndarray:
+        """Encode pieces not seen before and merge them into the sorted table; returns the places of
+        those whose key belongs to another piece there."""
         if len(self.keys) + len(uniq) > MAX_PIECES:
             self._reset()
         at = np.searchsorted(self.keys, uniq)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == uniq[known]
-        new = np.flatnonzero(~known)
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        met = [joined[a:b] for a, b in zip(first[old].tolist(), last[old].tolist(), strict=True)]
+        other = old[[x != y for x, y in zip(met, self.piece[at[old]].tolist(), strict=True)]] if met else old
         if not len(new):
-            return
-        ids = [self._piece(joined[a:b]) for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+            return other
+        pieces = [joined[a:b] for a, b in zip(first[new].tolist(), last[new].tolist(), strict=True)]
+        ids = [self._piece(x) for x in pieces]
         size = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.uint32)
         if self.used + len(flat) > len(self.store):
@@ -250,6 +261,10 @@ class TextEncoder:
         self.keys = keys[order]
         self.at = np.concatenate([self.at, begin])[order]
         self.size = np.concatenate([self.size, size])[order]
+        added = np.empty(len(pieces), object)
+        added[:] = pieces
+        self.piece = np.concatenate([self.piece, added])[order]
+        return other
 
 
 _encoders: dict[int, TextEncoder] = {}
