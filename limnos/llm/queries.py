@@ -156,3 +156,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from limnos.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), 10)
+
+
+@register("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and the class of each under Hamming radius 5."""
+    from limnos.llm.runtime import cut_lineage
+    from limnos.llm.simhash import edit_likeness, near_classes
+
+    rows = cut_lineage(edit_likeness(table(spark, sf_dir, "documents")))
+    return rows.join(near_classes(rows), "fingerprint").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
