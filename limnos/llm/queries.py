@@ -167,3 +167,16 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut_lineage(edit_likeness(table(spark, sf_dir, "documents")))
     return rows.join(near_classes(rows), "fingerprint").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened coordinates of all embeddings on up to 16 components, a row per vector and component."""
+    from limnos.llm.whitening import whiten
+
+    found, model = whiten(table(spark, sf_dir, "embeddings"), components=16)
+    share = F.array(*map(F.lit, model.explained if model else [])).cast("array<double>")
+    rows = found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"),
+                       "deviation", "whitened", share[F.col("at")].alias("explained"),
+                       F.lit(model.identity_error if model else 0.0).alias("identity_error"))

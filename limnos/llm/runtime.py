@@ -64,18 +64,18 @@ def crc_mod(column: str, modulo: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulo
 
 
-def vector_parts(counts, parts: int):
+def vector_parts(counts, parts: int, kind: str = "<i8"):
     """A task's counts as (part, bytes) rows of equal length, for ``sum_parts``."""
     import pyarrow as pa
 
     step = len(counts) // parts
     return pa.RecordBatch.from_pydict({
         "part": pa.array(range(parts), pa.int32()),
-        "counts": pa.array([counts[k * step:(k + 1) * step].astype("<i8").tobytes() for k in range(parts)],
+        "counts": pa.array([counts[k * step:(k + 1) * step].astype(kind).tobytes() for k in range(parts)],
                            pa.binary())})
 
 
-def sum_parts(rows: DataFrame, parts: int, length: int):
+def sum_parts(rows: DataFrame, parts: int, length: int, kind: str = "<i8", tasks: int | None = None):
     """Element-wise sum of all tasks' vectors (part, counts); ``length`` values, whatever the input."""
     import numpy as np
 
@@ -85,15 +85,16 @@ def sum_parts(rows: DataFrame, parts: int, length: int):
         sums = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, "<i8")
+                x = np.frombuffer(data, kind)
                 sums[part] = sums[part] + x if part in sums else x
         if sums:
             yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array(
-                [x.astype("<i8").tobytes() for x in sums.values()], pa.binary())})
+                [x.astype(kind).tobytes() for x in sums.values()], pa.binary())})
 
-    out = np.zeros((parts, length // parts), np.int64)
-    for r in rows.select("part", "counts").repartition(parts, "part").mapInArrow(run, "part int, counts binary").collect():
-        out[r["part"]] += np.frombuffer(r["counts"], "<i8")
+    out = np.zeros((parts, length // parts), kind)
+    dealt = rows.select("part", "counts").repartition(tasks or parts, "part")
+    for r in dealt.mapInArrow(run, "part int, counts binary").collect():
+        out[r["part"]] += np.frombuffer(r["counts"], kind)
     return out.reshape(-1)
 
 
