@@ -180,3 +180,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"),
                        "deviation", "whitened", share[F.col("at")].alias("explained"),
                        F.lit(model.identity_error if model else 0.0).alias("identity_error"))
+
+
+@register("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by crc32 of conv_id:turn, and the cheapest repair of each."""
+    from limnos.llm.conversations import damage, repair
+
+    rows = damage(table(spark, sf_dir, "conversations"))
+    return repair(rows, present=rows["present"])
