@@ -1,7 +1,7 @@
 """Regressors, coefficient / importance tables and model persistence
 (M1-M12, M14, A9).
 
-Every model is a Spark ML ``PipelineModel``:
+Every model but the forest (``plans.forest``) is a Spark ML ``PipelineModel``:
 
     [SQLTransformer: engineered terms]   (optional, e.g. degree-2 monomials)
     SQLTransformer: standardise          (train mean / population std as literals)
@@ -29,7 +29,6 @@ from pyspark.ml.regression import (
     GBTRegressor,
     GeneralizedLinearRegression,
     LinearRegression,
-    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from limnos.operators.features import fit_standardizer, polynomial_name, polynomial_terms
 from limnos.operators.metrics import regression_metrics
 from limnos.operators.profile import q
+from limnos.plans.forest import ForestModel, train_forest
 
 MODEL_KINDS = ("linear", "polynomial", "ridge", "lasso", "elastic_net", "random_forest", "gbm", "boosted")
 
@@ -65,7 +65,7 @@ class TrainedModel:
     """A fitted pipeline plus what is needed to use and describe it."""
     name: str
     kind: str
-    model: PipelineModel
+    model: PipelineModel | ForestModel
     features: list[str]
     label: str
     vector_features: list[str] = field(default_factory=list)
@@ -84,8 +84,9 @@ class TrainedModel:
 
 def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linear", name: str | None = None,
           standardize: bool = True, degree: int | None = None, alpha: float = 1.0, l1_ratio: float = 0.5,
-          k_best: int | None = None, num_trees: int = 100, max_depth: int | None = None, min_instances: int = 1, step_size: float = 0.1,
-          max_iter: int = 100, subsampling: float = 1.0, seed: int = 42) -> TrainedModel:
+          k_best: int | None = None, num_trees: int = 100, max_depth: int | None = None, min_instances: int = 1,
+          min_split: int = 2, step_size: float = 0.1, max_iter: int = 100, subsampling: float = 1.0,
+          seed: int = 42) -> TrainedModel:
     """Fit one regressor (M1-M8) on ``df`` (rows with a null feature/label are dropped).
 
     * ``linear`` (M1): OLS, normal-equation solver.
@@ -97,13 +98,16 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
       above 1 on their monomials; with ``k_best`` on the terms of the highest
       |correlation| with the label (the order of the F score), all if fewer.
     * ``lasso`` (M4) / ``elastic_net`` (M5): mapped the same way.
-    * ``random_forest`` (M6): all features per split (scikit-learn's
-      regression default); without ``max_depth`` trees grow to 30, the most Spark allows.
+    * ``random_forest`` (M6): all features per split (scikit-learn's regression default), grown to
+      pure leaves without ``max_depth`` (see ``plans.forest``); trees need no scaler.
     * ``gbm`` (M7), ``boosted`` (M8 re-aimed): ``GBTRegressor``.
     """
     if kind not in MODEL_KINDS:
         raise ValueError(f"unknown model kind {kind}; choose from {MODEL_KINDS}")
     features = list(features)
+    if kind == "random_forest":
+        forest = train_forest(df, features, label, num_trees, max_depth, min_instances, min_split, seed)
+        return TrainedModel(name or kind, kind, forest, features, label, features, {"num_trees": num_trees})
     data = df.select(*[F.col(q(c)) for c in features], F.col(q(label))).na.drop()
     stages = []
     params: dict = {}
@@ -151,9 +155,6 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
         reg = LinearRegression(labelCol=label, regParam=big_r, elasticNetParam=(alpha * l1_ratio / big_r) if big_r else 0.0,
                                solver="normal", standardization=False)
         params.update(l1_ratio=l1_ratio)
-    elif kind == "random_forest":
-        reg = RandomForestRegressor(labelCol=label, numTrees=num_trees, maxDepth=30 if max_depth is None else max_depth,
-                                    minInstancesPerNode=min_instances, featureSubsetStrategy="all", seed=seed)
     else:  # gbm / boosted
         reg = GBTRegressor(labelCol=label, maxIter=max_iter, stepSize=step_size, maxDepth=3 if max_depth is None else max_depth,
                            minInstancesPerNode=min_instances, subsamplingRate=subsampling, seed=seed)
@@ -186,7 +187,7 @@ def coefficient_table(tm: TrainedModel, top: int | None = None) -> DataFrame:
 def importance_table(tm: TrainedModel) -> DataFrame:
     """Impurity importances of a tree model, largest first."""
     from pyspark.sql import SparkSession
-    imp = tm.regressor.featureImportances.toArray()
+    imp = tm.model.importances if tm.kind == "random_forest" else tm.regressor.featureImportances.toArray()
     rows = sorted(((n.removesuffix("__z"), float(v)) for n, v in zip(tm.vector_features, imp)), key=lambda r: -r[1])
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
@@ -210,7 +211,10 @@ def original_scale_coefficients(tm: TrainedModel, stats: Mapping[str, tuple[floa
 
 def save_model(tm: TrainedModel, path: str, metrics: Mapping[str, float] | None = None) -> None:
     """Pipeline directory + one-row metadata table (name, kind, features, label, params, metrics)."""
-    tm.model.write().overwrite().save(f"{path}/pipeline")
+    if tm.kind == "random_forest":
+        tm.model.save(f"{path}/pipeline")
+    else:
+        tm.model.write().overwrite().save(f"{path}/pipeline")
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     meta = [(tm.name, tm.kind, json.dumps(tm.features), tm.label, json.dumps(tm.vector_features),
@@ -224,7 +228,8 @@ def load_model(path: str) -> TrainedModel:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     row = spark.read.parquet(f"{path}/meta").collect()[0]
-    return TrainedModel(row["name"], row["kind"], PipelineModel.load(f"{path}/pipeline"), json.loads(row["features"]),
+    model = (ForestModel if row["kind"] == "random_forest" else PipelineModel).load(f"{path}/pipeline")
+    return TrainedModel(row["name"], row["kind"], model, json.loads(row["features"]),
                         row["label"], json.loads(row["vector_features"]), json.loads(row["params"]))
 
 
