@@ -17,18 +17,23 @@ when 5 * |x & y| >= 4 * |x | y| (Jaccard 0.8).
    that occurs often enough is probed in the long ones by binary search.  A
    search needs one link into each component, so copies of copies do not cost
    all their pairs.
-4. A group above ``block`` shingles is first split by its sets' min-hashes: sets
-   stay together if one of 40 bands of two values agrees, directly or over
-   others.  A linked pair is parted with a probability below 0.36**40, 2e-18,
-   as rare as equal hashes of different shingles.  What is still above
-   ``block`` is cut into blocks.  Each block is searched alone; then one member of each component is searched in the other blocks,
-   and, if several components are left, every other member outside the largest
-   one.  No link is lost and no group is gathered in one task.
+4. A group above ``block`` shingles is cut into blocks, by the class of its sets'
+   sizes (steps of a quarter, so links stay within a class or join neighbours) and by
+   hash.  Each block is searched alone; then one member of each component is searched
+   in the other blocks whose class its links can reach, and, if several components are
+   left, every other member outside the largest one.  No link is lost and no group is
+   gathered in one task.
+
+A row is known by its doc_id and the 64-bit hash of its text, so rows that share an
+id (or have none) are told apart in every join.
 
 Defined results: NULL or empty texts have size 0, link with nothing and are
 their own component; a NULL doc_id never names a component that has another;
-rows sharing a doc_id but not the text are documents of their own; repeated
+rows sharing a doc_id (or NULL) but not the text are documents of their own; repeated
 rows are copies; other columns are ignored; an empty table gives no rows.
+``keep_one`` leaves exactly one row of each component, that of the smallest doc_id (NULL
+last; then the smallest text hash; any one of rows that repeat), and every row without
+words.
 """
 
 from __future__ import annotations
@@ -80,14 +85,15 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
 
-PROFILE = "doc_id long, n long, sid long, part int, counts binary"
+PROFILE = "doc_id long, hash long, n long, sid long, part int, counts binary"
 
 
 def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """A row per document (doc_id, n, sid) and, per task, its sketch in parts."""
+    """A row per document (doc_id, hash, n, sid) and, per task, its sketch in parts."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -103,11 +109,11 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     held, size = [], 0
             if held:
                 counts += _bucket_counts(held)
-            yield _profile_batch(batch.column(0), n, sid)
+            yield _profile_batch(batch.column(0), batch.column(2), n, sid)
         if counts.any():
-            none = [pa.nulls(SKETCH_PARTS, pa.int64())] * 3
+            none = [pa.nulls(SKETCH_PARTS, pa.int64())] * 4
             sums = vector_parts(counts, SKETCH_PARTS)
-            yield pa.RecordBatch.from_arrays([*none, *sums.columns], names=["doc_id", "n", "sid", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([*none, *sums.columns], names=["doc_id", "hash", "n", "sid", "part", "counts"])
 
     return docs.mapInArrow(run, PROFILE)
 
@@ -117,9 +123,9 @@ def _bucket_counts(sets) -> np.ndarray:
                        minlength=1 << SKETCH_BITS)
 
 
-def _profile_batch(ids, n, sid) -> pa.RecordBatch:
+def _profile_batch(ids, hashes, n, sid) -> pa.RecordBatch:
     m = len(n)
-    return pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(n), "sid": pa.array(sid),
+    return pa.RecordBatch.from_pydict({"doc_id": ids, "hash": hashes, "n": pa.array(n), "sid": pa.array(sid),
                                        "part": pa.nulls(m, pa.int32()), "counts": pa.nulls(m, pa.binary())})
 
 
@@ -353,43 +359,6 @@ def link_group(sets: list[np.ndarray]) -> list[int]:
     return [_find(parent, x) for x in range(len(sets))]
 
 
-BANDS = 40
-_MULTIPLY = splitmix(np.arange(3001, 3001 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
-_ADD = splitmix(np.arange(5001, 5001 + 2 * BANDS, dtype=np.uint64))
-
-
-def band_values(s: np.ndarray) -> np.ndarray:
-    """One value per band of two min-hashes of a set."""
-    least = np.array([(s * a + b).min() for a, b in zip(_MULTIPLY, _ADD, strict=True)], np.uint64)
-    return splitmix(least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]).view(np.int64)
-
-
-def _band_rows(batches):
-    for batch in batches:
-        label, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        rows, values = [], []
-        for row, s in shingle_sets(batch.column(2)):
-            if set_id(s) == sid[row]:
-                rows.append(row)
-                values.append(band_values(s))
-        if rows:
-            yield pa.RecordBatch.from_pydict({
-                "label": np.repeat(label[rows], BANDS), "sid": np.repeat(sid[rows], BANDS),
-                "band": np.tile(np.arange(BANDS, dtype=np.int32), len(rows)), "value": np.concatenate(values)})
-
-
-def split_groups(texts: DataFrame) -> DataFrame:
-    """(sid, part): the members of candidate groups that share min-hash bands, by their smallest set.
-    Members without a partner have no row."""
-    bands = texts.select("label", "sid", "text").mapInArrow(_band_rows, "label long, sid long, band int, value long")
-    bands = cut_lineage(bands)
-    key = ["label", "band", "value"]
-    first = bands.groupBy(*key).agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
-    edges = bands.join(first.drop("last"), key).select("a", F.col("sid").alias("b")).distinct()
-    found = connected_components(edges)
-    return found.select(F.col("node").alias("sid"), F.col("label").alias("part"))
-
-
 MEMBER = "label long, block int, sid long, root long"
 
 
@@ -399,8 +368,6 @@ def _grouped(batches):
     for batch in batches:
         label, block, want = (batch.column(k).to_pylist() for k in range(3))
         for row, s in shingle_sets(batch.column(3)):
-            if set_id(s) != want[row]:
-                continue        # another row with the doc_id of the set's document
             if (label[row], block[row]) != key:
                 if held:
                     yield (*key, held)
@@ -427,8 +394,7 @@ def _search_across(key, queries, index):
         col = pa.array(frame["text"].tolist(), pa.string())
         out = {}
         for row, s in shingle_sets(col):
-            if set_id(s) == frame["sid"].iat[row]:
-                out[int(frame["sid"].iat[row])] = (s, int(frame["root"].iat[row]))
+            out[int(frame["sid"].iat[row])] = (s, int(frame["root"].iat[row]))
         return out
 
     known, asked = sets(index), sets(queries)
@@ -452,10 +418,10 @@ def _merge_roots(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _across(queries: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """Search ``queries`` in every other block of their label."""
+    """Search ``queries`` in every other block of their label that a link can reach."""
     per = queries.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
-    blocks = members.select("label", F.col("block").alias("target")).distinct()
-    dealt = (queries.join(per, "label").join(blocks, "label").where("target <> block")
+    blocks = members.select("label", F.col("block").alias("target"), F.col("class").alias("near")).distinct()
+    dealt = (queries.join(per, "label").join(blocks, "label").where("target <> block AND abs(class - near) <= 1")
              .withColumn("way", F.pmod(F.xxhash64("sid"), F.col("ways")).cast("int"))
              .select("label", "target", "way", "sid", "root", "text"))
     targets = (members.join(per, "label").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
@@ -479,48 +445,84 @@ def join_blocks(members: DataFrame, block: int) -> DataFrame:
 
 # ------------------------------------------------------------ the operator
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_list: int = HOT_LIST,
-                       block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
-    spark = docs.sparkSession
-    ship(spark)
-    narrow = _narrow(docs, id_col, text_col)
+SIZE_CLASS = "cast(floor(ln(n) / ln(1.25) + 1e-9) as int)"     # linked sizes differ by a quarter at most
+
+
+def _linked_sets(narrow: DataFrame, hot_list: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, n, sid) of every row and (sid, n, root) of every set, root one member of its component."""
     profiled = cut_lineage(profile(narrow))
-    rows = profiled.where("part IS NULL").select("doc_id", "n", "sid")
+    rows = profiled.where("part IS NULL").select("doc_id", "hash", "n", "sid")
     sums = sum_parts(profiled.where("part IS NOT NULL"), SKETCH_PARTS, 1 << SKETCH_BITS)
     groups = candidate_groups(narrow, sums, int(sums.sum()) // 5 + 1, hot_list=hot_list)
 
-    reps = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
-    wanted = groups.join(reps, groups["node"] == reps["sid"]).select("label", "sid", "n", "rep")
-    texts = cut_lineage(wanted.join(narrow, wanted["rep"].eqNullSafe(narrow["doc_id"])).select(
-        "label", "sid", "n", "text"))
+    # one row stands for its set, and brings the text
+    sets = rows.where("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc_id", "hash")).alias("rep"))
+    wanted = groups.join(sets, groups["node"] == sets["sid"]).select("label", "sid", "n", "rep")
+    texts = wanted.join(narrow, wanted["rep.doc_id"].eqNullSafe(narrow["doc_id"])
+                        & (wanted["rep.hash"] == narrow["hash"])).select("label", "sid", "n", "text")
+    if rows.where("n > 0").groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["sid", "n"])       # rows repeat whole
+    texts = cut_lineage(texts)
     weight = texts.groupBy("label").agg(F.sum("n").alias("weight"))
     large = cut_lineage(weight.where(F.col("weight") > block).select("label"))
-    placed = texts.join(large, "label", "left_anti").withColumns({"ways": F.lit(1), "block": F.lit(0)})
+    placed = texts.join(large, "label", "left_anti").withColumns({"class": F.lit(0), "ways": F.lit(0), "block": F.lit(0)})
     if large.limit(1).count():
-        many = texts.join(large, "label", "left_semi")
-        parts = cut_lineage(many.drop("label").join(split_groups(many), "sid").withColumnRenamed("part", "label"))
-        size = parts.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
-        placed = placed.unionByName(parts.join(size, "label").withColumn(
-            "block", F.pmod(F.xxhash64("sid"), F.col("ways")).cast("int")))
+        many = cut_lineage(texts.join(large, "label", "left_semi").withColumn("class", F.expr(SIZE_CLASS)))
+        size = many.groupBy("label", "class").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
+        placed = placed.unionByName(many.join(size, ["label", "class"]).withColumn(
+            "block", F.hash("class", F.pmod(F.xxhash64("sid"), F.col("ways")))))
     roots = cut_lineage(placed.select("label", "block", "sid", "text").repartition("label", "block")
                         .sortWithinPartitions("label", "block").mapInArrow(search_blocks, MEMBER))
-    if placed.where("ways > 1").limit(1).count():
-        many = placed.where("ways > 1").join(roots.select("sid", "root"), "sid").select(
-            "label", "block", "sid", "n", "root", "text")
-        joined = join_blocks(many, block).select("sid", "root").distinct()
+    if large.limit(1).count():
+        many = placed.where("ways > 0").join(roots.select("sid", "root"), "sid").select(
+            "label", "class", "block", "sid", "n", "root", "text")
+        joined = cut_lineage(join_blocks(many, block).select("sid", "root").distinct())
         roots = roots.join(joined, "sid", "left_anti").select("sid", "root").union(joined)
-    # components of sets, then of documents
-    linked = reps.join(roots.select(F.col("sid").alias("member"), "root"), reps["sid"] == F.col("member"), "left")
-    linked = cut_lineage(linked.select("sid", "n", "rep", F.coalesce("root", "sid").alias("root")))
-    name = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = sets.join(roots.select(F.col("sid").alias("member"), "root"), sets["sid"] == F.col("member"), "left")
+    return rows, cut_lineage(linked.select("sid", "n", "rep", F.coalesce("root", "sid").alias("root")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_list: int = HOT_LIST,
+                       block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    ship(docs.sparkSession)
+    rows, linked = _linked_sets(_narrow(docs, id_col, text_col), hot_list, block)
+    least = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"))
+    linked = linked.join(least, ["sid", "n"])
+    name = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(name, "root").select("sid", "n", "component_id")
     return rows.join(named, ["sid", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) without the documents that are not their component's smallest doc_id."""
-    found = cut_lineage(jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")).distinct())      # written, so the join's plan knows its size
-    return docs.join(found, docs[id_col] == found["_gone"], "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_list: int = HOT_LIST,
+             block: int = BLOCK) -> DataFrame:
+    """``docs`` (all columns) with one row of each component, and every row without words."""
+    spark = docs.sparkSession
+    ship(spark)
+    narrow = _narrow(docs, id_col, text_col)
+    rows, linked = _linked_sets(narrow, hot_list, block)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    first = rows.where("n > 0").groupBy("sid", "n").agg(F.min(row).alias("first"))
+    linked = linked.select("sid", "n", "root").join(first, ["sid", "n"])
+    stays = cut_lineage(linked.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash"))
+    worded = rows.where("n > 0").select("doc_id", "hash")
+    same = worded["doc_id"].eqNullSafe(stays["doc_id"]) & (worded["hash"] == stays["hash"])
+    gone = cut_lineage(worded.join(stays, same, "left_anti").distinct().select(
+        F.col("doc_id").alias("_gone"), F.col("hash").alias("_gone_hash")))     # written, so the plan knows its size
+    text_hash = F.xxhash64(docs[text_col].cast("string"))
+
+    def known(keys: DataFrame):
+        return docs[id_col].cast("long").eqNullSafe(keys["_gone"]) & (text_hash == keys["_gone_hash"])
+
+    kept = docs.join(gone, known(gone), "left_anti")
+    twice = cut_lineage(worded.join(stays, same, "left_semi").groupBy("doc_id", "hash").count().where("count > 1").select(
+        F.col("doc_id").alias("_gone"), F.col("hash").alias("_gone_hash")))
+    if not twice.limit(1).count():
+        return kept
+    # rows that repeat whole: written with a number each, so that the same one stays in every run
+    copies = cut_lineage(docs.join(twice, known(twice), "left_semi").select(
+        F.struct(*docs.columns).alias("_row"), docs[id_col].cast("long").alias("_id"), text_hash.alias("_hash"),
+        F.monotonically_increasing_id().alias("_number")))
+    number = copies.groupBy("_id", "_hash").agg(F.min("_number").alias("_number")).select("_number")
+    return kept.join(twice, known(twice), "left_anti").union(copies.join(number, "_number", "left_semi").select("_row.*"))

@@ -137,6 +137,55 @@ def test_keep_one(spark):
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "3", "8", "9", "None"]
 
 
+def test_rows_without_ids_or_with_one_id_stay_apart(spark, monkeypatch):
+    r = random.Random(6)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+
+    def near(k):
+        ws = list(base)
+        ws[k % 100] = f"e{k}"
+        return " ".join(ws)
+
+    rows = [(None, near(k)) for k in range(150)] + [(7, near(k)) for k in range(150, 300)]
+    rows += [(7, " ".join(f"z{r.randrange(900)}" for _ in range(50))), (None, "other words"), (None, None), (None, None)]
+    rows += [(None, near(3))] * 20 + [(8, "a b c d e f g")] * 30
+    df = spark.createDataFrame([(d, t, k, "x") for k, (d, t) in enumerate(rows)],
+                               "doc_id long, text string, hash int, _row string").repartition(4)
+    written = {}
+    keep = jaccard.cut_lineage
+
+    def seen(frame):
+        out = keep(frame)
+        if out.columns == ["label", "sid", "n", "text"]:
+            written["texts"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", seen)
+    want = brute_components(rows)
+    for options in ({}, {"block": 2000}):
+        got = jaccard.jaccard_components(df, **options).collect()
+        assert sorted((tuple(x) for x in got), key=str) == want
+        assert written["texts"] == 300
+        kept = jaccard.keep_one(df, **options)
+        assert kept.columns == df.columns
+        kept = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+        assert len(kept) == 6 and [x for x in kept if x[1] is None] == [(None, None)] * 2
+        assert kept.count((8, "a b c d e f g")) == 1 and (None, "other words") in kept
+        assert len([x for x in kept if x[0] == 7]) == 2
+
+
+def test_blocks_of_sets_that_do_not_link(spark):
+    """A group chained by one rare line: no two members link, sizes differ, and every link of the rest is found."""
+    r = random.Random(8)
+    line = "only these few words are shared by all of them here".split()
+    rows = [(k, " ".join(line + [f"w{r.randrange(10**6)}" for _ in range(r.randint(5, 25))])) for k in range(120)]
+    rows += [(500 + k, rows[k][1] + " end") for k in range(0, 120, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (200, 600):
+        got = jaccard.jaccard_components(df, block=block).collect()
+        assert sorted((tuple(x) for x in got), key=str) == brute_components(rows)
+
+
 def test_search_paths_agree(monkeypatch):
     rows = [t for _, t in near_copies()]
     import pyarrow as pa
