@@ -17,9 +17,14 @@ when 5 * |x & y| >= 4 * |x | y| (Jaccard 0.8).
    that occurs often enough is probed in the long ones by binary search.  A
    search needs one link into each component, so copies of copies do not cost
    all their pairs.
-4. A group above ``block`` shingles is cut into blocks, by the class of its sets'
-   sizes (steps of a quarter, so links stay within a class or join neighbours) and by
-   hash.  Each block is searched alone; then one member of each component is searched
+4. A group above ``block`` shingles, mostly documents that share passages and do not
+   link, is first split by its sets' min-hashes: sets stay together if one of 40 bands
+   of two values agrees, directly or over others.  A linked pair is parted with a
+   probability below 0.36**40, 2e-18, as rare as equal hashes of different shingles.
+   ``exact=True`` leaves this step out, at several times the disk.
+5. A group still above ``block`` is cut into blocks, by the class of its sets' sizes
+   (steps of a quarter, so links stay within a class or join neighbours) and by hash.
+   Each block is searched alone; then one member of each component is searched
    in the other blocks whose class its links can reach, and, if several components are
    left, every other member outside the largest one.  No link is lost and no group is
    gathered in one task.
@@ -359,6 +364,42 @@ def link_group(sets: list[np.ndarray]) -> list[int]:
     return [_find(parent, x) for x in range(len(sets))]
 
 
+BANDS = 40
+_MULTIPLY = splitmix(np.arange(3001, 3001 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
+_ADD = splitmix(np.arange(5001, 5001 + 2 * BANDS, dtype=np.uint64))
+
+
+def band_values(s: np.ndarray) -> np.ndarray:
+    """One value per band of two min-hashes of a set."""
+    least = np.array([(s * a + b).min() for a, b in zip(_MULTIPLY, _ADD, strict=True)], np.uint64)
+    return splitmix(least[0::2] * np.uint64(0x9E3779B97F4A7C15) ^ least[1::2]).view(np.int64)
+
+
+def _band_rows(batches):
+    for batch in batches:
+        label, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rows, values = [], []
+        for row, s in shingle_sets(batch.column(2)):
+            rows.append(row)
+            values.append(band_values(s))
+        if rows:
+            yield pa.RecordBatch.from_pydict({
+                "label": np.repeat(label[rows], BANDS), "sid": np.repeat(sid[rows], BANDS),
+                "band": np.tile(np.arange(BANDS, dtype=np.int32), len(rows)), "value": np.concatenate(values)})
+
+
+def split_groups(texts: DataFrame) -> DataFrame:
+    """(sid, part): the members of candidate groups that share min-hash bands, by their smallest set.
+    Members without a partner have no row."""
+    bands = texts.select("label", "sid", "text").mapInArrow(_band_rows, "label long, sid long, band int, value long")
+    bands = cut_lineage(bands)
+    key = ["label", "band", "value"]
+    first = bands.groupBy(*key).agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a < last")
+    edges = bands.join(first.drop("last"), key).select("a", F.col("sid").alias("b")).distinct()
+    found = connected_components(edges)
+    return found.select(F.col("node").alias("sid"), F.col("label").alias("part"))
+
+
 MEMBER = "label long, block int, sid long, root long"
 
 
@@ -419,12 +460,14 @@ def _merge_roots(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _across(queries: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """Search ``queries`` in every other block of their label that a link can reach."""
-    per = queries.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
     blocks = members.select("label", F.col("block").alias("target"), F.col("class").alias("near")).distinct()
-    dealt = (queries.join(per, "label").join(blocks, "label").where("target <> block AND abs(class - near) <= 1")
+    reach = queries.join(blocks, "label").where("target <> block AND abs(class - near) <= 1")
+    per = cut_lineage(reach.groupBy("label", "target").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways")))
+    dealt = (reach.join(per, ["label", "target"])
              .withColumn("way", F.pmod(F.xxhash64("sid"), F.col("ways")).cast("int"))
              .select("label", "target", "way", "sid", "root", "text"))
-    targets = (members.join(per, "label").withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    targets = (members.join(per.withColumnRenamed("target", "block"), ["label", "block"])
+               .withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
                .select(*(F.col(c).alias(n) for c, n in (("label", "label"), ("block", "target"), ("way", "way"),
                                                         ("sid", "sid"), ("root", "root"), ("text", "text")))))
     keys = ["label", "target", "way"]
@@ -448,7 +491,7 @@ def join_blocks(members: DataFrame, block: int) -> DataFrame:
 SIZE_CLASS = "cast(floor(ln(n) / ln(1.25) + 1e-9) as int)"     # linked sizes differ by a quarter at most
 
 
-def _linked_sets(narrow: DataFrame, hot_list: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _linked_sets(narrow: DataFrame, hot_list: int, block: int, exact: bool) -> tuple[DataFrame, DataFrame]:
     """(doc_id, hash, n, sid) of every row and (sid, n, root) of every set, root one member of its component."""
     profiled = cut_lineage(profile(narrow))
     rows = profiled.where("part IS NULL").select("doc_id", "hash", "n", "sid")
@@ -467,13 +510,20 @@ def _linked_sets(narrow: DataFrame, hot_list: int, block: int) -> tuple[DataFram
     large = cut_lineage(weight.where(F.col("weight") > block).select("label"))
     placed = texts.join(large, "label", "left_anti").withColumns({"class": F.lit(0), "ways": F.lit(0), "block": F.lit(0)})
     if large.limit(1).count():
-        many = cut_lineage(texts.join(large, "label", "left_semi").withColumn("class", F.expr(SIZE_CLASS)))
-        size = many.groupBy("label", "class").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("ways"))
-        placed = placed.unionByName(many.join(size, ["label", "class"]).withColumn(
-            "block", F.hash("class", F.pmod(F.xxhash64("sid"), F.col("ways")))))
+        many = texts.join(large, "label", "left_semi")
+        if not exact:
+            many = many.drop("label").join(split_groups(many), "sid").withColumnRenamed("part", "label")
+        many = cut_lineage(many.select("label", "sid", "n", "text"))
+        total = many.groupBy("label").agg((F.sum("n") > block).alias("_cut"))
+        many = many.join(total, "label").withColumn("class", F.when(F.col("_cut"), F.expr(SIZE_CLASS)).otherwise(0))
+        size = many.groupBy("label", "class").agg(
+            F.max(F.when(F.col("_cut"), 1).otherwise(0)).alias("_cut"), F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("_ways"))
+        size = size.select("label", "class", (F.col("_cut") * F.col("_ways")).alias("ways"))
+        placed = placed.unionByName(many.drop("_cut").join(size, ["label", "class"]).withColumn("block", F.when(
+            F.col("ways") == 0, 0).otherwise(F.hash("class", F.pmod(F.xxhash64("sid"), F.greatest("ways", F.lit(1)))))))
     roots = cut_lineage(placed.select("label", "block", "sid", "text").repartition("label", "block")
                         .sortWithinPartitions("label", "block").mapInArrow(search_blocks, MEMBER))
-    if large.limit(1).count():
+    if placed.where("ways > 0").limit(1).count():
         many = placed.where("ways > 0").join(roots.select("sid", "root"), "sid").select(
             "label", "class", "block", "sid", "n", "root", "text")
         joined = cut_lineage(join_blocks(many, block).select("sid", "root").distinct())
@@ -483,10 +533,10 @@ def _linked_sets(narrow: DataFrame, hot_list: int, block: int) -> tuple[DataFram
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_list: int = HOT_LIST,
-                       block: int = BLOCK) -> DataFrame:
+                       block: int = BLOCK, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     ship(docs.sparkSession)
-    rows, linked = _linked_sets(_narrow(docs, id_col, text_col), hot_list, block)
+    rows, linked = _linked_sets(_narrow(docs, id_col, text_col), hot_list, block, exact)
     least = rows.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("least"))
     linked = linked.join(least, ["sid", "n"])
     name = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -496,12 +546,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_list: int = HOT_LIST,
-             block: int = BLOCK) -> DataFrame:
+             block: int = BLOCK, exact: bool = False) -> DataFrame:
     """``docs`` (all columns) with one row of each component, and every row without words."""
     spark = docs.sparkSession
     ship(spark)
     narrow = _narrow(docs, id_col, text_col)
-    rows, linked = _linked_sets(narrow, hot_list, block)
+    rows, linked = _linked_sets(narrow, hot_list, block, exact)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     first = rows.where("n > 0").groupBy("sid", "n").agg(F.min(row).alias("first"))
     linked = linked.select("sid", "n", "root").join(first, ["sid", "n"])

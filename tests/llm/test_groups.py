@@ -123,7 +123,7 @@ def test_jaccard_components(spark):
     df = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows],
                                "doc_id long, text string, sid int, label int, n int").repartition(3)
     want = brute_components(rows)
-    for options in ({}, {"block": 1500, "hot_list": 3}):     # the second cuts groups and deals hot lists
+    for options in ({}, {"block": 1500, "hot_list": 3}, {"block": 1500, "exact": True}):    # cut groups, hot lists dealt
         got = jaccard.jaccard_components(df, **options).collect()
         assert sorted((tuple(x) for x in got), key=str) == want
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
@@ -162,7 +162,7 @@ def test_rows_without_ids_or_with_one_id_stay_apart(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard, "cut_lineage", seen)
     want = brute_components(rows)
-    for options in ({}, {"block": 2000}):
+    for options in ({}, {"block": 2000}, {"block": 2000, "exact": True}):
         got = jaccard.jaccard_components(df, **options).collect()
         assert sorted((tuple(x) for x in got), key=str) == want
         assert written["texts"] == 300
@@ -181,8 +181,8 @@ def test_blocks_of_sets_that_do_not_link(spark):
     rows = [(k, " ".join(line + [f"w{r.randrange(10**6)}" for _ in range(r.randint(5, 25))])) for k in range(120)]
     rows += [(500 + k, rows[k][1] + " end") for k in range(0, 120, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (200, 600):
-        got = jaccard.jaccard_components(df, block=block).collect()
+    for block, exact in ((200, True), (600, True), (200, False)):
+        got = jaccard.jaccard_components(df, block=block, exact=exact).collect()
         assert sorted((tuple(x) for x in got), key=str) == brute_components(rows)
 
 
