@@ -109,11 +109,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_repeated_units")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated sentence in all documents, but its earliest occurrence; those under six words and
-    30 characters where their line or their neighbour is repeated too."""
+    """Every repeated passage of whole sentences (15 words at least) in all documents, but its earliest occurrence."""
     from limnos.llm.substring_dedup import repeated_units
 
-    return repeated_units(table(spark, sf_dir, "documents"), "sentence", 6, min_chars=30)
+    return repeated_units(table(spark, sf_dir, "documents"), "sentence", 15)
 
 
 @register("op4_ngram_jaccard")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from limnos.llm import decontaminate as D
 from limnos.llm import pii
-from limnos.llm import substring_dedup as S
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -136,97 +135,3 @@ def test_clean_text(spark):
     text = "é start, One two three four five six seven eight nine TEN eleven! end"
     row = D.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench, with_text=True).first()
     assert row["clean_text"] == "é start, ! end" and text[row["spans"][0]["start"]:row["spans"][0]["end"]].startswith("One")
-
-
-def units(text):
-    for line in re.finditer(r"[^\n]+", text or ""):
-        cur = []
-        for m in re.finditer(r"[^\x20\x09-\x0d]+", line.group()):
-            cur.append((m.start() + line.start(), m.end() + line.start()))
-            if m.group()[-1] in ".!?":
-                yield cur
-                cur = []
-        if cur:
-            yield cur
-
-
-def test_repeated_units(spark):
-    r = random.Random(8)
-    sentences = [" ".join(r.choice("ab cé Da fe gi".split()) for _ in range(r.randint(3, 10))) + r.choice([".", "!", "\n"])
-                 for _ in range(40)]
-    docs = [(i, "".join(r.choice(sentences) + r.choice([" ", "\n", "  "]) for _ in range(r.randint(0, 8)))) for i in range(80)]
-    docs += [(500, None), (501, ""), (502, "a b c d e f.\nA B  c d e f."), (503, "same " * 20000), (504, "same " * 20000)]
-    first, want = {}, set()
-    for d, t in docs:
-        for u in units(t):
-            if len(u) >= 6:
-                k = " ".join(t[a:b] for a, b in u).translate(LOWER)
-                if k in first:
-                    want.add((d, u[0][0], u[-1][1], len(u), *first[k]))
-                else:
-                    first[k] = (d, u[0][0])
-    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, start int").repartition(3)
-    found = S.repeated_units(df)
-    assert {tuple(x) for x in found.collect()} == want
-    clean = S.remove_spans(df, found)
-    assert clean.columns == df.columns
-    texts = {x["doc_id"]: x["text"] for x in clean.collect()}
-    assert len(texts) == len(docs) and texts[502] == "a b c d e f.\n" and texts[500] is None and texts[501] == ""
-    assert S.repeated_units(df.limit(0)).count() == 0
-    twice = spark.createDataFrame([(1, docs[0][1] + "a b c d e f g")] * 2 + [(None, "q w e r t y")] * 2,
-                                  "doc_id long, text string")
-    assert S.repeated_units(twice.where("doc_id IS NULL")).count() == 0
-
-
-def test_lines_and_paragraphs(spark):
-    df = spark.createDataFrame([(1, "a b c d e f. g h\nx\n\na b c d e f"), (2, "a b c d e f. g h\n\na b c d e f")],
-                               "doc_id long, text string")
-    lines = {(r["doc_id"], r["start"]) for r in S.repeated_units(df, "line").collect()}
-    assert lines == {(2, 0), (2, 18)}
-    paragraphs = {(r["doc_id"], r["start"]) for r in S.repeated_units(df, "paragraph").collect()}
-    assert paragraphs == {(2, 18)}
-
-
-def brute_short(docs, min_words=6, min_chars=30):
-    """Marked places by the rule of short units, with the earliest place of the same unit."""
-    keys, first, want = {}, {}, set()
-    for d, t in docs:
-        us = list(units(t))
-        norm = [" ".join(t[a:b] for a, b in u).translate(LOWER) for u in us]
-        for i, (u, k) in enumerate(zip(us, norm, strict=True)):
-            place, mine = (d, u[0][0]), []
-            if len(u) >= min_words or len(k) >= min_chars:
-                mine.append((0, k))
-            else:
-                line = t[t.rfind("\n", 0, u[0][0]) + 1:(t + "\n").find("\n", u[-1][1])]
-                if line.split() == [t[a:b] for a, b in u]:
-                    mine.append((1, k))
-                mine += [(2, k, norm[i + 1])] if i + 1 < len(us) else []
-                mine += [(3, k, norm[i - 1])] if i else []
-            first.setdefault(k, place)
-            if [x for x in mine if keys.setdefault(x, place) != place]:
-                want.add((d, u[0][0], u[-1][1], len(u), *first[k]))
-    return want
-
-
-def test_short_units_in_repeated_surroundings(spark):
-    passage = "One two three four five six. Short one. Yes! Seven eight nine ten eleven twelve."
-    docs = [(1, f"Intro here. {passage} tail"), (2, f"Other words. {passage}"),
-            (3, "so the. rest"), (4, "and the. end"), (5, "Read more\nbody a"), (6, "body b\n read  MORE \nx"),
-            (7, "中文句子很短\n甲"), (8, "乙\n中文句子很短"), (9, "長" * 40 + " a."), (10, "b. " + "長" * 40 + " a."),
-            (11, "ha. ha. ha. ha."), (12, "read more of it"), (13, "")]
-    r = random.Random(11)
-    small = [" ".join(r.choice("ab cé Da".split()) for _ in range(r.randint(1, 7))) + r.choice([".", "!", ""]) for _ in range(25)]
-    docs += [(20 + i, "".join(r.choice(small) + r.choice([" ", "\n", " \n "]) for _ in range(r.randint(0, 9))))
-             for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    found = S.repeated_units(df, "sentence", 6, min_chars=30)
-    got = [tuple(x) for x in found.collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_short(docs)
-    assert not {x[4:] for x in got} & {x[:2] for x in got}
-    clean = {x["doc_id"]: x["text"].split() for x in S.remove_spans(df, found).where("doc_id < 20").collect()}
-    assert clean[2] == ["Other", "words."] and clean[4] == ["and", "the.", "end"]
-    assert clean[6] == ["body", "b", "x"] and clean[8] == ["乙"] and clean[10] == ["b."]
-    assert clean[11] == ["ha."] and clean[12] == "read more of it".split()
-    nulls = spark.createDataFrame([(None, "go. on\nstop")] * 2 + [(None, None)], "doc_id long, text string")
-    assert S.repeated_units(nulls, min_chars=30).count() == 0
