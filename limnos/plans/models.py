@@ -309,39 +309,48 @@ def hinge_basis(df: DataFrame, cols: Sequence[str], knots: int = 5, exact: bool
     return df.withColumns(new), names
 
 
-def permute_column(df: DataFrame, col: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:
-    """Replace ``col`` by a permutation of itself across rows.
+def with_donor(df: DataFrame, key: Sequence[str] | str, cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """``df`` with ``_donor``: the values of ``cols`` of another row.
 
-    Rows are numbered twice in two salted hash orders by the range-partitioned
-    global rank (its checkpoint fixes the numbers, so a repeated task cannot
-    change them); row i takes ``col`` from the row whose second number equals
-    i's first.  ``key`` must be unique.
-    """
+    Rows are ranked once by a salted md5 of their key (range-partitioned, checkpointed, so a repeated
+    task cannot change it), and each takes the values of the next one, the last those of the first: one random
+    cycle through all rows.  ``key`` must be unique."""
     from limnos.functions.scalar import key_string
     from limnos.operators.ranking import rank_by_value
     keys = [key] if isinstance(key, str) else list(key)
     text = key_string(*keys)
-    base = df.withColumns({"_h1": F.xxhash64(text, F.lit(f"a{seed}")), "_h2": F.xxhash64(text, F.lit(f"b{seed}")),
-                           "_k": text})
-    r1 = rank_by_value(base.drop(col, "_h2"), ["_h1", "_k"], out="_r")
-    r2 = rank_by_value(base.select("_h2", "_k", F.col(q(col))), ["_h2", "_k"], out="_r")
-    return r1.join(r2.select("_r", F.col(q(col))), on="_r").drop("_r", "_h1", "_k")
+    base = df.withColumns({"_hash": F.md5(F.concat(text, F.lit(f":{seed}"))), "_text": text})
+    ranked = rank_by_value(base, ["_hash", "_text"], out="_rank")
+    n = ranked.count()
+    donors = ranked.select(((F.col("_rank") + n - 2) % n + 1).alias("_rank"), F.struct(*[F.col(q(c)) for c in cols]).alias("_donor"))
+    return ranked.join(donors, "_rank").drop("_rank", "_hash", "_text")
+
+
+def permute_column(df: DataFrame, col: str, key: Sequence[str] | str, seed: int = 42) -> DataFrame:
+    """Replace ``col`` by a permutation of itself across rows (each row takes its donor's value)."""
+    joined = with_donor(df, key, [col], seed)
+    return joined.withColumn(col, F.col("_donor")[col]).select(*df.columns)
 
 
 def permutation_importance(tm: TrainedModel, df: DataFrame, key: Sequence[str] | str, seed: int = 42) -> DataFrame:
     """M12 (R ``importance=TRUE``): increase in MSE when one feature is permuted.
 
-    -> (feature, mse_increase, pct_increase) largest first; one permutation
-    (seeded) per feature, each a distributed join.
+    -> (feature, mse_increase, pct_increase) largest first.  One donor per row carries all features; each row is
+    scored as it is and once per feature with the donor's value, and one aggregate gives every error.
     """
     from pyspark.sql import SparkSession
     keys = [key] if isinstance(key, str) else list(key)
     data = df.select(*keys, *tm.features, tm.label).na.drop()
-    base = regression_metrics(tm.transform(data), tm.label, "prediction", digits=None).collect()[0]["mse"]
-    rows = []
-    for f in tm.features:
-        perm = permute_column(data, f, keys, seed)
-        mse = regression_metrics(tm.transform(perm), tm.label, "prediction", digits=None).collect()[0]["mse"]
-        rows.append((f, float(mse - base), float((mse - base) / base * 100.0) if base else None))
+    joined = with_donor(data, keys, tm.features, seed)
+
+    def variant(f: str | None):
+        cols = [F.col("_donor")[c].alias(c) if c == f else F.col(q(c)) for c in tm.features]
+        return F.struct(F.lit(f or "").alias("_permuted"), *cols, F.col(q(tm.label)))
+
+    stacked = joined.select(F.explode(F.array(variant(None), *map(variant, tm.features))).alias("_v")).select("_v.*")
+    scores = regression_metrics(tm.transform(stacked), tm.label, "prediction", by="_permuted", digits=None)
+    mse = {r["_permuted"]: r["mse"] for r in scores.collect()}
+    base = mse[""]
+    rows = [(f, float(mse[f] - base), float((mse[f] - base) / base * 100.0) if base else None) for f in tm.features]
     rows.sort(key=lambda r: -r[1])
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, mse_increase double, pct_increase double")

@@ -209,11 +209,78 @@ def _engineered(spark, sf):
     return ratio_features(_li(spark, sf), temp="l_quantity", do="l_extendedprice", chl="l_tax")
 
 
-@register("tune_ridge")
+ENGINEERED_SQL = f"""(select *, l_quantity / nullif(l_extendedprice, 0) as temp_doxy_ratio,
+  l_tax / nullif(l_extendedprice, 0) as chl_a_doxy_ratio, l_tax / nullif(l_quantity, 0) as chl_a_temp_ratio,
+  ln(1 + l_tax) as log_chl_a, l_quantity * l_quantity as temp_squared, l_extendedprice * l_extendedprice as doxy_squared,
+  {REV} / 10000 as revenue, cast({B.sql_bucket(B.LI_KEY_SQL, 5)} as integer) as fold,
+  case when {B.sql_bucket(B.LI_KEY_SQL, 100)} < 80 then cast({B.sql_bucket(B.LI_KEY_SQL, 5, 'fold')} as integer) else 5 end as part
+  from lineitem)"""
+
+
+def _grid_points(f_from: int, f_to: int) -> str:
+    """The 48 points with their numbers, as SQL."""
+    import itertools
+    rows = [f"({i}, {d}, {k or 99}, {a!r}, {f_from}, {f_to})" for i, (d, k, a) in enumerate(itertools.product(
+        *PIPELINE_GRID.values()))]
+    return f"select * from (values {', '.join(rows)}) v(point, degree, k, alpha, f_from, f_to)"
+
+
+def _sql_tune_ridge() -> str:
+    import itertools
+
+    from limnos.plans.sql_ridge import grid_ctes
+    names = ", ".join(f"({i}, '{json.dumps(dict(zip(PIPELINE_GRID, c)), sort_keys=True)}')"
+                      for i, c in enumerate(itertools.product(*PIPELINE_GRID.values())))
+    return "with recursive " + grid_ctes("r", ENGINEERED_SQL, ENGINEERED, "revenue", "fold", 5, _grid_points(0, 4)) + f"""
+select params, round(avg(round(mse, 6)), 6) as mean_mse, round(avg(round(r2, 6)), 6) as mean_r2
+from r_score join (values {names}) v(id, params) on point = id group by params"""
+
+
+def _engineered_10k(spark, sf):
+    return _engineered(spark, sf).withColumn("revenue", F.col("revenue") / 10000)
+
+
+@register("tune_ridge", _sql_tune_ridge())
 def q_tune_ridge(spark, sf):
-    """L4 + L3: degree x k-best x alpha, 48 points on nine features, 5 hash folds, mean CV MSE (best first)."""
+    """L4 + L3: degree x k-best x alpha, 48 points on nine features, 5 hash folds, mean CV MSE (best first);
+    revenue in 10k units.  One aggregate of products per fold, no refits."""
     from limnos.plans.tuning import grid_search
-    return grid_search(_engineered(spark, sf), ENGINEERED, "revenue", B.LINEITEM_KEY, "ridge", PIPELINE_GRID, k=5)
+    return grid_search(_engineered_10k(spark, sf), ENGINEERED, "revenue", B.LINEITEM_KEY, "ridge", PIPELINE_GRID, k=5)
+
+
+PATH_ALPHAS = [1.0, 0.3, 0.1, 0.03, 0.01, 0.001]
+PATH_RATIOS = [0.1, 0.5, 0.9]
+
+
+def _sql_path(ratios) -> str:
+    grid = ", ".join(f"({r!r}, {a!r})" for r in ratios for a in PATH_ALPHAS)
+    return f"""
+with d as (select cast(l_extendedprice as double) as x, {REV} / 10000 as y from lineitem),
+s as (select avg(y) as my, covar_pop(x, y) / stddev_pop(x) as c from d),
+g as (select * from (values {grid}) v(l1_ratio, alpha))
+select cast(l1_ratio as double) as l1_ratio, cast(alpha as double) as alpha, 'l_extendedprice' as term,
+       round(sign(c) * greatest(abs(c) - alpha * l1_ratio, 0) / (1 + alpha * (1 - l1_ratio)), 6) as coefficient,
+       round(my, 6) as intercept from s, g"""
+
+
+def _path(spark, sf, kind):
+    from limnos.plans.moments import penalised_path
+    li = _li(spark, sf).withColumn("revenue", F.col("revenue") / 10000)
+    out = penalised_path(li, ["l_extendedprice"], "revenue", kind, PATH_ALPHAS, PATH_RATIOS)
+    return out.withColumns({c: F.round(c, 6) for c in ("coefficient", "intercept")})
+
+
+@register("lasso_path", _sql_path([1.0]))
+def q_lasso_path(spark, sf):
+    """M4: lasso coefficient of the standardised price along a path of alphas (revenue in 10k units), by
+    coordinate descent on the products of one aggregate; SQL is the soft threshold."""
+    return _path(spark, sf, "lasso")
+
+
+@register("elastic_net_path", _sql_path(PATH_RATIOS))
+def q_elastic_net_path(spark, sf):
+    """M5: the same for the elastic net, three mixing ratios."""
+    return _path(spark, sf, "elastic_net")
 
 
 @register("cv_scores")
@@ -257,11 +324,29 @@ def q_additive_fit(spark, sf):
                                  "n bigint, n_terms int, r2 double, adj_r2 double")
 
 
-@register("basic_vs_enhanced")
+def _sql_basic_vs_enhanced() -> str:
+    from limnos.plans.sql_ridge import grid_ctes
+    grid = grid_ctes("r", ENGINEERED_SQL, ENGINEERED, "revenue", "part", 5, _grid_points(0, 4) + " union all " + _grid_points(5, 5))
+    basic = grid_ctes("q", ENGINEERED_SQL, MEASURES, "revenue", "part", 5,
+                      "select point, 1 as degree, 99 as k, alpha, 5 as f_from, 5 as f_to from (" + _grid_points(5, 5)
+                      + ") join best using (point)")
+    return f"""
+with recursive {grid},
+best as (select point from r_score where f < 5 group by point
+         order by round(avg(round(mse, 6)), 6), point limit 1),
+{basic},
+v as (select round(q.r2, 6) as basic_r2, round(sqrt(q.mse), 6) as basic_rmse, round(r.r2, 6) as enhanced_r2,
+             round(sqrt(r.mse), 6) as enhanced_rmse
+      from q_score q, r_score r join best using (point) where r.f = 5)
+select *, enhanced_r2 - basic_r2 as r2_gain, enhanced_rmse - basic_rmse as rmse_change from v"""
+
+
+@register("basic_vs_enhanced", _sql_basic_vs_enhanced())
 def q_basic_vs_enhanced(spark, sf):
-    """Ridge on the three measures vs the tuned pipeline (L4's grid) on them and the six ratio features."""
+    """Ridge on the three measures vs the tuned pipeline (L4's grid) on them and the six ratio features;
+    revenue in 10k units, grid and both fits from one aggregate of products."""
     from limnos.plans.tuning import basic_vs_enhanced
-    return basic_vs_enhanced(_engineered(spark, sf), MEASURES, ENGINEERED, "revenue", B.LINEITEM_KEY,
+    return basic_vs_enhanced(_engineered_10k(spark, sf), MEASURES, ENGINEERED, "revenue", B.LINEITEM_KEY,
                              enhanced_kind="ridge", grid=PIPELINE_GRID)
 
 
@@ -332,6 +417,32 @@ def q_permutation_importance(spark, sf):
     return permutation_importance(tm, o, "o_orderkey")
 
 
+SQL_PERMUTED = """
+with d as (select o_orderkey, o_totalprice / 10000 as y, cast(o_custkey as double) as customer,
+                  cast(extract(doy from o_orderdate) as double) as day from orders),
+m as (select var_pop(customer) as s11, var_pop(day) as s22, covar_pop(customer, day) as s12, covar_pop(customer, y) as c1,
+             covar_pop(day, y) as c2, avg(y) as my, avg(customer) as m1, avg(day) as m2 from d),
+b as (select (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) as b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) as b2, * from m),
+r as (select *, row_number() over (order by md5(cast(o_orderkey as varchar) || ':42')) as rn, count(*) over () as n from d),
+p as (select r.y, r.customer, r.day, o.customer as customer2, o.day as day2 from r join r o on o.rn = r.rn % r.n + 1),
+e as (select avg(pow(y - my - b1 * (customer - m1) - b2 * (day - m2), 2)) as base,
+             avg(pow(y - my - b1 * (customer2 - m1) - b2 * (day - m2), 2)) as e1,
+             avg(pow(y - my - b1 * (customer - m1) - b2 * (day2 - m2), 2)) as e2 from p, b)
+select 'customer' as feature, round(e1 - base, 6) as mse_increase, round((e1 - base) / base * 100, 6) as pct_increase from e
+union all select 'day', round(e2 - base, 6), round((e2 - base) / base * 100, 6) from e"""
+
+
+@register("permutation_importance_ols", SQL_PERMUTED)
+def q_permutation_importance_ols(spark, sf):
+    """MSE increase per permuted feature of a least-squares fit on orders (price in 10k units by customer and day)."""
+    from limnos.plans.models import permutation_importance, train
+    o = B.table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 10000).cast("double").alias("y"),
+        F.col("o_custkey").cast("double").alias("customer"), F.dayofyear("o_orderdate").cast("double").alias("day"))
+    out = permutation_importance(train(o, ["customer", "day"], "y", "linear"), o, "o_orderkey")
+    return out.withColumns({c: F.round(c, 6) for c in ("mse_increase", "pct_increase")})
+
+
 def _sql_cv_ols() -> str:
     fold = B.sql_bucket(B.LI_KEY_SQL, 5)
     e = "(y - pred)"

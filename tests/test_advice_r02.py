@@ -42,7 +42,8 @@ def test_tuned_comparison_takes_the_best_point(spark):
 
 def test_queries_pass_the_whole_lists(monkeypatch):
     calls = []
-    monkeypatch.setattr(R, "_engineered", lambda spark, sf: None)
+    for name in ("_engineered", "_engineered_10k"):
+        monkeypatch.setattr(R, name, lambda spark, sf: None)
     for name in ("grid_search", "basic_vs_enhanced"):
         monkeypatch.setattr(tuning, name, lambda *a, **k: calls.append((a, k)))
     monkeypatch.setattr(tuning, "train_and_compare", lambda *a, **k: (calls.append((a, k)), None, None))
