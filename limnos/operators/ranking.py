@@ -3,9 +3,8 @@
 Skew safety: a group may hold a third of all rows, so no operator here
 puts a whole group into one window partition.
 
-* ``rank_within_groups`` subtracts a group's first number from the global
-  number of ``rank_by_value``, a range-partitioned two-pass index over
-  (group, key).  Equal to ``row_number() over (partition by g order by k)``.
+* ``rank_within_groups`` numbers the rows of each (group, slice of keys) and adds the
+  counts of the slices before.  Equal to ``row_number() over (partition by g order by k)``.
 * ``topk_per_group`` is a two-level reduction: top-k inside
   ``(group, salt)`` partitions, then top-k over the ``salts * k`` survivors
   of each group.
@@ -15,8 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnos.operators.profile import q
 
@@ -25,20 +25,64 @@ def _list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def _slice_of(order_col: str, bounds: list) -> Column:
+    """Number of ``bounds`` (sorted) below the value, found in two steps; 0 for NULL."""
+    width = max(1, int(len(bounds) ** 0.5))
+    rows = [bounds[k:k + width] for k in range(0, len(bounds), width)]
+    x = F.col(q(order_col))
+
+    def below(values):
+        return F.size(F.filter(values, lambda b: b < x))
+
+    if not rows:
+        return F.lit(0)
+    coarse = below(F.array(*[F.lit(r[0]) for r in rows]))
+    fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
+    return F.when(x.isNull() | (coarse == 0), 0).otherwise(
+        (coarse - 1) * width + below(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
+
+
 def rank_within_groups(df: DataFrame, groups: Sequence[str] | str, order_col: str, out: str = "rn",
                        partitions: int | None = None) -> DataFrame:
     """1-based row number within each group, ordered by a key.
 
     ``order_col`` must be unique within a group (a row id); ties would be
-    numbered arbitrarily, exactly as ``row_number`` does.  Rows are numbered
-    globally by (groups, key) with the range-partitioned index of
-    ``rank_by_value``; a group's first number, one row per group from an
-    aggregate, is then subtracted.  No window, so no group is sorted in one
-    task.  A NULL group is a group of its own.
+    numbered arbitrarily, exactly as ``row_number`` does.  Quantiles of the key
+    (one sketch of fixed size) cut every group into slices of consecutive keys; a window numbers
+    the rows of each (group, slice), so a hot group is many windows, and the
+    counts of the slices before it are added, one row per (group, slice) from an aggregate
+    with partial sums.  Rows are shuffled once, by (group, slice).  A NULL group is a group of its
+    own.  Keys that are not numbers or times go through the global index of ``rank_by_value``.
     """
     g = _list(groups)
+    kind = df.schema[order_col].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _rank_by_index(df, g, order_col, out, partitions)
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [k / n for k in range(1, n)]
+    found = df.agg(F.percentile_approx(F.col(q(order_col)), probs, 20 * n)).first()[0] if probs else None
+    sliced = df.withColumn("_slice", _slice_of(order_col, sorted(set(found or []))))
+    keys = [F.col(q(c)) for c in g]
+    sizes = sliced.groupBy(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s")).count()
+    ahead = Window.partitionBy(*[f"_g{i}" for i in range(len(g))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(F.col(q(order_col)).asc()))
+    placed = sliced.withColumn("_inside", inside)
+    same = placed["_slice"] == sizes["_s"]
+    for i, c in enumerate(g):
+        same = same & placed[c].eqNullSafe(sizes[f"_g{i}"])
+    return placed.join(sizes, same).withColumn(out, (F.col("_inside") + F.col("_ahead")).cast("bigint")).drop(
+        "_slice", "_inside", "_ahead", "_s", *[f"_g{i}" for i in range(len(g))])
+
+
+def _rank_by_index(df: DataFrame, g: list[str], order_col: str, out: str, partitions: int | None) -> DataFrame:
+    """Rows are numbered globally by (groups, key); a group's first number, one row per group from an
+    aggregate that is written before the join, is subtracted."""
+    from limnos.session import cut_lineage
+
     placed = rank_by_value(df, [*g, order_col], out="_pos", partitions=partitions)
-    first = placed.groupBy(*[F.col(q(c)).alias(f"_g{i}") for i, c in enumerate(g)]).agg(F.min("_pos").alias("_first"))
+    first = cut_lineage(placed.groupBy(*[F.col(q(c)).alias(f"_g{i}") for i, c in enumerate(g)]).agg(
+        F.min("_pos").alias("_first")))
     cond = F.lit(True)
     for i, c in enumerate(g):
         cond = cond & F.col(q(c)).eqNullSafe(F.col(f"_g{i}"))
