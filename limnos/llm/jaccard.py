@@ -60,6 +60,7 @@ SKETCH_BITS, SKETCH_PARTS = 18, 16
 HOT_LIST = 50_000        # postings of one shingle handled by one task
 TASK_POSTINGS = 1_000_000
 BLOCK = 1_500_000        # shingles of a group searched by one task
+BROADCAST_ROWS = 1_000_000      # (id, hash) rows of dropped documents sent to every executor at most
 HEAP_ENTRIES = 512       # longer merges count by numpy, in one pass over the same lists
 
 
@@ -562,6 +563,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         F.col("doc_id").alias("_gone"), F.col("hash").alias("_gone_hash")))     # written, so the plan knows its size
     text_hash = F.xxhash64(docs[text_col].cast("string"))
 
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)        # else the texts are shuffled and sorted
+
     def known(keys: DataFrame):
         return docs[id_col].cast("long").eqNullSafe(keys["_gone"]) & (text_hash == keys["_gone_hash"])
 
