@@ -3,8 +3,9 @@
 Skew safety: a group may hold a third of all rows, so no operator here
 puts a whole group into one window partition.
 
-* ``rank_within_groups`` numbers the rows of each (group, slice of keys) and adds the
-  counts of the slices before.  Equal to ``row_number() over (partition by g order by k)``.
+* ``rank_within_groups`` subtracts a group's first number from the global
+  number of ``rank_by_value``, a range-partitioned two-pass index over
+  (group, key).  Equal to ``row_number() over (partition by g order by k)``.
 * ``topk_per_group`` is a two-level reduction: top-k inside
   ``(group, salt)`` partitions, then top-k over the ``salts * k`` survivors
   of each group.
@@ -16,30 +17,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from limnos.operators.profile import q
+from limnos.session import written
 
 
 def _list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _slice_of(order_col: str, bounds: list) -> Column:
-    """Number of ``bounds`` (sorted) below the value, found in two steps; 0 for NULL."""
-    width = max(1, int(len(bounds) ** 0.5))
-    rows = [bounds[k:k + width] for k in range(0, len(bounds), width)]
-    x = F.col(q(order_col))
-
-    def below(values):
-        return F.size(F.filter(values, lambda b: b < x))
-
-    if not rows:
-        return F.lit(0)
-    coarse = below(F.array(*[F.lit(r[0]) for r in rows]))
-    fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    return F.when(x.isNull() | (coarse == 0), 0).otherwise(
-        (coarse - 1) * width + below(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
+BROADCAST_GROUPS = 100_000      # rows per (group, partition) up to which the first numbers are broadcast
 
 
 def rank_within_groups(df: DataFrame, groups: Sequence[str] | str, order_col: str, out: str = "rn",
@@ -47,48 +34,42 @@ def rank_within_groups(df: DataFrame, groups: Sequence[str] | str, order_col: st
     """1-based row number within each group, ordered by a key.
 
     ``order_col`` must be unique within a group (a row id); ties would be
-    numbered arbitrarily, exactly as ``row_number`` does.  Quantiles of the key
-    (one sketch of fixed size) cut every group into slices of consecutive keys; a window numbers
-    the rows of each (group, slice), so a hot group is many windows, and the
-    counts of the slices before it are added, one row per (group, slice) from an aggregate
-    with partial sums.  Rows are shuffled once, by (group, slice).  A NULL group is a group of its
-    own.  Keys that are not numbers or times go through the global index of ``rank_by_value``.
+    numbered arbitrarily, exactly as ``row_number`` does.  Rows are numbered
+    globally by (groups, key) with the range-partitioned index of
+    ``rank_by_value``; a group's first number, one row per group from an
+    aggregate, is then subtracted.  No window, so no group is sorted in one
+    task.  The first numbers are broadcast up to ``BROADCAST_GROUPS`` of them, so rows are shuffled
+    once; beyond, they are a written table, so the join can be split where a group is
+    hot.  A NULL group is a group of its own.
     """
     g = _list(groups)
-    kind = df.schema[order_col].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return _rank_by_index(df, g, order_col, out, partitions)
-    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probs = [k / n for k in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(q(order_col)), probs, 20 * n)).first()[0] if probs else None
-    sliced = df.withColumn("_slice", _slice_of(order_col, sorted(set(found or []))))
-    keys = [F.col(q(c)) for c in g]
-    sizes = sliced.groupBy(*[k.alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s")).count()
-    ahead = Window.partitionBy(*[f"_g{i}" for i in range(len(g))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(F.col(q(order_col)).asc()))
-    placed = sliced.withColumn("_inside", inside)
-    same = placed["_slice"] == sizes["_s"]
-    for i, c in enumerate(g):
-        same = same & placed[c].eqNullSafe(sizes[f"_g{i}"])
-    return placed.join(sizes, same).withColumn(out, (F.col("_inside") + F.col("_ahead")).cast("bigint")).drop(
-        "_slice", "_inside", "_ahead", "_s", *[f"_g{i}" for i in range(len(g))])
-
-
-def _rank_by_index(df: DataFrame, g: list[str], order_col: str, out: str, partitions: int | None) -> DataFrame:
-    """Rows are numbered globally by (groups, key); a group's first number, one row per group from an
-    aggregate that is written before the join, is subtracted."""
-    from limnos.session import cut_lineage
-
-    placed = rank_by_value(df, [*g, order_col], out="_pos", partitions=partitions)
-    first = cut_lineage(placed.groupBy(*[F.col(q(c)).alias(f"_g{i}") for i, c in enumerate(g)]).agg(
-        F.min("_pos").alias("_first")))
+    placed = _ranged(df, [*g, order_col], False, partitions)
+    named = [f"_g{i}" for i in range(len(g))]
+    runs = placed.groupBy(*[F.col(q(c)).alias(n) for c, n in zip(g, named)], "_pid").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_mid"))        # a row per group and partition
+    rows = runs.limit(BROADCAST_GROUPS + 1).collect()
+    if len(rows) <= BROADCAST_GROUPS:
+        sizes: dict = {}
+        for r in rows:
+            sizes[r["_pid"]] = sizes.get(r["_pid"], 0) + r["_n"]
+        offsets, start = _offsets(sizes.items()), {}
+        for r in rows:
+            at = offsets[r["_pid"]] + r["_mid"] - (r["_pid"] << 33)
+            key = tuple(r[n] for n in named)
+            start[key] = min(at, start.get(key, at))
+        kinds = [f"{n} {placed.schema[c].dataType.simpleString()}" for n, c in zip(named, g)]
+        first = F.broadcast(df.sparkSession.createDataFrame(
+            [(*k, v) for k, v in start.items()], ", ".join([*kinds, "_first long"])))
+    else:
+        runs = written(runs)
+        offsets = _offsets(runs.groupBy("_pid").agg(F.sum("_n")).collect())
+        first = written(runs.groupBy(*named).agg(F.min_by(_position(offsets), F.col("_pid")).alias("_first")))
     cond = F.lit(True)
-    for i, c in enumerate(g):
-        cond = cond & F.col(q(c)).eqNullSafe(F.col(f"_g{i}"))
+    for c, n in zip(g, named):
+        cond = cond & F.col(q(c)).eqNullSafe(F.col(n))
     return (placed.join(first, on=cond, how="inner")
-            .withColumn(out, (F.col("_pos") - F.col("_first") + 1).cast("bigint"))
-            .drop("_pos", "_first", *[f"_g{i}" for i in range(len(g))]))
+            .withColumn(out, (_position(offsets) - F.col("_first") + 1).cast("bigint"))
+            .drop("_pid", "_mid", "_first", *named))
 
 
 def topk_per_group(df: DataFrame, groups: Sequence[str] | str, order_col: str, k: int,
@@ -163,26 +144,37 @@ def rank_by_value(df: DataFrame, order: Sequence[str], out: str = "rank", descen
 
     Range-partitioned two-pass index: ``repartitionByRange`` on the whole
     order (ties of a hot value are split by the key, so no partition holds a
-    whole hot value), ``sortWithinPartitions``, a reliable checkpoint so both
+    whole hot value), ``sortWithinPartitions``, a written table so both
     passes see the same partitions, one count per partition (P rows to the
     driver), then rank = partition offset + position inside the partition
     (``monotonically_increasing_id`` restarts its low bits per partition).
     No global window, no single-task sort.
     """
-    from limnos.session import cut_lineage
+    ranged = _ranged(df, order, descending, partitions)
+    offsets = _offsets(ranged.groupBy("_pid").count().collect())
+    return ranged.withColumn(out, (_position(offsets) + 1).cast("bigint")).drop("_pid", "_mid")
 
+
+def _ranged(df: DataFrame, order: Sequence[str], descending: bool, partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned and sorted, with ``_pid`` and ``_mid``: partition and position, written."""
     cols = [F.col(q(c)) for c in order]
     keys = [c.desc() for c in cols] if descending else [c.asc() for c in cols]
     n_parts = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = df.repartitionByRange(int(n_parts), *keys).sortWithinPartitions(*keys)
-    ranged = ranged.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    ranged = cut_lineage(ranged)
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("_pid").count().collect())
-    offsets, run = {}, 0
-    for pid, c in counts:
-        offsets[pid] = run
+    return written(ranged.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
+
+
+def _offsets(counts) -> dict[int, int]:
+    """Rows before each partition, from (partition, count) rows."""
+    out, run = {}, 0
+    for pid, c in sorted((r[0], r[1]) for r in counts):
+        out[pid] = run
         run += c
+    return out
+
+
+def _position(offsets: dict[int, int]) -> Column:
+    """0-based global position of a row of ``_ranged``."""
     off = F.element_at(F.create_map(*[x for pid in offsets for x in (F.lit(pid), F.lit(offsets[pid]))]), F.col("_pid")) \
         if offsets else F.lit(0)
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return ranged.withColumn(out, (off + pos + 1).cast("bigint")).drop("_pid", "_mid")
+    return off + F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)

@@ -4,8 +4,7 @@ KDE:
 Scott's rule bandwidth h = stddev_samp * n^(-1/5); the grid runs from
 min - cut*h to max + cut*h (seaborn's defaults: 200 points, cut 3).
 
-Each row contributes exp(-0.5 ((g - x) / h)^2) to every grid point, summed in
-one vector per task.  With ``support`` only to grid points within that many
+Each row contributes exp(-0.5 ((g - x) / h)^2) to every grid point.  With ``support`` only to grid points within that many
 bandwidths: a row then emits a few grid indices via ``sequence``/``explode``,
 and the sum is a partial aggregate over at most ``points`` keys.  No grid x rows
 cross join.
@@ -17,8 +16,6 @@ import math
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +36,7 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, suppo
              bandwidth: float | None = None, digits: int | None = 6) -> DataFrame:
     """(idx, x, density) of a Gaussian KDE evaluated on an even grid.
 
-    By default every row adds to every grid point, in one vector of sums per task.  With ``support`` a row adds only to the points
+    By default every row adds to every grid point, in one aggregate with partial sums.  With ``support`` a row adds only to the points
     within that many bandwidths (an approximation)."""
     h, lo, hi, n = scott_bandwidth(df, col)
     if bandwidth is not None:
@@ -49,7 +46,13 @@ def kde_grid(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, suppo
     dg = (g1 - g0) / (points - 1)
     x = F.col(q(col))
     if support is None:
-        return _densities(df.where(x.isNotNull()).select(x.cast("double").alias("_v")), [], [[]], [(g0, dg, h, n)], points, digits)
+        spread = df.where(x.isNotNull()).select((x / F.lit(h)).alias("u"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+        z = F.lit(g0 / h) + F.lit(dg / h) * F.col("i") - F.col("u")
+        sums = spread.groupBy("i").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("s"))
+        gx, dens = F.lit(g0) + F.lit(dg) * F.col("i"), F.col("s") * F.lit(1.0 / (n * h * math.sqrt(2.0 * math.pi)))
+        if digits is not None:
+            gx, dens = F.round(gx, digits), F.round(dens, digits)
+        return sums.select(F.col("i").cast("bigint").alias("idx"), gx.alias("x"), dens.alias("density"))
     first = F.greatest(F.ceil((x - F.lit(support * h) - F.lit(g0)) / F.lit(dg)), F.lit(0)).cast("int")
     last = F.least(F.floor((x + F.lit(support * h) - F.lit(g0)) / F.lit(dg)), F.lit(points - 1)).cast("int")
     rows = df.where(x.isNotNull()).select(x.alias("x"), F.explode(F.sequence(first, last)).alias("idx"))
@@ -70,12 +73,12 @@ def kde_by_group(df: DataFrame, groups: Sequence[str], col: str, points: int = 2
                  digits: int | None = 6, max_cells: int = 4_000_000) -> DataFrame:
     """D14 per group: (*groups, idx, x, density), each group on its own even grid with Scott's bandwidth.
 
-    Every value adds to every grid point of its group.  A task keeps one vector of sums per group it met and
-    emits it once; the vectors are added up by (group, point).  Groups times points must fit ``max_cells``."""
+    Every value adds to every grid point of its group, in one aggregate by (group, point) with partial sums, so a
+    task passes on one row per point.  Groups times points must fit ``max_cells``."""
     groups = list(groups)
     x = F.col(q(col)).cast("double")
     rows = df.where(x.isNotNull()).select(*groups, x.alias("_v"))
-    stats = (rows.groupBy(*groups) if groups else rows.groupBy()).agg(
+    stats = rows.groupBy(*groups).agg(
         F.stddev_samp("_v").alias("sd"), F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     stats = [r for r in stats.limit(max_cells // points + 1).collect() if r["n"]]
     if len(stats) * points > max_cells:
@@ -96,35 +99,16 @@ def _densities(rows: DataFrame, groups: list[str], keys: list[list], grids: list
     named = [f"_g{i}" for i in range(len(groups))]
     fields = [f"{n} {rows.schema[g].dataType.simpleString()}" for n, g in zip(named, groups)]
     table = spark.createDataFrame([(*key, i) for i, key in enumerate(keys)], ", ".join([*fields, "_id int"]))
-    if groups:
-        same = F.lit(True)
-        for g, n in zip(groups, named):
-            same = same & rows[g].eqNullSafe(table[n])
-        numbered = rows.join(F.broadcast(table), same).select("_id", "_v")
-    else:
-        numbered = rows.select(F.lit(0).alias("_id"), "_v")
-
-    def add(batches):
-        sums = {}
-        for batch in batches:
-            ids, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i in np.unique(ids).tolist():
-                g0, step, h, _ = grids[i]
-                at = (g0 + step * np.arange(points)) / h
-                u = values[ids == i] / h
-                total = sums.setdefault(i, np.zeros(points))
-                for lo in range(0, len(u), 1024):
-                    z = at - u[lo:lo + 1024, None]
-                    np.multiply(z, z, out=z)
-                    z *= -0.5
-                    np.exp(z, out=z)
-                    total += z.sum(axis=0)
-        for i, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"_id": pa.array(np.full(points, i, np.int32)), "idx": pa.array(np.arange(points)),
-                                              "s": pa.array(total)})
-
-    sums = numbered.mapInArrow(add, "_id int, idx long, s double").groupBy("_id", "idx").agg(F.sum("s").alias("s"))
+    same = F.lit(True)
+    for g, n in zip(groups, named):
+        same = same & rows[g].eqNullSafe(table[n])
+    numbered = rows.join(F.broadcast(table), same).select("_id", "_v")
     grid = spark.createDataFrame([(i, *g) for i, g in enumerate(grids)], "_id int, g0 double, step double, h double, n long")
+    spread = numbered.join(F.broadcast(grid), "_id").select(
+        "_id", F.col("_v") / F.col("h"), F.col("g0") / F.col("h"), F.col("step") / F.col("h"),
+        F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).toDF("_id", "u", "a", "b", "idx")
+    z = F.col("a") + F.col("b") * F.col("idx") - F.col("u")
+    sums = spread.groupBy("_id", "idx").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("s")).withColumn("idx", F.col("idx").cast("long"))
     out = sums.join(F.broadcast(grid), "_id").join(F.broadcast(table), "_id").select(
         *(F.col(n).alias(g) for n, g in zip(named, groups)), "idx", (F.col("g0") + F.col("step") * F.col("idx")).alias("x"),
         (F.col("s") / (F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi)))).alias("density"))

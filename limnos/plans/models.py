@@ -264,19 +264,47 @@ def load_gaussian(path: str) -> GaussianModel:
                          moments["label_mean"], moments["label_std"])
 
 
+def _linear_sql(terms: Sequence[str], coefs, name: str, wrap: str = "{}") -> SQLTransformer:
+    """A linear combination of columns as a persisted stage."""
+    text = " + ".join([_lit(coefs[0]), *(f"({_lit(c)}) * {q(t)}" for t, c in zip(terms, coefs[1:], strict=True))])
+    return SQLTransformer(statement=f"SELECT *, {wrap.format(text)} AS {q(name)} FROM __THIS__")
+
+
 def train_gaussian(df: DataFrame, features: Sequence[str], label: str, mean_kind: str = "polynomial",
-                   **kwargs) -> GaussianModel:
-    """M10 (re-aimed two-headed network): mean by ``mean_kind``; variance by a
-    Gamma GLM with log link on the squared training residuals (clamped > 0).
+                   rounds: int = 50, tol: float = 1e-7, **kwargs) -> GaussianModel:
+    """M10 (re-aimed two-headed network): mean and log-variance of the label.
 
-    log E[r^2 | x] = b0 + b x, so ``logvar`` is the GLM's linear predictor.
+    With a ``linear`` or ``polynomial`` mean both are fitted together (``plans.gaussian``): the mean by least
+    squares weighted with 1 / variance, the log-variance by Gamma steps on the squared residuals, in turn until
+    the likelihood stops falling; ``trace`` of the mean's params holds it after every step.  Other kinds fit the
+    mean on its own, then a Gamma GLM with log link on its squared residuals.
     """
+    features = list(features)
+    data = df.select(*[F.col(q(c)).cast("double").alias(c) for c in features], F.col(q(label)).cast("double").alias(label)).na.drop()
+    stats = fit_standardizer(data, [*features, label])  # one pass: feature scaler + label moments
+    label_mean, label_std = stats.pop(label)
+    if mean_kind in ("linear", "polynomial") and not kwargs:
+        from limnos.plans.gaussian import fit_joint
+        place = range(len(features))
+        pairs = [(i, j) for i in place for j in place if i <= j] if mean_kind == "polynomial" else []
+        scaled = data.select(*[((F.col(q(c)) - F.lit(m)) / F.lit(sd or 1.0)).alias(f"x{i}")
+                               for i, (c, (m, sd)) in enumerate(stats.items())], F.col(q(label)).alias("y"))
+        b, c, trace = fit_joint(scaled, len(features), pairs, rounds, tol)
+        stages, terms = [standardizer_stage(stats)], [f + "__z" for f in features]
+        if pairs:
+            poly, terms = polynomial_stage(terms, 2)
+            stages.append(poly)
+        stages.append(_linear_sql(terms, b, "prediction"))
+        mean = TrainedModel(mean_kind, mean_kind, PipelineModel(stages), features, label, terms,
+                            {"scaler": {f: [m, sd] for f, (m, sd) in stats.items()}, "trace": trace,
+                             "coefficients": b.tolist(), "variance": c.tolist()})
+        least = math.log(1e-12)
+        variance = PipelineModel([standardizer_stage(stats, suffix="__v"), _linear_sql(
+            [f + "__v" for f in features], c, "_var", f"exp(greatest(least({{}}, 600.0), {_lit(least)}))")])
+        return GaussianModel(mean, variance, float(label_mean), float(label_std or 1.0))
     mean = train(df, features, label, kind=mean_kind, **kwargs)
-    data = df.select(*[F.col(q(c)) for c in features], F.col(q(label))).na.drop()
     scored = mean.transform(data, prediction="_mu")
     resid = scored.withColumn("_r2", F.greatest((F.col(q(label)) - F.col("_mu")) ** 2, F.lit(1e-12)))
-    stats = fit_standardizer(data, [*features, label])  # one pass: feature scaler + label moments
-    label_mean, label_std = stats.pop(label)
     var_pipe = Pipeline(stages=[
         standardizer_stage(stats, suffix="__v"),
         VectorAssembler(inputCols=[c + "__v" for c in features], outputCol="var_features", handleInvalid="keep"),

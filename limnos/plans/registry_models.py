@@ -301,7 +301,7 @@ def q_importance(spark, sf):
 
 @register("hetero_gaussian")
 def q_hetero_gaussian(spark, sf):
-    """M10 + O2: polynomial mean + Gamma-GLM log-variance, batch scored with 95% intervals."""
+    """M10 + O2: polynomial mean and log-variance fitted together, batch scored with 95% intervals."""
     from limnos.plans.models import train_gaussian
     from limnos.plans.score import score_batch
     li = B.table(spark, sf, "lineitem").select(*B.LINEITEM_KEY, "l_quantity", "l_extendedprice", "l_discount")
@@ -309,6 +309,27 @@ def q_hetero_gaussian(spark, sf):
     return score_batch(gm, li)
 
 
+@register("weighted_step", """
+with d as (select (cast(l_quantity as double) - avg(l_quantity) over ()) / stddev_pop(l_quantity) over () as x,
+                  cast(l_discount as double) as y from lineitem),
+w as (select x, y, exp(-(0.3 * x - 1)) as w from d),
+s as (select sum(w) as s, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from w)
+select '(intercept)' as term, round((sy * sxx - sx * sxy) / (s * sxx - sx * sx), 6) as coefficient from s
+union all select 'l_quantity', round((s * sxy - sx * sy) / (s * sxx - sx * sx), 6) from s""")
+def q_weighted_step(spark, sf):
+    """The mean step of the joint fit: discount on standardised quantity, weighted with 1 / exp(0.3 z - 1)."""
+    import numpy as np
+
+    from limnos.operators.features import fit_standardizer
+    from limnos.plans.gaussian import weighted_least_squares
+    li = B.table(spark, sf, "lineitem")
+    (m, sd), = fit_standardizer(li, ["l_quantity"]).values()
+    data = li.select(((F.col("l_quantity") - m) / sd).alias("x"), F.col("l_discount").cast("double").alias("y"))
+    b = weighted_least_squares(data, 1, (), lambda x: np.exp(0.3 * x[:, 0] - 1))
+    return spark.createDataFrame([("(intercept)", round(float(b[0]), 6)), ("l_quantity", round(float(b[1]), 6))],
+                                 "term string, coefficient double")
+
+
 @register("additive_fit")
 def q_additive_fit(spark, sf):
     """M9: hinge basis at 5 quantile knots per feature + ridge; adjusted R^2."""

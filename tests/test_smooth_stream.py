@@ -52,3 +52,19 @@ def test_loess_bandwidth_is_qth_nearest(spark):
     for small in (200_000, 0):  # driver fast path and grouped selection
         out = loess_curve(frame(spark, pdf), "x", "y", points=9, small_distinct=small).orderBy("idx").toPandas()
         assert np.allclose(out.bandwidth, exp)
+
+
+def test_densities_per_group_are_those_of_each_group(spark):
+    import numpy as np
+
+    from limnos.operators.smooth import kde_by_group, kde_grid
+    r = np.random.default_rng(3)
+    rows = [(g, m, float(v)) for g, m, k in (("a", "x", 40), ("a", None, 25), (None, "x", 1)) for v in r.normal(size=k)] + [("b", "y", None)]
+    df = spark.createDataFrame(rows, "target string, method string, v double")
+    out = kde_by_group(df, ["target", "method"], "v", points=30, digits=None).collect()
+    assert len(out) == 90
+    for target, method in (("a", "x"), ("a", None), (None, "x")):
+        part = df.where(df.target.eqNullSafe(target) & df.method.eqNullSafe(method))
+        want = [(x.x, x.density) for x in kde_grid(part, "v", points=30, digits=None).orderBy("idx").collect()]
+        got = sorted((x.x, x.density) for x in out if (x.target, x.method) == (target, method))
+        assert np.allclose(got, sorted(want), rtol=1e-12)
