@@ -157,3 +157,17 @@ def q_csv_round_trip(spark, sf):
     typed = parse_date_all_or_nothing(coerce_numeric(back, ["result"]), "day")
     return typed.select("event_id", "event_type", F.round("result", 6).alias("result"),
                         F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@register("csv_mixed_encodings", """
+select c_custkey, replace(c_name, 'e', 'é') as name, case when c_custkey % 2 = 0 then 'UTF-8' else 'ISO-8859-1' end as written
+from customer""")
+def q_csv_mixed_encodings(spark, sf):
+    """A2: a folder of UTF-8 and Latin-1 files, each decoded by the bytes it holds."""
+    from limnos.sources.ingest import read_measurements
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mixed-{uuid.uuid4().hex}"
+    rows = B.table(spark, sf, "customer").select("c_custkey", F.replace("c_name", F.lit("e"), F.lit("é")).alias("name"))
+    for k, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        rows.where(F.col("c_custkey") % 2 == k).withColumn("written", F.lit(encoding)).write.mode("append").option(
+            "header", True).option("encoding", encoding).csv(path)
+    return read_measurements(spark, path, schema="c_custkey bigint, name string, written string")

@@ -84,10 +84,10 @@ def q_impute_blend(spark, sf):
 
 @register("impute_mice_linear")
 def q_impute_mice(spark, sf):
-    """Chained equations (Bayesian ridge from one covariance aggregate per fit, bounded to the observed
-    range, up to 10 rounds, normalised stopping rule) over the five characteristics."""
+    """Chained equations (Bayesian ridge from one covariance aggregate per fit, up to 10 rounds, normalised
+    stopping rule) over the five characteristics."""
     from limnos.plans.impute import fill_chained
-    out = fill_chained(B.events_wide(spark, sf), T, rounds=10, estimator="bayesian_ridge", clip_to_observed=True)
+    out = fill_chained(B.events_wide(spark, sf), T, rounds=10, estimator="bayesian_ridge")
     return out.select(KEY, *[F.coalesce(F.col(t), F.col(f"{t}__iterative")).alias(t) for t in T])
 
 
@@ -107,3 +107,29 @@ def q_evaluate_imputation(spark, sf):
     from limnos.plans.impute import evaluate_imputation
     return evaluate_imputation(B.events_wide(spark, sf), KEY, T, methods=("knn", "iterative", "rf", "gbm"),
                                per_method=True, mice_estimator="bayesian_ridge")
+
+
+def _sql_fill_linear() -> str:
+    from limnos.plans.sql_ridge import grid_ctes, predictions
+    fit = grid_ctes("r", "fitted", FEATS, TARGET, "part", 1,
+                    "select 0 as point, 1 as degree, 99 as k, 0.0 as alpha, 1 as f_from, 1 as f_to", degree=1)
+    means = ", ".join(f"avg({f}) as m_{f}" for f in FEATS)
+    filled = ", ".join(f"coalesce({f}, m_{f}) as {f}" for f in FEATS)
+    scaled = ", ".join(f"({c} - m{i}) / s{i} as t{i}" for i, c in enumerate(FEATS))
+    return f"""with recursive w as (select * from {B.SQL_EVENTS_WIDE} x),
+mf as (select {means} from w where {TARGET} is not null),
+f as (select station_day, {TARGET}, {filled} from w, mf),
+st as (select avg({TARGET}) as mu, stddev_pop({TARGET}) as sd from f),
+fitted as (select f.*, 0 as part from f, st where {TARGET} is not null and abs(({TARGET} - mu) / sd) <= 3.0),
+{fit},
+z as (select station_day, {scaled} from f, r_st where {TARGET} is null)
+select station_day, round({predictions('r', FEATS, 1)}, 6) as {TARGET}_linear from z, r_fit"""
+
+
+@register("impute_linear", _sql_fill_linear())
+def q_impute_linear(spark, sf):
+    """N3 / N6 with a linear model in the tree's place: fitted on the observed rows (features filled with their means,
+    outliers of the target left out), applied to the missing ones."""
+    from limnos.plans.impute import fill_model
+    out = fill_model(B.events_wide(spark, sf), TARGET, FEATS, "linear", "__linear")
+    return out.where(F.col(TARGET).isNull()).select(KEY, F.round(f"{TARGET}__linear", 6).alias(f"{TARGET}_linear"))

@@ -283,12 +283,24 @@ def q_elastic_net_path(spark, sf):
     return _path(spark, sf, "elastic_net")
 
 
-@register("cv_scores")
+def _sql_cv_scores() -> str:
+    from limnos.plans.sql_ridge import grid_ctes, predictions
+    feats = ["l_extendedprice", "l_discount"]
+    src = f"(select *, {REV} / 10000 as revenue, cast({B.sql_bucket(B.LI_KEY_SQL, 5)} as integer) as fold from lineitem)"
+    fits = grid_ctes("r", src, feats, "revenue", "fold", 5, "select 0 as point, 2 as degree, 99 as k, 0.0 as alpha, 0 as f_from, 4 as f_to")
+    return f"""with recursive {fits},
+p as (select t.f, t.y, {predictions('r', feats)} as pred from r_t t join r_fit fit on t.f = fit.f where held)
+select cast(f as integer) as fold, count(*) as n, round(avg((y - pred) * (y - pred)), 6) as mse,
+       round(sqrt(avg((y - pred) * (y - pred))), 6) as rmse, round(avg(abs(y - pred)), 6) as mae,
+       round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(y)), 6) as r2 from p group by f"""
+
+
+@register("cv_scores", _sql_cv_scores())
 def q_cv_scores(spark, sf):
-    """L3: per-fold metrics of polynomial OLS with 5 hash folds."""
+    """L3 + M2: per-fold metrics of polynomial OLS with 5 hash folds (revenue in 10k units)."""
     from limnos.plans.tuning import cross_val_scores
-    return cross_val_scores(_li(spark, sf), ["l_extendedprice", "l_discount"], "revenue", B.LINEITEM_KEY,
-                            "polynomial", 5)
+    li = _li(spark, sf).withColumn("revenue", F.col("revenue") / 10000)
+    return cross_val_scores(li, ["l_extendedprice", "l_discount"], "revenue", B.LINEITEM_KEY, "polynomial", 5)
 
 
 @register("importance")
@@ -382,17 +394,56 @@ def q_experiment_choice(spark, sf):
     return choose_experiment({"baseline": base, "engineered": eng})
 
 
-@register("ph_scoring")
+PH_FEATURES = ["l_tax", "l_quantity", "l_discount", "temp_do_interaction", "chla_temp_interaction", "chla_do_interaction",
+               "do_temp_ratio", "chla_do_ratio", "chla_squared", "temp_squared", "do_squared", "chla_log", "temp_log", "do_log"]
+
+
+def _sql_ph_scoring() -> str:
+    from limnos.plans.sql_ridge import grid_ctes, predictions
+    src = """(select *, l_extendedprice / 10000 as y, l_quantity * l_discount as temp_do_interaction,
+      l_tax * l_quantity as chla_temp_interaction, l_tax * l_discount as chla_do_interaction,
+      l_discount / (l_quantity + 1e-5) as do_temp_ratio, l_tax / (l_discount + 1e-5) as chla_do_ratio, l_tax * l_tax as chla_squared,
+      l_quantity * l_quantity as temp_squared, l_discount * l_discount as do_squared, ln(l_tax + 1e-5) as chla_log,
+      ln(l_quantity + 1e-5) as temp_log, ln(l_discount + 1e-5) as do_log, 0 as part from lineitem)"""
+    fit = grid_ctes("r", src, PH_FEATURES, "y", "part", 1,
+                    "select 0 as point, 1 as degree, 99 as k, 1.0 as alpha, 1 as f_from, 1 as f_to", degree=1)
+    scaled = ", ".join(f"(cast({c} as double) - m{i}) / s{i} as t{i}" for i, c in enumerate(PH_FEATURES))
+    return f"""with recursive {fit},
+z as (select l_orderkey, l_linenumber, {scaled} from {src} src, r_st)
+select l_orderkey, l_linenumber, round({predictions('r', PH_FEATURES, 1)}, 4) as prediction from z, r_fit"""
+
+
+@register("ph_scoring", _sql_ph_scoring())
 def q_ph_scoring(spark, sf):
-    """O4 + K3: rebuild the interaction features, fit ridge, score every row (null-safe)."""
+    """O4 + K3: rebuild the interaction features, fit ridge (price in 10k units), score every row (null-safe)."""
     from limnos.operators.features import interaction_features
     from limnos.plans.models import train
     from limnos.plans.score import score
     li = interaction_features(B.table(spark, sf, "lineitem"), chla="l_tax", temp="l_quantity", do="l_discount")
-    feats = ["l_tax", "l_quantity", "l_discount", "temp_do_interaction", "chla_temp_interaction", "chla_do_interaction",
-             "do_temp_ratio", "chla_do_ratio", "chla_squared", "temp_squared", "do_squared", "chla_log", "temp_log", "do_log"]
-    tm = train(li, feats, "l_extendedprice", "ridge", alpha=1.0)
-    return score(tm, li).select(*B.LINEITEM_KEY, "prediction")
+    li = li.withColumn("y", F.col("l_extendedprice") / 10000)
+    tm = train(li, PH_FEATURES, "y", "ridge", alpha=1.0)
+    return score(tm, li).select(*B.LINEITEM_KEY, F.round("prediction", 4).alias("prediction"))
+
+
+@register("model_round_trip", f"""
+with c as (select regr_slope({REV} / 10000, l_extendedprice / 10000) as b, regr_intercept({REV} / 10000, l_extendedprice / 10000) as a,
+                  min(l_extendedprice / 10000) as lo, max(l_extendedprice / 10000) as hi from lineitem),
+g as (select range as level, lo + (hi - lo) * range / 4 as price from range(5), c)
+select cast(level as bigint) as level, round(price, 6) as price, round(a + b * price, 6) as prediction from g, c""")
+def q_model_round_trip(spark, sf):
+    """A9 + A10: a model saved, loaded again and applied to inline rows (five prices between the least and the largest)."""
+    import uuid
+
+    from limnos.plans.models import load_model, save_model, train
+    from limnos.session import ensure_checkpoint_dir
+    from limnos.sources.ingest import inline_rows
+    li = _li(spark, sf).select((F.col("l_extendedprice") / 10000).alias("price"), (F.col("revenue") / 10000).alias("revenue"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    save_model(train(li, ["price"], "revenue", "linear"), path)
+    lo, hi = li.agg(F.min("price"), F.max("price")).first()
+    rows = inline_rows(spark, [(i, float(lo) + (float(hi) - float(lo)) * i / 4) for i in range(5)], "level bigint, price double")
+    return load_model(path).transform(rows).select("level", F.round("price", 6).alias("price"),
+                                                   F.round("prediction", 6).alias("prediction"))
 
 
 SQL_LOESS = """

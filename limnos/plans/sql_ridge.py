@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 
-def grid_ctes(name: str, table: str, features: Sequence[str], y: str, group: str, folds: int, points: str) -> str:
+def grid_ctes(name: str, table: str, features: Sequence[str], y: str, group: str, folds: int, points: str,
+              degree: int = 2) -> str:
     """CTEs ending in ``{name}_score (f, point, mse, r2)``.
 
-    ``table`` has the features, ``y`` and ``group``; fold f is held out of groups 0..folds-1, and f = folds fits on all
+``table`` has the features, ``y`` and ``group``; fold f is held out of groups 0..folds-1, and f = folds fits on all
     of these and is scored on group ``folds``.  ``points``: SQL of (point, degree, k, alpha, f_from, f_to)."""
     p = len(features)
-    pairs = list(combinations_with_replacement(range(p), 2))
+    pairs = list(combinations_with_replacement(range(p), 2)) if degree > 1 else []
     total = p + len(pairs)
     t = [f"t{i}" for i in range(total)]
 
@@ -29,7 +30,7 @@ def grid_ctes(name: str, table: str, features: Sequence[str], y: str, group: str
               from range({folds + 1}) f, {name}_d d where d.g <> f.range and d.g < {folds} group by f.range),
 {name}_z as (select f, d.g = f as held, y, {', '.join(f'(x{i} - m{i}) / s{i} as t{i}' for i in range(p))}
              from {name}_d d, {name}_st st where d.g < {folds} or f = {folds}),
-{name}_t as (select *, {', '.join(f't{i} * t{j} as t{p + k}' for k, (i, j) in enumerate(pairs))} from {name}_z),
+{name}_t as (select *{''.join(f', t{i} * t{j} as t{p + k}' for k, (i, j) in enumerate(pairs))} from {name}_z),
 {name}_s as (select f, held, count(*) as n, sum(y) as sy, sum(y * y) as syy,
                     [{', '.join(f'sum({x})' for x in t)}] as sx, [{', '.join(f'sum({x} * y)' for x in t)}] as sxy,
                     [{gram}] as sxx from {name}_t group by f, held),
@@ -60,3 +61,11 @@ def grid_ctes(name: str, table: str, features: Sequence[str], y: str, group: str
                       + list_sum(list_transform(sel, lambda i, k: w[k] * list_sum(list_transform(sel, lambda j, l: w[l] * sxx[i][j])))) as sse
                from {name}_fit fit join {name}_s s on fit.f = s.f and s.held),
 {name}_score as (select f, point, sse / n as mse, 1 - sse / sst as r2 from {name}_sse)"""
+
+
+def predictions(name: str, features: Sequence[str], degree: int = 2) -> str:
+    """SQL of the prediction of a row of ``{name}_t`` joined with ``{name}_fit``."""
+    p = len(features)
+    total = p + (p * (p + 1) // 2 if degree > 1 else 0)
+    terms = ", ".join(f"t{i}" for i in range(total))
+    return f"b0 + list_sum(list_transform(sel, lambda i, k: w[k] * ([{terms}])[i]))"

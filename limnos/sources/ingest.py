@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.operators.profile import q, string_columns
-
-REPLACEMENT_CHAR = "�"
+from limnos.operators.profile import q
 
 
 def _csv_reader(spark: SparkSession, schema, header: bool, null_value: str, encoding: str, sep: str):
@@ -30,28 +29,40 @@ def _csv_reader(spark: SparkSession, schema, header: bool, null_value: str, enco
     return r
 
 
+def invalid_utf8_files(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Each file of ``path`` and whether it has a line that is not valid UTF-8 (a row per file).
+
+    The text source hands on the bytes of a line unchanged."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = lines.groupBy("file").agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad")).collect()
+    return {unquote(r["file"]): bool(r["bad"]) for r in rows}
+
+
 def read_measurements(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                       header: bool = True, null_value: str = "NA", sep: str = ",",
                       encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"),
                       numeric_sentinels: Sequence[float] = (), nan_to_null: bool = True) -> DataFrame:
-    """A1 + A2 + A3: CSV scan with header, blank/``NA`` -> null, encoding fallback.
+    """A1 + A2 + A3: CSV scan with header, blank/``NA`` -> null, an encoding per file.
 
-    Spark does not fail on invalid UTF-8 -- it substitutes U+FFFD -- so the
-    fallback is decided by one aggregate: if any string cell holds U+FFFD,
-    the next encoding is tried (Latin-1 decodes every byte, so it ends the
-    chain).  With ``schema`` the header line is skipped and names come from
-    the schema (headerless / renamed files).
+    The bytes of every line are checked first; files with a line that is not valid UTF-8 are
+    read in the second encoding, all others in the first, so a folder may mix them (Latin-1 decodes
+    every byte, so it ends the chain).  Files whose bytes fit the first encoding cost that
+    one scan.  With ``schema`` the header line is skipped and names come from the schema (headerless /
+    renamed files); without, it is inferred once for all files.
     """
-    df = None
-    for i, enc in enumerate(encodings):
-        df = _csv_reader(spark, schema, header, null_value, enc, sep).csv(path)
-        strs = string_columns(df)
-        if not strs or i == len(encodings) - 1:
-            break
-        bad = df.agg(F.max(F.greatest(*[F.coalesce(F.col(q(c)).contains(REPLACEMENT_CHAR), F.lit(False))
-                                        for c in strs] + [F.lit(False)])).alias("bad")).collect()[0]["bad"]
-        if not bad:
-            break
+    first, rest = encodings[0], list(encodings[1:])
+    odd = invalid_utf8_files(spark, path) if first.upper().replace("-", "") == "UTF8" and rest else {}
+    wrong = [f for f, bad in odd.items() if bad]
+    if not wrong:
+        df = _csv_reader(spark, schema, header, null_value, first, sep).csv(path)
+    elif len(wrong) == len(odd):
+        df = _csv_reader(spark, schema, header, null_value, rest[0], sep).csv(path)
+    else:
+        if schema is None:
+            schema = _csv_reader(spark, None, header, null_value, rest[-1], sep).csv(path).schema
+        right = [f for f, bad in odd.items() if not bad]
+        df = _csv_reader(spark, schema, header, null_value, first, sep).csv(right).unionByName(
+            _csv_reader(spark, schema, header, null_value, rest[0], sep).csv(wrong))
     if numeric_sentinels:
         num = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
         df = sentinels_to_null(df, numeric={c: list(numeric_sentinels) for c in num})

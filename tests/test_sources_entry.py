@@ -19,6 +19,19 @@ def test_read_csv_na_blank_sentinel_and_latin1(spark, tmp_path):
     assert rows["B"]["remark"] == "café"
 
 
+def test_each_file_is_decoded_by_its_bytes(spark, tmp_path):
+    from limnos.sources.ingest import invalid_utf8_files
+    folder = tmp_path / "mixed folder"
+    folder.mkdir()
+    (folder / "a 1.csv").write_bytes("site,name,v\nA,caf\xe9,1\n".encode("utf-8"))
+    (folder / "b.csv").write_bytes("site,name,v\nB,caf\xe9,2\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes(b"site,name,v\nC,plain,3\n")
+    assert sorted(invalid_utf8_files(spark, str(folder)).values()) == [False, False, True]
+    for schema in (None, "site string, name string, v int"):
+        rows = read_measurements(spark, str(folder), schema=schema).orderBy("site").collect()
+        assert [tuple(r) for r in rows] == [("A", "café", 1), ("B", "café", 2), ("C", "plain", 3)]
+
+
 def test_text_sentinels_and_dates(spark):
     df = spark.createDataFrame([("NA", "2024-01-02"), (" NA ", "2024-01-03"), ("Inf", ""), ("1.5", "2024-01-05")],
                                "v string, d string")
