@@ -86,7 +86,7 @@ def kde_by_group(df: DataFrame, groups: Sequence[str], col: str, points: int = 2
     grids = []
     for r in stats:
         sd, n = r["sd"] or 0.0, int(r["n"])
-        h = sd * n ** (-0.2) if n > 1 and sd > 0 else 1.0
+        h = sd * n ** (-0.2) if r["lo"] < r["hi"] else 1.0
         g0 = float(r["lo"]) - cut * h
         grids.append((g0, (float(r["hi"]) + cut * h - g0) / max(points - 1, 1), h, n))
     return _densities(rows, groups, [[r[g] for g in groups] for r in stats], grids, points, digits)
@@ -146,8 +146,12 @@ def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0
     evaluation at each grid point (R interpolates a kd-tree surface by
     default, so values differ slightly from R).  The weighted sums are
     partial aggregates over the grid index; the (degree+1)^2 normal
-    equations are solved per grid point on the driver.  Standard errors are
-    not computed.  -> (idx, x, fit, n_local, bandwidth)
+    equations are solved per grid point on the driver.
+
+    ``se`` is the standard error of the fit: the residual deviation times the length of the
+    smoother's row at the grid point, which further moments (of the squared weights) give.  The residual variance is
+    RSS / (n - trace), with fit and leverage between grid points interpolated linearly, one more aggregate.
+    -> (idx, x, fit, se, n_local, bandwidth)
     """
     import numpy as np
 
@@ -155,11 +159,12 @@ def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0
         raise ValueError(f"points must be <= {max_points}")
     X, Y = F.col(q(x)), F.col(q(y))
     data = df.where(X.isNotNull() & Y.isNotNull()).select(X.cast("double").alias("_x"), Y.cast("double").alias("_y"))
-    per_x = data.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy"))
+    per_x = data.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy"),
+                                      F.sum(F.col("_y") * F.col("_y")).alias("_syy"))
     row = per_x.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.sum("_n").alias("n"),
                     F.count(F.lit(1)).alias("nd")).collect()[0]
     spark = df.sparkSession
-    schema = "idx bigint, x double, fit double, n_local bigint, bandwidth double"
+    schema = "idx bigint, x double, fit double, se double, n_local bigint, bandwidth double"
     if row["lo"] is None:
         return spark.createDataFrame([], schema)
     lo, hi, n, n_distinct = float(row["lo"]), float(row["hi"]), int(row["n"]), int(row["nd"])
@@ -186,17 +191,40 @@ def loess_curve(df: DataFrame, x: str, y: str, points: int = 80, span: float = 0
     t = F.abs("_u") / F.col("h")
     local = local.withColumn("_w", F.pow(F.lit(1.0) - t * t * t, 3))
     moments = [F.sum(F.col("_w") * F.pow(F.col("_u"), j) * F.col("_n")).alias(f"s{j}") for j in range(2 * degree + 1)]
+    squares = [F.sum(F.col("_w") * F.col("_w") * F.pow(F.col("_u"), j) * F.col("_n")).alias(f"v{j}") for j in range(2 * degree + 1)]
     targets = [F.sum(F.col("_w") * F.pow(F.col("_u"), j) * F.col("_sy")).alias(f"t{j}") for j in range(degree + 1)]
-    sums = {r["idx"]: r for r in local.groupBy("idx").agg(F.sum("_n").alias("n_local"), *moments, *targets)
+    sums = {r["idx"]: r for r in local.groupBy("idx").agg(F.sum("_n").alias("n_local"), *moments, *squares, *targets)
             .collect()}
+    fits, leverage, norm = ([None] * len(grid) for _ in range(3))
+    for i in sums:
+        r = sums[i]
+        A, V = (np.array([[r[f"{c}{a + b}"] for b in range(degree + 1)] for a in range(degree + 1)], dtype=float) for c in "sv")
+        c = np.array([r[f"t{a}"] for a in range(degree + 1)], dtype=float)
+        fits[i] = float(np.linalg.lstsq(A, c, rcond=None)[0][0])
+        one = np.linalg.pinv(A, hermitian=True)[0]
+        leverage[i], norm[i] = float(one[0]), float(one @ V @ one)
+    sigma2 = _residual_variance(per_x, grid, fits, leverage, n)
     out = []
     for i, g in enumerate(grid):
         r = sums.get(i)
-        if r is None:
-            out.append((i, g, None, 0, float(bw[i])))
-            continue
-        A = np.array([[r[f"s{a + b}"] for b in range(degree + 1)] for a in range(degree + 1)], dtype=float)
-        c = np.array([r[f"t{a}"] for a in range(degree + 1)], dtype=float)
-        beta = np.linalg.lstsq(A, c, rcond=None)[0]
-        out.append((i, g, float(beta[0]), int(r["n_local"]), float(bw[i])))
+        se = None if norm[i] is None or sigma2 is None else math.sqrt(max(sigma2 * norm[i], 0.0))
+        out.append((i, g, fits[i], se, int(r["n_local"]) if r else 0, float(bw[i])))
     return spark.createDataFrame(out, schema)
+
+
+def _residual_variance(per_x: DataFrame, grid, fits, leverage, n: int) -> float | None:
+    """RSS / (n - trace) of a curve known on an even grid, linear between its points."""
+    if len(grid) < 2 or any(f is None for f in fits) or grid[-1] <= grid[0]:
+        return None
+    place = (F.col("_x") - F.lit(grid[0])) / F.lit((grid[-1] - grid[0]) / (len(grid) - 1))
+    k = F.least(F.floor(place), F.lit(len(grid) - 2)).cast("int")
+    part = place - k
+
+    def between(values):
+        known = F.array(*map(F.lit, values))
+        return F.element_at(known, k + 1) * (F.lit(1.0) - part) + F.element_at(known, k + 2) * part
+
+    f = between(fits)
+    row = per_x.agg(F.sum(F.col("_syy") - F.lit(2.0) * f * F.col("_sy") + F.col("_n") * f * f).alias("rss"),
+                    F.sum(F.col("_n") * between(leverage)).alias("trace")).first()
+    return max(float(row["rss"]), 0.0) / (n - float(row["trace"])) if n > row["trace"] else None

@@ -280,7 +280,7 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
            methods: Sequence[str] = ("knn", "iterative", "rf"), remove_outliers: bool = True,
            outlier_threshold: float = 3.0, keep_method_columns: bool = False,
            rf_params: dict | None = None, gbm_params: dict | None = None, mice_rounds: int = 10,
-           mice_estimator: str = "gbm", parallelism: int = 4) -> DataFrame:
+           mice_estimator: str = "gbm", parallelism: int = 4, models_out: dict | None = None) -> DataFrame:
     """Fill the missing cells of ``targets`` (default: the five reference
     parameters present in ``df``; warn on partial absence, fail if none).
 
@@ -290,7 +290,8 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
     then assembled lazily: tree predictions are narrow transforms, kNN
     predictions one key join per target.  Returns ``df`` with the targets
     filled; with ``keep_method_columns`` the per-method predictions
-    ``<t>__<method>`` stay for comparison (N10).
+    ``<t>__<method>`` stay for comparison (N10).  ``models_out`` receives the fitted
+    forests and boosted trees as {(method, target): model}.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -322,6 +323,8 @@ def impute(df: DataFrame, key: str, targets: Sequence[str] | None = None,
     else:
         results = {k: fn() for k, fn in jobs.items()}
 
+    if models_out is not None:
+        models_out.update({k: r[0] for k, r in results.items() if k[0] in ("rf", "gbm") and r is not None})
     cur = results[("iterative", None)] if ("iterative", None) in results else base
     produced: dict[str, list[str]] = {t: [] for t in targets}
     if ("iterative", None) in results:
@@ -359,6 +362,16 @@ def evaluate_imputation(df: DataFrame, key: str, targets: Sequence[str], methods
     final value, and with ``per_method`` each method's own prediction is
     scored too.  A target needs > 10 hidden and >= 20 observed values.
     """
+    judged, usable = _judged(df, key, targets, methods, frac, per_method, **kwargs)
+    schema = "target string, method string, n bigint, mse double, rmse double, mae double, r2 double"
+    if judged is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return _metrics(judged, usable, methods if per_method else ())
+
+
+def _judged(df: DataFrame, key: str, targets: Sequence[str], methods: Sequence[str], frac: float, per_method: bool,
+            **kwargs) -> tuple[DataFrame | None, list[str]]:
+    """Rows imputed with part of the observed cells hidden, with ``<t>_truth`` and ``<t>_masked``; and the usable targets."""
     masked = df
     usable = []
     for t in targets:
@@ -367,19 +380,58 @@ def evaluate_imputation(df: DataFrame, key: str, targets: Sequence[str], methods
             usable.append(t)
         except ValueError:
             continue
-    schema = "target string, method string, n bigint, mse double, rmse double, mae double, r2 double"
     if not usable:
-        return df.sparkSession.createDataFrame([], schema)
+        return None, usable
     truth_cols = [f"{t}_truth" for t in usable] + [f"{t}_masked" for t in usable]
     masked = cut_lineage(masked.withColumn("_cell_row", F.monotonically_increasing_id().cast("string")))
     imputed = impute(masked.drop(*truth_cols), key, usable, methods, keep_method_columns=per_method, **kwargs)
-    judged = imputed.join(masked.select("_cell_row", *truth_cols), on="_cell_row")
-    cells = []
-    for t in usable:
-        cols = [("blend", t)] + ([(m, f"{t}__{m}") for m in methods if f"{t}__{m}" in judged.columns] if per_method else [])
-        cells += [F.struct(F.lit(t).alias("target"), F.lit(name).alias("method"), F.col(f"{t}_masked").alias("hidden"),
-                           F.col(f"{t}_truth").alias("truth"), F.col(q(c)).cast("double").alias("prediction"))
-                  for name, c in cols]
-    # every (target, method) is a row of one stacked frame: one aggregate scores them all
+    return imputed.join(masked.select("_cell_row", *truth_cols), on="_cell_row"), usable
+
+
+def _method_columns(judged: DataFrame, target: str, methods: Sequence[str]) -> list[tuple[str, str]]:
+    return [("blend", target)] + [(m, f"{target}__{m}") for m in methods if f"{target}__{m}" in judged.columns]
+
+
+def _metrics(judged: DataFrame, usable: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """Scores on the hidden cells; every (target, method) is a row of one stacked frame, one aggregate scores them all."""
+    cells = [F.struct(F.lit(t).alias("target"), F.lit(name).alias("method"), F.col(f"{t}_masked").alias("hidden"),
+                      F.col(f"{t}_truth").alias("truth"), F.col(q(c)).cast("double").alias("prediction"))
+             for t in usable for name, c in _method_columns(judged, t, methods)]
     stacked = judged.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("hidden")
     return regression_metrics(stacked, "truth", "prediction", by=["target", "method"])
+
+
+def imputation_report(df: DataFrame, key: str, targets: Sequence[str], methods: Sequence[str] = ("knn", "iterative", "rf"),
+                      frac: float = 0.1, points: int = 200, digits: int | None = 6, **kwargs) -> dict[str, DataFrame]:
+    """N9 + N10: what a reader of an imputation looks at, from one run with ``frac`` of the observed cells hidden.
+
+    * ``metrics``: (target, method, n, mse, rmse, mae, r2) on the hidden cells.
+    * ``densities``: (target, method, kind, idx, x, density); kind ``observed`` (the values left, method
+      ``observed``), ``imputed`` (a method's values in the real gaps) and ``error`` (prediction - truth on the hidden cells),
+      all in one aggregate of ``kde_by_group``.
+    * ``importances``: (target, method, feature, importance) of the forests and boosted trees.
+    """
+    from limnos.operators.smooth import kde_by_group
+
+    spark, models = df.sparkSession, {}
+    judged, usable = _judged(df, key, targets, methods, frac, True, models_out=models, **kwargs)
+    if judged is None:
+        raise ValueError("no target has enough observed values to hide some")
+    judged = cut_lineage(judged)
+    cells = []
+    for t in usable:
+        truth, hidden = F.col(f"{t}_truth").cast("double"), F.col(f"{t}_masked")
+        kinds = [("observed", "observed", F.when(~hidden, truth))]
+        for name, c in _method_columns(judged, t, methods):
+            value = F.col(q(c)).cast("double")
+            kinds += [(name, "imputed", F.when(truth.isNull(), value)), (name, "error", F.when(hidden, value - truth))]
+        cells += [F.struct(F.lit(t).alias("target"), F.lit(m).alias("method"), F.lit(k).alias("kind"), v.alias("value"))
+                  for m, k, v in kinds]
+    stacked = judged.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    rows = []
+    for (method, t), tm in sorted(models.items()):
+        share = tm.model.importances if tm.kind == "random_forest" else tm.regressor.featureImportances.toArray()
+        rows += [(t, method, f.removesuffix("__f"), float(v)) for f, v in zip(tm.vector_features, share, strict=True)]
+    return {"metrics": _metrics(judged, usable, methods),
+            "densities": kde_by_group(stacked, ["target", "method", "kind"], "value", points, digits=digits),
+            "importances": spark.createDataFrame(rows, "target string, method string, feature string, importance double")}

@@ -133,3 +133,34 @@ def q_impute_linear(spark, sf):
     from limnos.plans.impute import fill_model
     out = fill_model(B.events_wide(spark, sf), TARGET, FEATS, "linear", "__linear")
     return out.where(F.col(TARGET).isNull()).select(KEY, F.round(f"{TARGET}__linear", 6).alias(f"{TARGET}_linear"))
+
+
+SQL_DENSITIES = f"""
+with m as (select station_day, {TARGET} as truth,
+                  {TARGET} is not null and {B.sql_bucket('station_day', 1000, TARGET)} < 100 as hidden from {B.SQL_EVENTS_WIDE} x),
+mu as (select avg(truth) as mu from m where not hidden),
+c as (select 'observed' as method, 'observed' as kind, truth as v from m where truth is not null and not hidden
+      union all select 'mean', 'imputed', mu from m, mu where truth is null
+      union all select 'mean', 'error', mu - truth from m, mu where hidden),
+st as (select method, kind, count(v) as n, min(v) as lo, max(v) as hi,
+              case when min(v) < max(v) then stddev_samp(v) * power(count(v), -0.2) else 1.0 end as h from c group by method, kind),
+g as (select method, kind, n, h, range as idx, lo - 3.0 * h + range * (((hi + 3.0 * h) - (lo - 3.0 * h)) / 199) as x from range(200), st)
+select '{TARGET}' as target, g.method, g.kind, cast(idx as bigint) as idx, round(x, 6) as x,
+       round(sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) / (n * h * sqrt(2 * pi())), 6) as density
+from g join c on g.method = c.method and g.kind = c.kind group by g.method, g.kind, idx, x, n, h"""
+
+
+@register("imputation_densities", SQL_DENSITIES)
+def q_imputation_densities(spark, sf):
+    """N9 + N10: densities of observed values, of a mean fill's imputed ones and of its errors on hidden cells."""
+    from limnos.plans.impute import imputation_report
+    out = imputation_report(B.events_wide(spark, sf), KEY, [TARGET], methods=("mean",))["densities"]
+    return out.where(F.col("method") != "blend")
+
+
+@register("imputation_importances")
+def q_imputation_importances(spark, sf):
+    """Importances of the forests and boosted trees of every target's fill (boosting of 30 rounds)."""
+    from limnos.plans.impute import imputation_report
+    return imputation_report(B.events_wide(spark, sf), KEY, T, methods=("rf", "gbm"), rf_params={"num_trees": 50},
+                             gbm_params={"max_iter": 30})["importances"]

@@ -459,20 +459,27 @@ w as (select dist.idx, dist.gx, dist.x - dist.gx as u, dist.y, h.h,
       from dist join h on dist.idx = h.idx where dist.dd < h.h),
 s as (select idx, gx, h, count(*) as n_local, sum(wt) as s0, sum(wt * u) as s1, sum(wt * u * u) as s2,
              sum(wt * u * u * u) as s3, sum(wt * u * u * u * u) as s4, sum(wt * y) as t0, sum(wt * u * y) as t1,
-             sum(wt * u * u * y) as t2 from w group by idx, gx, h)
-select cast(idx as bigint) as idx, round(gx, 6) as x,
-       round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
-             / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)), 6) as fit,
-       n_local, round(h, 6) as bandwidth from s"""
+             sum(wt * u * u * y) as t2, sum(wt * wt) as v0, sum(wt * wt * u) as v1, sum(wt * wt * u * u) as v2,
+             sum(wt * wt * u * u * u) as v3, sum(wt * wt * u * u * u * u) as v4 from w group by idx, gx, h),
+det as (select *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) as det from s),
+a as (select *, (s2 * s4 - s3 * s3) / det as a0, -(s1 * s4 - s2 * s3) / det as a1, (s1 * s3 - s2 * s2) / det as a2 from det),
+f as (select *, a0 * t0 + a1 * t1 + a2 * t2 as fit,
+             v0 * a0 * a0 + 2 * v1 * a0 * a1 + v2 * (a1 * a1 + 2 * a0 * a2) + 2 * v3 * a1 * a2 + v4 * a2 * a2 as nrm from a),
+k as (select x, y, least(cast(floor((x - lo) / ((hi - lo) / 79)) as bigint), 78) as k, (x - lo) / ((hi - lo) / 79) as place from d, r),
+e as (select k.y - (l.fit * (1 - (place - k)) + u.fit * (place - k)) as res, l.a0 * (1 - (place - k)) + u.a0 * (place - k) as lev
+      from k join f l on l.idx = k.k join f u on u.idx = k.k + 1),
+v as (select sum(res * res) / (count(*) - sum(lev)) as sigma2 from e)
+select cast(idx as bigint) as idx, round(gx, 6) as x, round(fit, 6) as fit, round(sqrt(sigma2 * nrm), 6) as se,
+       n_local, round(h, 6) as bandwidth from f, v"""
 
 
 @register("loess_curve", SQL_LOESS)
 def q_loess_curve(spark, sf):
     """Local quadratic smooth of discount on quantity at 80 grid points (span 0.75, tricube,
-    exact q-th-nearest bandwidth by grouped selection)."""
+    exact q-th-nearest bandwidth by grouped selection) with its standard error."""
     from limnos.operators.smooth import loess_curve
     out = loess_curve(B.table(spark, sf, "lineitem"), "l_quantity", "l_discount")
-    return out.select("idx", F.round("x", 6).alias("x"), F.round("fit", 6).alias("fit"), "n_local",
+    return out.select("idx", F.round("x", 6).alias("x"), F.round("fit", 6).alias("fit"), F.round("se", 6).alias("se"), "n_local",
                       F.round("bandwidth", 6).alias("bandwidth"))
 
 

@@ -116,3 +116,23 @@ def test_knn_exact_in_six_dimensions_with_constant_leading_features(spark):
                       query_key="qkey").toPandas()
     exp = _brute(tr, qu, cols, 5)
     assert len(got) == 60 and max(abs(r.prediction - exp[r.qkey]) for r in got.itertuples()) < 1e-9
+
+
+def test_report_has_densities_and_importances(spark):
+    from limnos.plans.impute import imputation_report
+    rng = np.random.default_rng(12)
+    n = 300
+    a = rng.normal(size=n)
+    pdf = pd.DataFrame({"k": [str(i) for i in range(n)], "a": a, "b": 2 * a + 0.1 * rng.normal(size=n), "c": rng.normal(size=n)})
+    pdf.loc[rng.choice(n, 60, replace=False), "b"] = np.nan
+    out = imputation_report(frame(spark, pdf), "k", ["b"], methods=("rf", "mean"), rf_params={"num_trees": 10}, points=60)
+    scores = {r.method: r.r2 for r in out["metrics"].collect()}
+    assert scores["rf"] > 0.8 > scores["mean"]
+    dens = out["densities"].toPandas()
+    assert {(m, k) for m, k in zip(dens.method, dens.kind)} == {("observed", "observed")} | {
+        (m, k) for m in ("blend", "rf", "mean") for k in ("imputed", "error")}
+    for _, part in dens.groupby(["method", "kind"]):
+        part = part.sort_values("x")
+        assert len(part) == 60 and abs(np.trapezoid(part.density, part.x) - 1) < 0.02
+    imp = {(r.method, r.feature): r.importance for r in out["importances"].collect()}
+    assert imp["rf", "a"] > 0.9 and ("mean", "a") not in imp

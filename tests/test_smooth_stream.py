@@ -68,3 +68,31 @@ def test_densities_per_group_are_those_of_each_group(spark):
         want = [(x.x, x.density) for x in kde_grid(part, "v", points=30, digits=None).orderBy("idx").collect()]
         got = sorted((x.x, x.density) for x in out if (x.target, x.method) == (target, method))
         assert np.allclose(got, sorted(want), rtol=1e-12)
+
+
+def test_loess_standard_error_equals_the_smoother_matrix(spark):
+    import numpy as np
+
+    from limnos.operators.smooth import loess_curve
+    r = np.random.default_rng(7)
+    x = np.round(r.uniform(0, 10, 150), 1)
+    y = np.sin(x) + r.normal(size=150) * 0.3
+    out = loess_curve(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), "x", "y",
+                      points=25).orderBy("idx").toPandas()
+
+    def row(g, h):
+        w = np.clip(1 - (np.abs(x - g) / h) ** 3, 0, None) ** 3
+        b = np.column_stack([np.ones(150), x - g, (x - g) ** 2])
+        return np.linalg.solve(b.T @ (b * w[:, None]), (b * w[:, None]).T)[0]
+
+    rows = [row(g, h) for g, h in zip(out.x, out.bandwidth)]
+    assert np.allclose(out.fit, [l @ y for l in rows])
+    lev = []
+    for g, h in zip(out.x, out.bandwidth):
+        w = np.clip(1 - (np.abs(x - g) / h) ** 3, 0, None) ** 3
+        b = np.column_stack([np.ones(150), x - g, (x - g) ** 2])
+        lev.append(np.linalg.inv(b.T @ (b * w[:, None]))[0, 0])
+    trace = np.interp(x, out.x, lev).sum()
+    sigma2 = ((y - np.interp(x, out.x, out.fit)) ** 2).sum() / (150 - trace)
+    assert np.allclose(out.se, [np.sqrt(sigma2 * (l @ l)) for l in rows], rtol=1e-6)
+    assert 0.2 < np.sqrt(sigma2) < 0.4
