@@ -140,7 +140,7 @@ def level_cuts(edges: list[int], capacity: int, shards: int) -> list[int]:
 def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
                    grid: int = GRID) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row."""
-    rows = cut_lineage(digest_rows(docs, id_col, text_col))
+    rows = cut_lineage(digest_rows(docs, id_col, text_col).withColumn("number", F.monotonically_increasing_id()))
     groups = cut_lineage(group_table(rows))
     _, cuts = minimax_cuts(groups, shards, grid)
     # the last key of each shard; shards - 1 of them at most
@@ -154,16 +154,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
 
 
 def number_slots(placed: DataFrame, shards: int) -> DataFrame:
-    """``slot``: 0, 1, ... in each shard.  Rows are numbered in cells of a shard dealt by a
-    hash of the row, so neither a shard nor a group of copies is numbered by one task."""
+    """``slot``: 0, 1, ... in each shard.  Rows are numbered in cells of a shard dealt by the
+    ``number`` each row was written with, so neither a shard nor a group of copies, nor of rows that
+    repeat whole, is numbered by one task."""
     n = placed.count()
     cells = max(64, -(-n // (shards * SLOT_ROWS)))
-    dealt = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "key"), F.lit(cells)).cast("int"))
+    dealt = placed.withColumn("cell", F.pmod(F.xxhash64("number"), F.lit(cells)).cast("int"))
     counts = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = counts.select("shard", "cell", F.coalesce(F.sum("n").over(
         Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key", "size")) - 1
+    own = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key", "number")) - 1
     numbered = dealt.withColumn("own", own.cast("long"))
     return numbered.join(before, ["shard", "cell"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("own")).alias("slot"))

@@ -13,7 +13,7 @@ chosen by a hash, half of each class if there are enough; an offset fitted on
 documents held back puts the decision at 0.5, with classes weighted as in all
 labels.
 
-Defined results: NULL and empty texts score like a bag without evidence; rows
+Defined results: NULL and empty texts score like a clean bag without evidence; rows
 without a label, with a NULL id or a NULL label are not learnt from; an id
 labelled twice counts as toxic if any label says so; if one class is missing,
 every score is 0 (no toxic label) or 1; texts above about a quarter million
@@ -51,6 +51,8 @@ class Model:
 
     def __init__(self, evidence: np.ndarray, offset: float, slope: float = 1.0):
         self.evidence, self.offset, self.slope = evidence, offset, slope
+        #: What a text without words scores like: clean, or what every text is if one class is missing.
+        self.blank = 0.0 if offset < 0 or not evidence.any() else -2 * offset
 
     def score(self, top: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (top + self.offset), -60, 60)))
@@ -238,7 +240,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 mean = np.full(len(size), -np.inf)
                 np.divide(total, size, out=mean, where=size > 0)
                 np.maximum.at(top, np.array(own), mean.reshape(len(pieces), most).max(axis=1))
-            s = m.score(np.where(np.isfinite(top), top, 0.0 if m.offset < 0 else -2 * m.offset))
+            s = m.score(np.where(np.isfinite(top), top, m.blank))
             cols = [batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             names = ["doc_id", "score", "predicted"]
             if keep is not None:

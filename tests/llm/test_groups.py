@@ -56,6 +56,22 @@ def test_shards(spark):
     assert sharding.shard_by_bytes(df.limit(0), 24).count() == 0
 
 
+def test_rows_that_repeat_whole_are_numbered_in_many_cells(spark, monkeypatch):
+    seen = {}
+    number = sharding.number_slots
+
+    def watched(placed, shards):
+        from pyspark.sql import functions as F
+        seen["cells"] = placed.select(F.pmod(F.xxhash64("number"), F.lit(64))).distinct().count()
+        return number(placed, shards)
+
+    monkeypatch.setattr(sharding, "number_slots", watched)
+    df = spark.createDataFrame([(7, "one text")] * 3000, "doc_id long, text string").repartition(3)
+    rows = sharding.shard_by_bytes(df, 24).collect()
+    assert seen["cells"] == 64 and len({r["shard"] for r in rows}) == 1
+    assert sorted(r["slot"] for r in rows) == list(range(3000))
+
+
 def test_capacity_is_minimal(spark):
     r = random.Random(4)
     texts = ["y" * r.randint(0, 300) + str(i) for i in range(500)]

@@ -142,3 +142,15 @@ def test_nearest_small(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 2.0)]
     assert ann.nearest(few.limit(0), F.expr("true"), 10).count() == 0
     assert ann.nearest(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>"), F.expr("true"), 10).count() == 0
+
+
+def test_one_class_scores_every_text_alike(spark):
+    from limnos.llm import toxicity
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, ""), (4, "x" * 400_000), (1, "some words"), (None, "y")],
+                                 "doc_id long, text string")
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(1, toxic), (9, toxic), (None, 1 - toxic)], "doc_id long, toxic int")
+        rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+        assert len(rows) == 6 and {r["predicted"] for r in rows} == {toxic}
+        assert all(abs(r["score"] - toxic) < 1e-9 for r in rows)
+    assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
