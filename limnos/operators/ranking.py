@@ -52,14 +52,8 @@ def rank_within_groups(df: DataFrame, groups: Sequence[str] | str, order_col: st
         sizes: dict = {}
         for r in rows:
             sizes[r["_pid"]] = sizes.get(r["_pid"], 0) + r["_n"]
-        offsets, start = _offsets(sizes.items()), {}
-        for r in rows:
-            at = offsets[r["_pid"]] + r["_mid"] - (r["_pid"] << 33)
-            key = tuple(r[n] for n in named)
-            start[key] = min(at, start.get(key, at))
-        kinds = [f"{n} {placed.schema[c].dataType.simpleString()}" for n, c in zip(named, g)]
-        first = F.broadcast(df.sparkSession.createDataFrame(
-            [(*k, v) for k, v in start.items()], ", ".join([*kinds, "_first long"])))
+        offsets = _offsets(sizes.items())
+        first = F.broadcast(runs.groupBy(*named).agg(F.min_by(_position(offsets), F.col("_pid")).alias("_first")))
     else:
         runs = written(runs)
         offsets = _offsets(runs.groupBy("_pid").agg(F.sum("_n")).collect())
