@@ -1,7 +1,7 @@
 """Regressors, coefficient / importance tables and model persistence
 (M1-M12, M14, A9).
 
-Every model but the forest (``plans.forest``) is a Spark ML ``PipelineModel``:
+Every model but the forest (``plans.forest``) and ``boosted`` (``plans.boosting``) is a Spark ML ``PipelineModel``:
 
     [SQLTransformer: engineered terms]   (optional, e.g. degree-2 monomials)
     SQLTransformer: standardise          (train mean / population std as literals)
@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 from limnos.operators.features import fit_standardizer, polynomial_name, polynomial_terms
 from limnos.operators.metrics import regression_metrics
 from limnos.operators.profile import q
+from limnos.plans.boosting import BoostedModel, train_boosted
 from limnos.plans.forest import ForestModel, train_forest
 
+OWN_MODELS = {"random_forest": ForestModel, "boosted": BoostedModel}
 MODEL_KINDS = ("linear", "polynomial", "ridge", "lasso", "elastic_net", "random_forest", "gbm", "boosted")
 
 
@@ -65,7 +67,7 @@ class TrainedModel:
     """A fitted pipeline plus what is needed to use and describe it."""
     name: str
     kind: str
-    model: PipelineModel | ForestModel
+    model: PipelineModel | ForestModel | BoostedModel
     features: list[str]
     label: str
     vector_features: list[str] = field(default_factory=list)
@@ -86,7 +88,7 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
           standardize: bool = True, degree: int | None = None, alpha: float = 1.0, l1_ratio: float = 0.5,
           k_best: int | None = None, num_trees: int = 100, max_depth: int | None = None, min_instances: int = 1,
           min_split: int = 2, step_size: float = 0.1, max_iter: int = 100, subsampling: float = 1.0,
-          seed: int = 42) -> TrainedModel:
+          max_leaves: int | None = None, l2: float = 1.0, seed: int = 42) -> TrainedModel:
     """Fit one regressor (M1-M8) on ``df`` (rows with a null feature/label are dropped).
 
     * ``linear`` (M1): OLS, normal-equation solver.
@@ -100,7 +102,9 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
     * ``lasso`` (M4) / ``elastic_net`` (M5): mapped the same way.
     * ``random_forest`` (M6): all features per split (scikit-learn's regression default), grown to
       pure leaves without ``max_depth`` (see ``plans.forest``); trees need no scaler.
-    * ``gbm`` (M7), ``boosted`` (M8 re-aimed): ``GBTRegressor``.
+    * ``gbm`` (M7): ``GBTRegressor``.
+    * ``boosted`` (M8): second-order boosting; ``max_iter`` trees of depth ``max_depth`` (6 by default; without
+      limit if only ``max_leaves`` is given) grown best first up to ``max_leaves``.
     """
     if kind not in MODEL_KINDS:
         raise ValueError(f"unknown model kind {kind}; choose from {MODEL_KINDS}")
@@ -108,6 +112,12 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
     if kind == "random_forest":
         forest = train_forest(df, features, label, num_trees, max_depth, min_instances, min_split, seed)
         return TrainedModel(name or kind, kind, forest, features, label, features, {"num_trees": num_trees})
+    if kind == "boosted":
+        depth = 6 if max_depth is None and max_leaves is None else max_depth
+        trees = train_boosted(df, features, label, max_iter, step_size, depth, max_leaves, l2, min_instances,
+                              subsample=subsampling, seed=seed)
+        return TrainedModel(name or kind, kind, trees, features, label, features,
+                            {"max_iter": max_iter, "step_size": step_size, "max_depth": depth, "max_leaves": max_leaves})
     data = df.select(*[F.col(q(c)) for c in features], F.col(q(label))).na.drop()
     stages = []
     params: dict = {}
@@ -155,7 +165,7 @@ def train(df: DataFrame, features: Sequence[str], label: str, kind: str = "linea
         reg = LinearRegression(labelCol=label, regParam=big_r, elasticNetParam=(alpha * l1_ratio / big_r) if big_r else 0.0,
                                solver="normal", standardization=False)
         params.update(l1_ratio=l1_ratio)
-    else:  # gbm / boosted
+    else:  # gbm
         reg = GBTRegressor(labelCol=label, maxIter=max_iter, stepSize=step_size, maxDepth=3 if max_depth is None else max_depth,
                            minInstancesPerNode=min_instances, subsamplingRate=subsampling, seed=seed)
     stages.append(reg)
@@ -187,7 +197,7 @@ def coefficient_table(tm: TrainedModel, top: int | None = None) -> DataFrame:
 def importance_table(tm: TrainedModel) -> DataFrame:
     """Impurity importances of a tree model, largest first."""
     from pyspark.sql import SparkSession
-    imp = tm.model.importances if tm.kind == "random_forest" else tm.regressor.featureImportances.toArray()
+    imp = tm.model.importances if tm.kind in OWN_MODELS else tm.regressor.featureImportances.toArray()
     rows = sorted(((n.removesuffix("__z"), float(v)) for n, v in zip(tm.vector_features, imp)), key=lambda r: -r[1])
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
@@ -211,7 +221,7 @@ def original_scale_coefficients(tm: TrainedModel, stats: Mapping[str, tuple[floa
 
 def save_model(tm: TrainedModel, path: str, metrics: Mapping[str, float] | None = None) -> None:
     """Pipeline directory + one-row metadata table (name, kind, features, label, params, metrics)."""
-    if tm.kind == "random_forest":
+    if tm.kind in OWN_MODELS:
         tm.model.save(f"{path}/pipeline")
     else:
         tm.model.write().overwrite().save(f"{path}/pipeline")
@@ -228,7 +238,7 @@ def load_model(path: str) -> TrainedModel:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     row = spark.read.parquet(f"{path}/meta").collect()[0]
-    model = (ForestModel if row["kind"] == "random_forest" else PipelineModel).load(f"{path}/pipeline")
+    model = OWN_MODELS.get(row["kind"], PipelineModel).load(f"{path}/pipeline")
     return TrainedModel(row["name"], row["kind"], model, json.loads(row["features"]),
                         row["label"], json.loads(row["vector_features"]), json.loads(row["params"]))
 

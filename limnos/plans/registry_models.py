@@ -342,6 +342,61 @@ def q_weighted_step(spark, sf):
                                  "term string, coefficient double")
 
 
+def _sql_boosted_first_tree() -> str:
+    cells = """select {side} feature, v, sum(sum(g)) over w as gl, sum(count(*)) over w as hl,
+      sum(sum(g)) over t as tg, sum(count(*)) over t as th
+    from {rows} group by {side} feature, v
+    window w as (partition by {side} feature order by v), t as (partition by {side} feature)"""
+    gain = "gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1)"
+    return f"""
+with src as (select row_number() over () as i, cast(l_quantity as double) as l_quantity, cast(l_discount as double) as l_discount,
+               cast(l_tax as double) as l_tax, cast(l_extendedprice as double) / 10000 as y from lineitem),
+v as (select s.*, (select avg(y) from src) - y as g from src s),
+l as (select i, feature, v, g from v unpivot (v for feature in (l_quantity, l_discount, l_tax))),
+c as ({cells.format(side="", rows="l")}),
+top as (select *, {gain} as gain from c where hl < th order by gain desc, feature, v limit 1),
+side as (select v.i, case when case top.feature when 'l_quantity' then l_quantity when 'l_discount' then l_discount else l_tax end
+           <= top.v then 1 else 2 end as node from v, top),
+l2 as (select node, feature, v, g from l join side using (i)),
+c2 as ({cells.format(side="node,", rows="l2")}),
+nxt as (select *, {gain} as gain from c2 where hl < th order by gain desc, node, feature, v limit 1),
+both as (select 0 as node, feature, v, gain, gl, hl, tg, th from top union all select node, feature, v, gain, gl, hl, tg, th from nxt)
+select 0 as tree, cast(node as integer) as node, feature, v as threshold, round(gain, 4) as gain, cast(th as double) as n_rows,
+  round(-0.1 * gl / (hl + 1), 6) as left_value, round(-0.1 * (tg - gl) / (th - hl + 1), 6) as right_value from both"""
+
+
+def _boost_input(spark, sf):
+    return _li(spark, sf).withColumn("y", F.col("l_extendedprice").cast("double") / 10000)
+
+
+@register("boosted_first_tree", _sql_boosted_first_tree())
+def q_boosted_first_tree(spark, sf):
+    """M8: the first tree of second-order boosting, 3 leaves grown best first."""
+    from limnos.plans.boosting import train_boosted
+    model = train_boosted(_boost_input(spark, sf), ["l_quantity", "l_discount", "l_tax"], "y", rounds=1, max_depth=None, max_leaves=3)
+    return model.splits(spark).withColumns({"gain": F.round("gain", 4), "left_value": F.round("left_value", 6),
+                                            "right_value": F.round("right_value", 6)})
+
+
+@register("boosted_fit")
+def q_boosted_fit(spark, sf):
+    """M8: 50 trees of depth 3 on the 80% split; errors on both splits."""
+    from limnos.operators.metrics import regression_metrics
+    from limnos.operators.split import hash_split
+    from limnos.plans.models import train
+    data = hash_split(_boost_input(spark, sf), B.LINEITEM_KEY)
+    tm = train(data.where(F.col("split") == "train"), ["l_quantity", "l_discount", "l_tax"], "y", "boosted", max_iter=50, max_depth=3)
+    return regression_metrics(tm.transform(data), "y", "prediction", by="split")
+
+
+@register("tune_boosted")
+def q_tune_boosted(spark, sf):
+    """L4 / M8: number of trees and step of second-order boosting by 3-fold errors."""
+    from limnos.plans.tuning import grid_search
+    return grid_search(_boost_input(spark, sf), ["l_quantity", "l_discount", "l_tax"], "y", B.LINEITEM_KEY, "boosted",
+                       {"max_iter": [5, 10], "step_size": [0.1, 0.2]}, k=3, max_depth=3)
+
+
 @register("additive_fit")
 def q_additive_fit(spark, sf):
     """M9: hinge basis at 5 quantile knots per feature + ridge; adjusted R^2."""
@@ -357,6 +412,14 @@ def q_additive_fit(spark, sf):
                                  "n bigint, n_terms int, r2 double, adj_r2 double")
 
 
+@register("additive_smooth")
+def q_additive_smooth(spark, sf):
+    """M9: penalised splines of three measures, smoothness by REML; a row per smooth with the model's statistics."""
+    from limnos.plans.additive import fit_additive
+    model = fit_additive(_boost_input(spark, sf), ["l_quantity", "l_discount", "l_tax"], "y")
+    return model.terms(spark).withColumns({c: F.lit(v) for c, v in model.summary.items()})
+
+
 def _sql_basic_vs_enhanced() -> str:
     from limnos.plans.sql_ridge import grid_ctes
     grid = grid_ctes("r", ENGINEERED_SQL, ENGINEERED, "revenue", "part", 5, _grid_points(0, 4) + " union all " + _grid_points(5, 5))
