@@ -21,6 +21,9 @@ Plan, all DataFrame operations:
    moves to the level whose block covers its current k-th distance (a
    bound on the true one); each round's results are checkpointed.
 
+With more features than the grid has axes, cells on a few axes prune little: ``knn_pivots`` then
+partitions the training vectors around pivots and bounds the full distance (see there).
+
 The per-query window holds only that query's candidates.  No candidate cap
 is applied: the band grows until the result is provably exact.
 """
@@ -30,6 +33,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +55,12 @@ def _cells(prefix: str, coords: Sequence[str], width) -> list:
     return [F.floor(F.col(c) / width).cast("bigint").alias(f"{prefix}{i}") for i, c in enumerate(coords)]
 
 
+def _collapsed(tr: DataFrame, tcols: Sequence[str], k: int) -> DataFrame:
+    """Distinct vectors with at most k members each (the smallest keys)."""
+    members = topk_per_group(tr, tcols, "_tk", k, descending=False, out="_mr")
+    return members.groupBy(*tcols).agg(F.collect_list(F.struct("_tk", "_y")).alias("_members"))
+
+
 def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence[str], label: str, k: int,
                 query_key: str | None = None, grid_dims: int = 4, max_cells: int = 729, max_rounds: int = 60,
                 checkpoint: bool = True, tie_digits: int = 12, cell_load: int = 4) -> DataFrame:
@@ -78,6 +89,8 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     """
     qkey = query_key or key
     feats = list(features)
+    if len(feats) > grid_dims:
+        return knn_pivots(train, query, key, feats, label, k, qkey, tie_digits, checkpoint=checkpoint).drop("n_candidates")
     dims = min(grid_dims, len(feats))
     tr = train.select(F.col(q(key)).alias("_tk"), *[F.col(q(f)).alias(f"_t{i}") for i, f in enumerate(feats)],
                       F.col(q(label)).cast("double").alias("_y"))
@@ -86,16 +99,9 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     qcols = [f"_q{i}" for i in range(len(feats))]
 
     # 1. collapse duplicate vectors, keep <= k members (smallest keys) per vector
-    members = topk_per_group(tr, tcols, "_tk", k, descending=False, out="_mr")
-    groups = members.groupBy(*tcols).agg(F.collect_list(F.struct("_tk", "_y")).alias("_members"))
+    groups = _collapsed(tr, tcols, k)
     if checkpoint:
         groups = cut_lineage(groups)
-    if len(tcols) > dims:
-        # grid the most varied dimensions (distance does not depend on the order)
-        nd = groups.agg(*[F.approx_count_distinct(c).alias(c) for c in tcols]).collect()[0]
-        order = sorted(range(len(tcols)), key=lambda i: -nd[tcols[i]])
-        tcols = [tcols[i] for i in order]
-        qcols = [qcols[i] for i in order]
     stats = groups.agg(F.count(F.lit(1)).alias("ng"),
                        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(tcols[:dims])],
                        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(tcols[:dims])]).collect()[0]
@@ -200,3 +206,127 @@ def knn_regress(train: DataFrame, query: DataFrame, key: str, features: Sequence
     for p in settled_parts[1:]:
         out = out.unionByName(p)
     return out.join(keys, "_qk").select(F.col("_key").alias(qkey), "prediction", "n_neighbors", "kth_distance")
+
+
+# ------------------------------------------------------------ many features: pivots
+
+MAX_PIVOTS = 2048
+SLICE = 4096            # vectors of a cell that one join key holds
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """(rows, pivots) Euclidean distances, a pivot at a time: no cancellation, memory rows x pivots."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def knn_pivots(train: DataFrame, query: DataFrame, key: str, features: Sequence[str], label: str, k: int,
+               query_key: str | None = None, tie_digits: int = 12, pivots: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """Exact kNN regression over many features -> (query_key, prediction, n_neighbors, kth_distance, n_candidates).
+
+    Ranking, ties, weights and odd rows are those of ``knn_regress``.  Distinct training vectors belong to the nearest of
+    ``pivots`` vectors chosen by hash (the square root of their number, 2048 at most), which makes cells of known radii.
+
+    1. A query reads the cells of its nearest pivots until they hold k vectors; the k-th distance t found there
+       bounds the true one.
+    2. It then reads the cells that can hold anything within t: for a cell of pivot p with radii from a to b, every member is at
+       least max(d(q,p) - b, a - d(q,p), (d(q,p) - d(q,p0)) / 2) away, p0 being the query's nearest pivot.  Inside a cell only
+       vectors whose own radius is within t of d(q,p) are compared.
+
+    All features enter the bounds, two rounds always suffice, and ``n_candidates`` counts the vectors compared in the second.
+    A large cell is cut into slices by hash, so no join key holds more than about 4096 vectors."""
+    qkey, feats = query_key or key, list(features)
+    spark = train.sparkSession
+    tcols, qcols = [f"_t{i}" for i in range(len(feats))], [f"_q{i}" for i in range(len(feats))]
+    tr = train.select(F.col(q(key)).alias("_tk"), *[F.col(q(f)).cast("double").alias(c) for f, c in zip(feats, tcols)],
+                      F.col(q(label)).cast("double").alias("_y"))
+    qu = query.select(F.col(q(qkey)).alias("_key"), F.monotonically_increasing_id().alias("_qk"),
+                      *[F.col(q(f)).cast("double").alias(c) for f, c in zip(feats, qcols)])
+    qu = cut_lineage(qu) if checkpoint else qu
+    groups = _collapsed(tr, tcols, k)
+    groups = cut_lineage(groups) if checkpoint else groups
+    n = groups.count()
+    if n == 0:
+        return qu.select(F.col("_key").alias(qkey), F.lit(None).cast("double").alias("prediction"), F.lit(0).cast("bigint").alias("n_neighbors"),
+                         F.lit(None).cast("double").alias("kth_distance"), F.lit(0).cast("bigint").alias("n_candidates"))
+    wanted = pivots or max(1, min(MAX_PIVOTS, math.isqrt(n)))
+    centres = np.array([list(r) for r in groups.select(*tcols).orderBy(F.xxhash64(*tcols), *tcols).limit(wanted).collect()], float)
+
+    @F.pandas_udf("struct<p:int,r:double>")
+    def nearest(*cols: pd.Series) -> pd.DataFrame:
+        x = np.stack([c.to_numpy(float) for c in cols], axis=1)
+        at, best = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
+        for p, centre in enumerate(centres):
+            d = np.sqrt(((x - centre) ** 2).sum(axis=1))
+            at, best = np.where(d < best, p, at), np.minimum(d, best)
+        return pd.DataFrame({"p": at.astype(np.int32), "r": best})
+
+    placed = groups.withColumn("_at", nearest(*tcols)).select(*tcols, "_members", F.col("_at.p").alias("_p"), F.col("_at.r").alias("_r"))
+    placed = cut_lineage(placed) if checkpoint else placed
+    cells = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("a"), F.max("_r").alias("b")).collect()
+    size, least, most = np.zeros(len(centres), np.int64), np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+    for c in cells:
+        size[c["_p"]], least[c["_p"]], most[c["_p"]] = c["n"], c["a"], c["b"]
+    slices = np.maximum(1, -(-size // SLICE)).astype(np.int32)
+    found = "array<struct<p:int,d:double,slices:int>>"
+
+    def listed(cols, chosen):
+        """The cells chosen for every row; 512 rows' distances to all pivots at a time."""
+        x, out = np.stack([c.to_numpy(float) for c in cols], axis=1), []
+        for lo in range(0, len(x), 512):
+            d = _distances(x[lo:lo + 512], centres)
+            out += [[{"p": int(p), "d": float(row[p]), "slices": int(slices[p])} for p in np.flatnonzero(held)]
+                    for held, row in zip(chosen(d, lo), d, strict=True)]
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(found)
+    def first_cells(*cols: pd.Series) -> pd.Series:
+        def chosen(d, _):
+            order = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(size[order], axis=1) - size[order]       # vectors in the nearer cells
+            keep = np.zeros(d.shape, bool)
+            np.put_along_axis(keep, order, (before < k) & (size[order] > 0), axis=1)
+            return keep
+        return listed(cols, chosen)
+
+    @F.pandas_udf(found)
+    def all_cells(within: pd.Series, *cols: pd.Series) -> pd.Series:
+        reach = within.to_numpy(float)
+
+        def chosen(d, lo):
+            low = np.maximum(np.maximum(d - most, least - d), (d - d.min(axis=1, keepdims=True)) / 2)
+            return (low <= reach[lo:lo + len(d), None]) & (size > 0)
+        return listed(cols, chosen)
+
+    ways = spark.createDataFrame([(int(p), int(s)) for p, s in enumerate(slices)], "_p int, _ways int")
+    dealt = placed.join(F.broadcast(ways), "_p").withColumn("_slice", F.pmod(F.xxhash64(*tcols), F.col("_ways")).cast("int"))
+
+    def compared(queries: DataFrame, chosen) -> DataFrame:
+        reads = queries.withColumn("_c", F.explode(chosen)).select(
+            *queries.columns, F.col("_c.p").alias("_p"), F.col("_c.d").alias("_pd"),
+            F.explode(F.sequence(F.lit(0), F.col("_c.slices") - 1)).alias("_slice"))
+        near = reads.join(dealt, ["_p", "_slice"]).where(F.abs(F.col("_pd") - F.col("_r")) <= F.col("_within"))
+        return near.select("_qk", _dist(qcols, tcols).alias("_d"), "_members")
+
+    def best(near: DataFrame) -> DataFrame:
+        rows = near.select("_qk", "_d", F.explode("_members").alias("_mem"))
+        w_q = Window.partitionBy("_qk").orderBy(F.round("_d", tie_digits), F.col("_mem._tk"))
+        return rows.withColumn("_rank", F.row_number().over(w_q)).where(F.col("_rank") <= k)
+
+    start = qu.withColumn("_within", F.lit(float("inf")))
+    bound = best(compared(start, first_cells(*qcols))).groupBy("_qk").agg(F.max("_d").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    # room for rounding and for ties; fewer than k found: every cell is read
+    room = F.when(F.col("_n") >= k, F.col("_t") * (1 + 1e-9) + 4 * 10.0 ** -tie_digits).otherwise(F.lit(float("inf")))
+    second = qu.join(bound, "_qk").withColumn("_within", room).select(*qu.columns, "_within")
+    second = cut_lineage(second) if checkpoint else second
+    near = compared(second, all_cells("_within", *qcols))
+    near = cut_lineage(near) if checkpoint else near
+    zero = F.col("_d") == 0
+    out = best(near).groupBy("_qk").agg(
+        F.count(F.lit(1)).alias("n_neighbors"), F.max("_d").alias("kth_distance"), F.count_if(zero).alias("_nz"),
+        F.sum(F.when(zero, F.col("_mem._y"))).alias("_yz"), F.sum(F.when(~zero, F.col("_mem._y") / F.col("_d"))).alias("_yw"),
+        F.sum(F.when(~zero, F.lit(1.0) / F.col("_d"))).alias("_w"))
+    counts = near.groupBy("_qk").agg(F.count(F.lit(1)).alias("n_candidates"))
+    pred = F.when(F.col("_nz") > 0, F.col("_yz") / F.col("_nz")).otherwise(F.col("_yw") / F.col("_w"))
+    return (qu.select("_qk", "_key").join(out, "_qk").join(counts, "_qk")
+            .select(F.col("_key").alias(qkey), pred.alias("prediction"), F.col("n_neighbors").cast("bigint").alias("n_neighbors"),
+                    "kth_distance", "n_candidates"))

@@ -360,9 +360,9 @@ side as (select v.i, case when case top.feature when 'l_quantity' then l_quantit
 l2 as (select node, feature, v, g from l join side using (i)),
 c2 as ({cells.format(side="node,", rows="l2")}),
 nxt as (select *, {gain} as gain from c2 where hl < th order by gain desc, node, feature, v limit 1),
-both as (select 0 as node, feature, v, gain, gl, hl, tg, th from top union all select node, feature, v, gain, gl, hl, tg, th from nxt)
+taken as (select 0 as node, feature, v, gain, gl, hl, tg, th from top union all select node, feature, v, gain, gl, hl, tg, th from nxt)
 select 0 as tree, cast(node as integer) as node, feature, v as threshold, round(gain, 4) as gain, cast(th as double) as n_rows,
-  round(-0.1 * gl / (hl + 1), 6) as left_value, round(-0.1 * (tg - gl) / (th - hl + 1), 6) as right_value from both"""
+  round(-0.1 * gl / (hl + 1), 6) as left_value, round(-0.1 * (tg - gl) / (th - hl + 1), 6) as right_value from taken"""
 
 
 def _boost_input(spark, sf):
