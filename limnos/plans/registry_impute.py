@@ -73,6 +73,29 @@ select station_day, coalesce({TARGET},
        cast(round_even(cast(cast(v as varchar) as decimal(38, 15)), 2) as double)) as {TARGET} from bl""")
 
 
+AXES = [f"e{i}" for i in range(10)]
+_SPREAD = ", ".join(f"(qr.{a} - tr.{a}) * (qr.{a} - tr.{a})" for a in AXES).replace(", ", " + ")
+
+
+@register("knn_many_features", f"""
+with e as (select vec_id, {", ".join(f"cast(embedding[{i + 1}] as double) as {a}" for i, a in enumerate(AXES))},
+             cast(embedding[11] as double) as y, {B.sql_bucket(B.sql_key("vec_id"), 100)} < 80 as held from embeddings
+           where {" and ".join(f"embedding[{i + 1}] is not null" for i in range(11))}),
+d as (select qr.vec_id, tr.vec_id as tk, tr.y, sqrt({_SPREAD}) as dist from e qr, e tr where not qr.held and tr.held),
+r as (select *, row_number() over (partition by vec_id order by round(dist, 12), tk) as rn from d)
+select vec_id, round(case when count(*) filter (where dist = 0) > 0 then avg(y) filter (where dist = 0)
+         else sum(y / dist) filter (where dist > 0) / sum(1 / dist) filter (where dist > 0) end, 6) as prediction,
+  count(*) as n_neighbors, round(max(dist), 6) as kth_distance from r where rn <= 20 group by vec_id""")
+def q_knn_many_features(spark, sf):
+    """20 nearest by ten features, searched by pivot cells; the test split's eleventh entry predicted."""
+    from limnos.operators.neighbors import knn_regress
+    from limnos.operators.split import hash_split
+    cols = [F.get("embedding", i).cast("double").alias(c) for i, c in enumerate([*AXES, "y"])]
+    e = hash_split(B.table(spark, sf, "embeddings").select("vec_id", *cols).na.drop(subset=[*AXES, "y"]), "vec_id")
+    found = knn_regress(e.where("split = 'train'"), e.where("split = 'test'"), "vec_id", AXES, "y", 20)
+    return found.withColumns({"prediction": F.round("prediction", 6), "kth_distance": F.round("kth_distance", 6)})
+
+
 @register("impute_blend", _sql_blend())
 def q_impute_blend(spark, sf):
     """N7 + N8: blend of kNN and mean fills by missing-ratio weights, clipped to the observed
