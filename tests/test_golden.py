@@ -51,3 +51,13 @@ def test_complete_rows_reproduce_ph_table(spark):
     exp = read_measurements(spark, PH)
     assert got.count() == 204
     assert got.exceptAll(exp.select(cols)).count() == 0 and exp.select(cols).exceptAll(got).count() == 0
+
+
+def test_additive_smooths_come_near_the_published_summary(spark):
+    """Another spline basis than the published fit's: statistics come near, the straight smooth is straight."""
+    from limnos.plans.additive import fit_additive
+    df = read_measurements(spark, PH)
+    model = fit_additive(df, ["water_temp_celcius", "chl_a_mg_L", "pH"], "doxy_mg_L")
+    assert model.summary["n"] == 204 and abs(model.intercept - 9.50407) < 1e-5
+    assert abs(model.summary["deviance_explained"] - 0.632) < 0.015 and abs(model.summary["adj_r2"] - 0.613) < 0.015
+    assert abs(model.edf[0] - 1.0) < 0.01 and 3 < model.edf[1] < 5 and 3 < model.edf[2] < 6
