@@ -49,3 +49,27 @@ def test_few_rows_none_and_repeated_keys(spark):
     assert [(r["id"], round(r["prediction"], 9), r["n_neighbors"]) for r in rows] == [(7, 1.0, 2), (8, 2.0, 2), (8, 2.0, 2)]
     empty = knn_pivots(train.where("id > 9"), query, "id", feats, "y", 4).collect()
     assert len(empty) == 3 and all(r["prediction"] is None and r["n_neighbors"] == 0 for r in empty)
+
+
+@pytest.mark.parametrize("dims", [3, 8])
+def test_what_is_written_follows_queries_not_pairs(spark, monkeypatch, dims):
+    rng = np.random.default_rng(dims)
+    feats, sizes = [f"f{i}" for i in range(dims)], []
+    plain = neighbors.written
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+    monkeypatch.setattr(neighbors, "written", counted)
+    monkeypatch.setattr(neighbors, "FRAGMENT", 300)
+    x = rng.normal(0, 1, (1200, dims))
+    train = pd.DataFrame(x, columns=feats).assign(y=rng.normal(0, 1, 1200), id=np.arange(1200))
+    query = pd.DataFrame(rng.normal(0, 1, (100, dims)), columns=feats).assign(id=np.arange(100))
+    query.loc[3, "f0"] = None                         # finds nothing and hides nothing
+    got = knn_regress(frame(spark, train), frame(spark, query), "id", feats, "y", 5).toPandas()
+    want = brute(train, query.drop(index=3), feats, 5)
+    assert sorted(got["id"]) == sorted(want)
+    assert max(abs(r.prediction - want[r.id][0]) for r in got.itertuples()) < 1e-9
+    # vectors, queries, and per query and fragment at most k found and a count
+    assert max(sizes) <= max(1200, 100 * 4 * (5 + 1))
