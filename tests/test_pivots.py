@@ -73,3 +73,20 @@ def test_what_is_written_follows_queries_not_pairs(spark, monkeypatch, dims):
     assert max(abs(r.prediction - want[r.id][0]) for r in got.itertuples()) < 1e-9
     # vectors, queries, and per query and fragment at most k found and a count
     assert max(sizes) <= max(1200, 100 * 4 * (5 + 1))
+
+
+def test_fragments_are_copied_for_queries_not_for_small_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    feats, moved = ["a", "b", "c"], []
+    train = spark.createDataFrame(pd.DataFrame(rng.normal(0, 1, (6000, 3)), columns=feats).assign(y=0.5, id=np.arange(6000)))
+    query = spark.createDataFrame(pd.DataFrame(rng.normal(0, 1, (24000, 3)), columns=feats).assign(id=np.arange(24000)))
+    kind = type(train)
+    plain = kind.repartitionById
+
+    def counted(df, *args):
+        moved.append(df.where("not asks").count())
+        return plain(df, *args)
+    monkeypatch.setattr(kind, "repartitionById", counted)
+    assert knn_regress(train, query, "id", feats, "y", 5).where("abs(prediction - 0.5) < 1e-9").count() == 24000
+    # a copy for each task, or as many as there are queries to a vector
+    assert len(moved) == 2 and max(moved) <= 6000 * max(4, spark.sparkContext.defaultParallelism)
