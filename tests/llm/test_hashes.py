@@ -59,3 +59,22 @@ def test_thue_morse_pieces_and_foreign_pieces_in_the_table(name):
     assert right([a, b]) and right([b, a]) and right(["some words here", "other words"])
     enc.piece[:] = "another piece"      # as if every key had collided
     assert right(["some words here", "new ones", a, ""])
+
+
+def test_table_of_pieces_grows_at_its_ends(monkeypatch):
+    """Work on new pieces follows their number, not that of all pieces held: the places of held ones never move."""
+    from limnos.llm import tokens
+    from limnos.llm.queries import vocabulary
+
+    enc = tokens.TextEncoder(tokens.read_tokenizer(vocabulary("byte_bpe_50k.json")))
+    words = [f"w{k * 7919 % 99991} {'é' if k % 3 else 'b'}{k}x" for k in range(6000)]
+    texts = [" ".join(words[k:k + 300]) for k in range(0, 6000, 300)]
+    enc.encode(texts[:10])
+    held = enc.piece[:len(enc.keys)].tolist()
+    ids, counts = enc.encode(texts)
+    assert enc.piece[:len(held)].tolist() == held and len(enc.keys) > len(held)
+    whole = enc._plain(texts)
+    assert counts.tolist() == [len(x) for x in whole] and ids.tolist() == [i for x in whole for i in x.tolist()]
+    monkeypatch.setattr(tokens, "MAX_PIECES", 500)      # the table starts anew again and again
+    ids, _ = enc.encode(texts)
+    assert ids.tolist() == [i for x in whole for i in x.tolist()]
