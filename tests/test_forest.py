@@ -132,3 +132,26 @@ def test_model_roundtrip_nulls_and_importance(spark, data, tmp_path):
     assert got[1] is None and got[2] is not None
     with pytest.raises(ValueError):
         train(df.limit(0), ["a"], "y", "random_forest")
+
+
+def test_scoring_moves_a_row_per_group_of_trees(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (4000, 3))
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=x[:, 0] * 2 + np.sin(3 * x[:, 1]), id=np.arange(4000))
+    pdf.loc[::50, "b"] = np.nan
+    df = frame(spark, pdf)
+    model = forest.train_forest(df, ["a", "b", "c"], "y", 12, max_depth=6, region_rows=500, seed=3)
+    assert all(len(t.feature) > 1 for t in model.tops)
+    kind, moved = type(df), []
+    plain = kind.repartitionById
+
+    def counted(self, *args):
+        moved.append(self.where("not is_node").count())
+        return plain(self, *args)
+    monkeypatch.setattr(kind, "repartitionById", counted)
+    grouped = {r["id"]: r["prediction"] for r in model.transform(df).collect()}
+    monkeypatch.setattr(forest, "HELD_BYTES", 0)        # no tree fits a task: rows go to regions
+    by_region = {r["id"]: r["prediction"] for r in model.transform(df).collect()}
+    assert moved[1] == 12 * 3920 and moved[0] <= moved[1] / 2
+    assert len(grouped) == len(by_region) == 4000 and sum(v is None for v in grouped.values()) == 80
+    assert all(v is by_region[k] or abs(v - by_region[k]) < 1e-12 for k, v in grouped.items())
