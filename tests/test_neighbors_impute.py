@@ -136,3 +136,20 @@ def test_report_has_densities_and_importances(spark):
         assert len(part) == 60 and abs(np.trapezoid(part.density, part.x) - 1) < 0.02
     imp = {(r.method, r.feature): r.importance for r in out["importances"].collect()}
     assert imp["rf", "a"] > 0.9 and ("mean", "a") not in imp
+
+
+def test_fills_of_rows_are_not_broadcast(spark):
+    """A fill has a row per gap: it is joined by sorting, also where it is still small."""
+    from limnos.plans.impute import impute
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 3))
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(id=[f"r{i}" for i in range(400)])
+    pdf.loc[::4, "a"] = np.nan
+    out = impute(frame(spark, pdf), "id", ["a"], methods=("knn", "rf", "iterative", "mean"), mice_estimator="linear", mice_rounds=2,
+                 rf_params={"num_trees": 5, "max_depth": 4})
+    rows = out.toPandas()
+    assert len(rows) == 400 and rows["a"].notna().all()
+    hints = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in hints.splitlines() if "Join LeftOuter" in x and "_row_id" in x]
+    assert len(joins) == 3 and all("strategy=merge" in x for x in joins)
