@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from limnos.llm.runtime import ship
+from limnos.llm.runtime import release_memory, ship
 from limnos.llm.tokens import encoder, read_tokenizer
 
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -120,6 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     def run(batches):
         from pyspark import TaskContext
 
+        release_memory()
         enc = encoder(spec)
         sequence = TaskContext.get().partitionId() << 33
         held = []

@@ -131,3 +131,25 @@ def test_token_files(spark, tmp_path):
     assert sorted((r["doc_id"], zlib.crc32(bytes(r["ids"]))) for r in got) == crc
     none = bitplane.write_tokens(df.limit(0), path, folder=f"file://{tmp_path}/none")
     assert bitplane.read_tokens(spark, none).count() == 0
+
+
+def test_freed_memory_of_a_worker_goes_back():
+    import ctypes
+    import os
+
+    import pytest
+    from limnos.llm.runtime import release_memory
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("not glibc")
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    held = [bytes(4000) for _ in range(25_000)]
+    last = held[::5000]          # what is still in use keeps the memory around it with the process
+    last.append(bytes(4000))
+    held.clear()
+    before = resident()
+    release_memory()
+    assert len(last) == 6 and before - resident() > 40_000_000
