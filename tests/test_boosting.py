@@ -117,3 +117,27 @@ def test_round_trip_importances_and_grid(spark, data, tmp_path):
     found = grid_search(df, ["a", "b c", "d"], "y", "k", "boosted", {"max_iter": [1, 2], "max_leaves": [3]}, k=2).collect()
     alone = grid_search(df, ["a", "b c", "d"], "y", "k", "boosted", {"max_iter": [2], "max_leaves": [3]}, k=2).first()
     assert len(found) == 2 and found[0]["params"] == alone["params"] and found[0]["mean_mse"] == alone["mean_mse"]
+
+
+def test_bins_of_several_values_are_split_where_the_gain_is_best(spark):
+    rng = np.random.default_rng(11)
+    x = np.stack([rng.random(3000), np.round(rng.normal(0, 5, 3000), 1), rng.integers(0, 4, 3000)], axis=1)
+    x[:5, 1] = 1e6                                  # a rare value beyond the last quantile
+    y = 2.0 * (x[:, 0] > 0.30007) + (x[:, 1] > 2.25) * x[:, 2] + 9.0 * (x[:, 1] > 900) + rng.normal(0, 0.3, 3000)
+    df = frame(spark, pd.DataFrame(x, columns=["a", "b", "c"]).assign(y=y, k=np.arange(3000))).repartition(5).cache()
+    for leaves, depth in ((6, None), (None, 2)):
+        model = boosting.train_boosted(df, ["a", "b", "c"], "y", rounds=3, step=0.3, max_depth=depth, max_leaves=leaves, bins=8,
+                                       refresh=2)
+        _, want = brute_boost(x, y, lambda n: np.ones(len(y)), 3, 0.3, leaves, depth, 1.0)
+        got = model.transform(df).orderBy("k").toPandas()["prediction"].to_numpy()
+        assert np.allclose(got, want, atol=1e-9)
+        assert any(not np.isnan(c) for t in model.trees for c in t.cut)
+    cuts = {r["threshold"] for r in model.splits(spark).where("feature = 'a'").collect()}
+    assert cuts <= set(x[:, 0])
+
+
+def test_few_values_per_bin_need_no_second_pass(spark, data, monkeypatch):
+    df, _, _ = data
+    monkeypatch.setattr(boosting, "_inside", None)
+    model = boosting.train_boosted(df, ["a", "b c", "d"], "y", rounds=1, max_depth=3)
+    assert all(np.isnan(c) for c in model.trees[0].cut) and len(model.trees[0].feature) > 3
