@@ -1,5 +1,7 @@
 """Forests: exact trees against a brute-force one, both phases, scoring and persistence."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -155,3 +157,50 @@ def test_scoring_moves_a_row_per_group_of_trees(spark, monkeypatch):
     assert moved[1] == 12 * 3920 and moved[0] <= moved[1] / 2
     assert len(grouped) == len(by_region) == 4000 and sum(v is None for v in grouped.values()) == 80
     assert all(v is by_region[k] or abs(v - by_region[k]) < 1e-12 for k, v in grouped.items())
+
+
+def test_parts_of_a_tree_equal_brute_force(monkeypatch):
+    x, y = table(n=900, seed=4)
+    w = np.random.default_rng(6).poisson(1.0, len(y)).astype(float)
+    tree = brute_tree(x[w > 0], y[w > 0], w[w > 0])
+    for rows in (1, 40, 10 ** 6):
+        monkeypatch.setattr(forest, "PART_ROWS", rows)
+        nodes = forest.grow(x, y, w)
+        assert (nodes.right[nodes.feature >= 0] == nodes.left[nodes.feature >= 0] + 1).all()
+        for chunk in (7, 1 << 14):
+            monkeypatch.setattr(forest, "CHUNK_ROWS", chunk)
+            assert np.allclose(nodes.value[nodes.leaf_of(x)], [brute_predict(tree, row) for row in x], atol=1e-9)
+
+
+def test_first_rows_are_scored_without_writing_trees(data):
+    x, y, df = data
+    model = forest.train_forest(df, ["a", "b", "c"], "y", 5, seed=9)
+    first = predictions(model, df.repartition(3))
+    assert not os.path.exists(model.path) and abs(sum(model.importances) - 1) < 1e-9
+    shares = model.importances
+    again = predictions(model, df)                  # trees that are asked for again are written
+    assert os.path.exists(model.path) and np.allclose(first, again, atol=1e-9)
+    assert np.allclose(model.importances, shares, atol=1e-12)
+    alone = forest.train_forest(df, ["a", "b", "c"], "y", 5, seed=9)
+    assert np.allclose(alone.importances, shares, atol=1e-12) and not os.path.exists(alone.path)
+
+
+def test_rows_that_a_task_holds_are_split_exactly(data, monkeypatch):
+    x, y, df = data
+    monkeypatch.setattr(forest, "REGION_ROWS", 60)
+    tree = brute_tree(x, y, np.ones(len(y)))
+    model = forest.train_forest(df, ["a", "b", "c"], "y", 2, bootstrap=False, bins=4)
+    assert np.allclose(predictions(model, df), [brute_predict(tree, row) for row in x], atol=1e-9)
+    monkeypatch.setattr(forest, "HELD_CELLS", 900)      # too many for a task: tops and regions as before
+    model = forest.train_forest(df, ["a", "b", "c"], "y", 2, bootstrap=False, bins=4)
+    assert all(len(t.feature) > 1 for t in model.tops) and os.path.exists(model.path)
+
+
+def test_a_bundle_of_trees_is_a_task_with_all_rows(spark, data):
+    _, _, df = data
+    model = forest.train_forest(df.repartition(4), ["a", "b", "c"], "y", 4)
+
+    def use(bundle, trees, scored):
+        yield forest._gain_batch(bundle, np.array([sum(len(nodes.feature) > 1 for _, nodes in trees())]))
+    found = model.rows.grown(model.rows.blocks(spark), 4, 2, 3, use, "tree int, gains array<double>").collect()
+    assert sorted((r["tree"], r["gains"][0]) for r in found) == [(0, 2.0), (1, 2.0)]
