@@ -153,3 +153,16 @@ def test_fills_of_rows_are_not_broadcast(spark):
     hints = out._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in hints.splitlines() if "Join LeftOuter" in x and "_row_id" in x]
     assert len(joins) == 3 and all("strategy=merge" in x for x in joins)
+
+
+def test_forest_fills_write_no_trees(spark):
+    import os
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": [str(i) for i in range(300)], "a": rng.normal(0, 1, 300)}).assign(b=lambda d: 2 * d["a"] + rng.normal(0, 0.1, 300))
+    pdf.loc[::4, "b"] = np.nan
+    models = {}
+    out = impute(frame(spark, pdf), "k", ["b"], methods=("rf",), rf_params={"num_trees": 5}, models_out=models)
+    assert out.where("b is null").count() == 0
+    forest_ = models[("rf", "b")].model
+    assert abs(sum(forest_.importances) - 1) < 1e-9 and not os.path.exists(forest_.path)
